@@ -170,3 +170,30 @@ def interval_chunks(start: Column, end: Column, span: float) -> Column:
     first = F.floor(start / F.lit(float(span)))
     last = F.greatest(first, F.ceil(end / F.lit(float(span))) - 1)
     return F.sequence(first, last)
+
+
+def with_neighbours(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, values: Sequence[str]
+) -> DataFrame:
+    """Add ``prev`` and ``next``: structs of ``values`` of the rows around each row in key order.
+
+    Windows cover (key, bucket) only; the rows at bucket edges find their neighbour in a table of
+    bucket ends. ``bucket`` must grow with the order.
+    """
+    key = list(key)
+    work = df.withColumn("_bucket", bucket)
+    inner = W.partitionBy(*key, "_bucket").orderBy(*order)
+    item, rank = F.struct(*values), F.struct(*order)
+    work = work.withColumns({"prev": F.lag(item).over(inner), "next": F.lead(item).over(inner)})
+    ends = df.withColumn("_bucket", bucket).groupBy(*key, "_bucket").agg(
+        F.min_by(item, rank).alias("_first"), F.max_by(item, rank).alias("_last")
+    )
+    across = W.partitionBy(*key).orderBy("_bucket")
+    ends = ends.select(
+        *key, "_bucket", F.lag("_last").over(across).alias("_p"), F.lead("_first").over(across).alias("_n")
+    )
+    return (
+        work.join(ends, [*key, "_bucket"])
+        .withColumns({"prev": F.coalesce("prev", "_p"), "next": F.coalesce("next", "_n")})
+        .drop("_bucket", "_p", "_n")
+    )

@@ -197,6 +197,32 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Derived tables whose text is the same in both engines.
+_SHARED = {
+    "clips": (
+        "segments",
+        """
+SELECT id AS clip_id, video_id % 15 AS job_id, video_id, id AS segment_id, start_sec, end_sec, motion_code,
+  CASE motion_code % 9 WHEN 0 THEN 'queued' WHEN 1 THEN 'frames' WHEN 2 THEN 'geo' WHEN 3 THEN 'tech' WHEN 4 THEN 'llm'
+    WHEN 5 THEN 'review' WHEN 6 THEN 'cut' WHEN 7 THEN 'done' ELSE 'failed' END AS status,
+  origin = 'user' AND edited AS excluded, accepted AS approved, score AS progress,
+  CASE WHEN motion_code % 9 = 8 THEN CASE WHEN accepted THEN 'geo' ELSE NULL END END AS failed_step
+FROM {segments}""",
+    ),
+    "jobs": (
+        "projects",
+        """
+SELECT id AS job_id, id AS project_id, CASE WHEN id % 5 = 0 THEN 'building' ELSE 'idle' END AS build_status
+FROM {projects} WHERE id < 15""",
+    ),
+}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    source, text = _SHARED[name]
+    return spark.sql(text, **{source: globals()[source](spark, sf_dir)})
+
+
 _DUCK = {
     "frame_features": """
 WITH e AS (
@@ -295,6 +321,9 @@ SELECT doc_id AS clip_id, toxic = 1 AS editorial, quality = 1 AS approved FROM l
 }
 
 
+_DUCK |= {name: text.replace("{" + source + "}", source) for name, (source, text) in _SHARED.items()}
+
+
 def duck(*names: str) -> str:
     """`WITH`-less CTE list for the named domain tables."""
     return ",\n".join(f"{n} AS ({_DUCK[n].strip()})" for n in names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["motion_queries"]
+MODULES = ["motion_queries", "catalog_queries"]
 
 
 def _modules():
