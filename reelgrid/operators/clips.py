@@ -20,10 +20,10 @@ NEXT_STATUS = {"frames": "geo", "geo": "tech", "tech": "llm", "llm": "review", "
 STATUS_LABELS = {
     "queued": "Queued",
     "frames": "Extracting frames",
-    "geo": "Resolving location",
-    "tech": "Analyzing",
-    "llm": "Generating metadata",
-    "review": "Awaiting review",
+    "geo": "Locating",
+    "tech": "Analysing",
+    "llm": "Writing metadata",
+    "review": "Needs review",
     "cut": "Encoding",
     "done": "Done",
     "failed": "Failed",

@@ -197,6 +197,37 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def delivery_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips ready for delivery: whole texts, every word a keyword, editorial decisions from labels."""
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS clip_id",
+        "source AS job_id",
+        "concat('clip_', doc_id, '.mov') AS filename",
+        "text AS title",
+        "text AS description",
+        "split(lower(text), ' ') AS keywords",
+        "concat(lang, ' river valley') AS subject",
+        "CAST(doc_id % 23 AS INT) AS adobe_category",
+        "CASE doc_id % 4 WHEN 0 THEN array('Nature') WHEN 1 THEN array('Nature', 'Religion') WHEN 2 THEN array('Parks/Outdoor') ELSE array('Art', 'Parks/Outdoor') END AS shutterstock_categories",
+        "CASE doc_id % 3 WHEN 0 THEN 'Nature' WHEN 1 THEN 'City' ELSE 'Parks' END AS envato_category",
+        "doc_id % 2 = 0 AS recognizable_buildings",
+        "doc_id % 5 = 0 AS editorial_suggested",
+        "CASE WHEN doc_id % 10 = 0 THEN ' landmark ' END AS editorial_reason",
+        "CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'unknown' END AS place_confidence",
+        "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE concat('Zürich ', lang) END AS city",
+        "'Region & Co' AS region",
+        "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'Côte (West)' END AS country",
+        "3e0D + doc_id % 70 AS duration_sec",
+        "CASE doc_id % 3 WHEN 0 THEN 'real_time' WHEN 1 THEN 'slow_motion' ELSE 'hyperlapse' END AS shot_type",
+        "CASE doc_id % 2 WHEN 0 THEN array('Aerial', 'Drone', 'Arc') ELSE array('Aerial', 'Drone', 'Unknown') END AS movement",
+        "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('2024-07-', lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0')) END AS capture_date",
+        "CASE WHEN doc_id % 2 = 0 THEN 'DJI Air 3' END AS drone_model",
+        "CAST(n_chars * 1000000 AS BIGINT) AS output_size_bytes",
+    )
+    choice = decisions(spark, sf_dir).select("clip_id", "editorial")
+    return docs.join(choice, "clip_id", "left")
+
+
 # Derived tables whose text is the same in both engines.
 _SHARED = {
     "clips": (
@@ -213,7 +244,7 @@ FROM {segments}""",
         "projects",
         """
 SELECT id AS job_id, id AS project_id, CASE WHEN id % 5 = 0 THEN 'building' ELSE 'idle' END AS build_status
-FROM {projects} WHERE id < 15""",
+FROM {projects}""",
     ),
 }
 
@@ -314,6 +345,17 @@ SELECT event_id, ts, user_id AS entity_id, user_id % 10 AS project_id,
     WHEN 'signup' THEN 'export.updated' ELSE 'video.deleted' END AS type,
   least(1e0, value / 2e2) AS progress
 FROM events""",
+    "delivery": """
+SELECT d.doc_id AS clip_id, source AS job_id, 'clip_' || d.doc_id || '.mov' AS filename, text, lang,
+  string_split(lower(text), ' ') AS keywords, CAST(d.doc_id % 23 AS INT) AS adobe_category,
+  CASE d.doc_id % 4 WHEN 0 THEN 'Nature' WHEN 1 THEN 'Nature,Religion' WHEN 2 THEN '' ELSE 'Art' END AS sh_ok,
+  d.doc_id % 4 IN (2, 3) AS sh_bad, CASE d.doc_id % 3 WHEN 0 THEN 'Nature' WHEN 1 THEN 'City' ELSE 'Parks' END AS envato_category,
+  d.doc_id % 2 = 0 AS buildings, coalesce(toxic = 1, d.doc_id % 5 = 0) AS editorial, toxic = 1 AS decision,
+  CASE WHEN d.doc_id % 6 = 0 THEN '' ELSE 'Zurich ' || lang END AS city,
+  CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE 'Cote West' END AS country,
+  3e0 + d.doc_id % 70 AS duration_sec, CAST(n_chars * 1000000 AS BIGINT) AS size,
+  CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE lpad(CAST(d.doc_id % 28 + 1 AS VARCHAR), 2, '0') END AS day
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "answer_log": """
 SELECT conv_id AS clip_id, turn + 1 AS attempt, text AS answer, CAST(length(text) AS BIGINT) AS n_chars FROM conversations""",
     "decisions": """
