@@ -44,17 +44,30 @@ def with_halo(df: DataFrame, pos: str, before: int, after: int, span: int = SPAN
 
 
 def running_last(
-    df: DataFrame, key: Sequence[str], pos: str, values: dict[str, Column], span: int = SPAN
+    df: DataFrame,
+    key: Sequence[str],
+    pos: str,
+    values: dict[str, Column],
+    span: float = SPAN,
+    order: Sequence[Column | str] | None = None,
 ) -> DataFrame:
-    """Add, per output name, the last non-null value at or before each row in ``pos`` order."""
+    """Add, per output name, the last non-null value at or before each row.
+
+    Rows are ordered by ``pos`` (or by ``order``, which must refine it) and cut into spans of ``pos``.
+    """
     key = list(key)
+    order = list(order or [pos])
     work = df if "chunk" in df.columns else df.withColumn("chunk", F.floor(F.col(pos) / F.lit(span)))
-    local = W.partitionBy(*key, "chunk").orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
-    for name, value in values.items():
-        work = work.withColumn(name, F.last(value, ignorenulls=True).over(local))
+    local = W.partitionBy(*key, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # The local running value at the end of a span is what the following spans inherit.
+    place = F.row_number().over(W.partitionBy(*key, "chunk").orderBy(*order))
+    work = work.withColumns(
+        {**{n: F.last(v, ignorenulls=True).over(local) for n, v in values.items()}, "_place": place}
+    )
     tails = work.groupBy(*key, "chunk").agg(
-        *[F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.col(pos))).alias(f"_tail_{n}") for n in values]
+        *[F.max_by(F.col(n), F.col("_place")).alias(f"_tail_{n}") for n in values]
     )
+    work = work.drop("_place")
     across = W.partitionBy(*key).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = tails.select(
         *key,
@@ -197,3 +210,12 @@ def with_neighbours(
         .withColumns({"prev": F.coalesce("prev", "_p"), "next": F.coalesce("next", "_n")})
         .drop("_bucket", "_p", "_n")
     )
+
+
+def ordered_fold(df: DataFrame, key: Sequence[str], order: Sequence[str], fold, schema: str) -> DataFrame:
+    """Run ``fold(batches)`` over rows sorted by key and order, each key whole inside one partition.
+
+    For steps that depend on the previous result. Rows stream through in Arrow batches and nothing
+    is grouped in memory; the fold keeps its own small state and resets it when the key changes.
+    """
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(fold, schema)
