@@ -248,8 +248,8 @@ def issue(level: str, message: Column) -> Column:
     return F.struct(F.lit(level).alias("level"), message.alias("message"))
 
 
-def limit_keywords(items: Column, low: int, high: int) -> Column:
-    """struct(out, issues): warns with the raw count when cut, errors below the minimum."""
+def limit_keywords(clean: Column, raw_count: Column, low: int, high: int) -> Column:
+    """struct(out, issues) of a cleaned list: warns with the raw count when cut, errors below the minimum."""
     text = lambda n: n.cast("string")
 
     def checked(clean: Column) -> Column:
@@ -259,7 +259,7 @@ def limit_keywords(items: Column, low: int, high: int) -> Column:
             [
                 F.when(
                     kept > high,
-                    issue("warning", F.concat(text(F.size(items)), F.lit(f" keywords, only the first {high} are used"))),
+                    issue("warning", F.concat(text(raw_count), F.lit(f" keywords, only the first {high} are used"))),
                 ),
                 F.when(
                     used < low,
@@ -269,7 +269,7 @@ def limit_keywords(items: Column, low: int, high: int) -> Column:
         )
         return F.struct(F.slice(clean, 1, high).alias("out"), issues.alias("issues"))
 
-    return let(csv_keywords(items), checked)
+    return let(clean, checked)
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from ..config import AnalysisConfig, AnalysisSettings, round_half_up, window_samples
 from ..functions import motion as M
+from ..session import written_once
 from . import scale
 
 KEY = "video_id"
@@ -200,7 +201,23 @@ def motion_signals(
         .when(F.col("jump"), "jump")
         .when(F.col("label") != F.col("_prev_label"), "label")
     )
-    return _own(df.withColumn("break_before", reason).drop("_prev_bad", "_prev_label"))
+    signals = _own(df.withColumn("break_before", reason).drop("_prev_bad", "_prev_label"))
+    return _mark_runs(signals, layout)
+
+
+def _mark_runs(signals: DataFrame, layout: Layout) -> DataFrame:
+    """Add run_start and hard_start: where the run and its unbroken stretch began (null while bad)."""
+    good = ~F.col("bad")
+    marks = {
+        "run_start": F.when(F.col("break_before").isNotNull(), F.col("i")),
+        "hard_start": F.when(F.col("break_before") != "label", F.col("i")),
+    }
+    if layout.chunked:
+        tagged = scale.running_last(signals, [KEY], "i", marks, layout.span)
+    else:
+        so_far = layout.ordered().rowsBetween(W.unboundedPreceding, W.currentRow)
+        tagged = signals.withColumns({n: F.last(v, ignorenulls=True).over(so_far) for n, v in marks.items()})
+    return tagged.withColumns({n: F.when(good, F.col(n)) for n in marks})
 
 
 def _jump_score(reach: int, settings: AnalysisSettings, cfg: AnalysisConfig) -> Column:
@@ -212,28 +229,38 @@ def _jump_score(reach: int, settings: AnalysisSettings, cfg: AnalysisConfig) ->
     return F.when(full & (high >= cfg.segment.speed_jump_floor) & (relative > ratio), relative).otherwise(0.0)
 
 
-def motion_runs(signals: DataFrame, layout: Layout) -> DataFrame:
+def motion_runs(signals: DataFrame) -> DataFrame:
     """Gaps and islands: maximal stretches of good samples of one class.
 
     ``hard_start`` is the first sample of the enclosing stretch without bad samples or jumps.
     """
-    good = signals.where(~F.col("bad"))
-    opens = F.when(F.col("break_before").isNotNull(), F.col("i"))
-    marks = {
-        "run_start": opens,
-        "hard_start": F.when(F.col("break_before") != "label", F.col("i")),
-    }
-    if layout.chunked:
-        tagged = scale.running_last(good, [KEY], "i", marks, layout.span)
-    else:
-        so_far = layout.ordered().rowsBetween(W.unboundedPreceding, W.currentRow)
-        tagged = good.withColumns({n: F.last(v, ignorenulls=True).over(so_far) for n, v in marks.items()})
-    return tagged.groupBy(KEY, "run_start").agg(
-        (F.max("i") + 1).alias("run_end"),
-        F.min_by("label", "i").alias("label"),
-        F.min_by("break_before", "i").alias("break_before"),
-        F.min("hard_start").alias("hard_start"),
-        F.min("t").alias("t_first"),
-        F.max("t").alias("t_last"),
-        F.avg("raw_speed").alias("mean_speed"),
+    return (
+        signals.where(~F.col("bad"))
+        .groupBy(KEY, "run_start")
+        .agg(
+            (F.max("i") + 1).alias("run_end"),
+            F.min_by("label", "i").alias("label"),
+            F.min_by("break_before", "i").alias("break_before"),
+            F.min("hard_start").alias("hard_start"),
+            F.min("t").alias("t_first"),
+            F.max("t").alias("t_last"),
+            F.avg("raw_speed").alias("mean_speed"),
+        )
     )
+
+
+#: What the steps after the window stage read.
+SIGNAL_COLUMNS = [
+    KEY, "i", "t", "label", "raw_speed", "speed", "smooth_fit", "sharpness", "sharpness_ref", "brightness",
+    "overexposed", "instability", "jerk_onset", "bad", "break_before", "run_start", "hard_start",
+]
+
+
+def stored_signals(
+    features: DataFrame,
+    settings: AnalysisSettings,
+    layout: Layout | None = None,
+    cfg: AnalysisConfig = AnalysisConfig(),
+) -> DataFrame:
+    """Signals as a written table: runs, splits and scores all read it, the windows run once."""
+    return written_once(motion_signals(features, settings, layout, cfg).select(*SIGNAL_COLUMNS))

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,13 +79,20 @@ def _one(c: Column) -> Column:
     return F.array_compact(F.array(c))
 
 
+def _with_csv_list(clips: DataFrame) -> DataFrame:
+    """Keywords safe for a comma separated field; computed once for the platforms that share it."""
+    if "csv_list" in clips.columns:
+        return clips
+    return clips.withColumn("csv_list", T.csv_keywords(F.col("keywords")))
+
+
 def adobe_rows(clips: DataFrame, ctx: DeliveryContext) -> DataFrame:
     cfg = ctx.rules.adobe
     lim = cfg["limits"]
-    df = clips.withColumns(
+    df = _with_csv_list(clips).withColumns(
         {
             "_title": T.fit(F.col("title"), lim["titleMax"], "Title"),
-            "_kw": T.limit_keywords(F.col("keywords"), lim["keywordsMin"], lim["keywordsMax"]),
+            "_kw": T.limit_keywords(F.col("csv_list"), F.size("keywords"), lim["keywordsMin"], lim["keywordsMax"]),
         }
     )
     category = F.col("adobe_category")
@@ -128,10 +134,10 @@ def shutterstock_rows(clips: DataFrame, ctx: DeliveryContext) -> DataFrame:
     lim = cfg["limits"]
     allowed = string_array(cfg["categories"])
     limit = lim["descriptionMax"]
-    df = clips.withColumns(
+    df = _with_csv_list(clips).withColumns(
         {
             "_text": shutterstock_description(F.col("title"), F.col("description"), limit),
-            "_kw": T.limit_keywords(F.col("keywords"), lim["keywordsMin"], lim["keywordsMax"]),
+            "_kw": T.limit_keywords(F.col("csv_list"), F.size("keywords"), lim["keywordsMin"], lim["keywordsMax"]),
             "_cat": F.slice(F.filter("shutterstock_categories", lambda c: F.array_contains(allowed, c)), 1, 2),
         }
     )
@@ -188,7 +194,12 @@ def pond5_rows(clips: DataFrame, ctx: DeliveryContext) -> DataFrame:
             "_desc": T.fit(
                 F.concat("_prefix", clean(F.col("description"))), lim["descriptionMax"], "Description", "sentence"
             ),
-            "_kw": T.limit_keywords(F.transform("keywords", clean), lim["keywordsMin"], lim["keywordsMax"]),
+            "_kw": T.limit_keywords(
+                T.csv_keywords(F.transform(F.array_distinct("keywords"), clean)),
+                F.size("keywords"),
+                lim["keywordsMin"],
+                lim["keywordsMax"],
+            ),
         }
     )
     d = ctx.export_date
@@ -301,20 +312,30 @@ def validation_level(issues: Column) -> Column:
     )
 
 
-def validations(clips: DataFrame, ctx: DeliveryContext, keep: tuple[str, ...] = ("clip_id",)) -> DataFrame:
-    """Every clip against every enabled platform: level, ordered messages and the row."""
+def platform_results(clips: DataFrame, ctx: DeliveryContext) -> DataFrame:
+    """Every clip with ``results``: one struct (platform, level, messages, row) per enabled platform.
+
+    All platforms are computed in one pass over the clips.
+    """
     enabled = [p for p in REGISTRY if p in ctx.settings.enabled_platforms]
-    parts = [
-        REGISTRY[p](clips, ctx).select(
-            *keep,
+    columns = clips.columns
+    df = _with_csv_list(clips)
+    for p in enabled:
+        result = F.struct(
             F.lit(p).alias("platform"),
             validation_level(F.col("issues")).alias("level"),
             F.transform("issues", lambda i: i["message"]).alias("messages"),
             "row",
         )
-        for p in enabled
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        kept = [f"result {q}" for q in enabled if f"result {q}" in df.columns]
+        df = REGISTRY[p](df, ctx).select(*columns, "csv_list", *kept, result.alias(f"result {p}"))
+    return df.select(*columns, F.array(*[F.col(f"result {p}") for p in enabled]).alias("results"))
+
+
+def validations(clips: DataFrame, ctx: DeliveryContext, keep: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """Long form of ``platform_results``: level, ordered messages and the row per clip and platform."""
+    # The outer form keeps the optimizer from evaluating the results a second time for a size filter.
+    return platform_results(clips, ctx).select(*keep, F.inline_outer("results"))
 
 
 def clips_by_platform(clips: DataFrame, ctx: DeliveryContext) -> DataFrame:

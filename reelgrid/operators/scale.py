@@ -219,3 +219,9 @@ def ordered_fold(df: DataFrame, key: Sequence[str], order: Sequence[str], fold,
     is grouped in memory; the fold keeps its own small state and resets it when the key changes.
     """
     return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(fold, schema)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores; larger inputs are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -17,7 +17,7 @@ from ..functions.numeric import clamp01, compact, half_up, literal_map
 from ..functions.numeric import round_half_up as round_digits
 from ..functions.timecode import format_short_time
 from . import scale
-from .motion import KEY, Layout
+from .motion import KEY, Layout, layout_of, motion_runs, stored_signals
 
 RUN_SCHEMA = (
     "video_id {key}, run_start bigint, run_end bigint, label string, t_first double, t_last double"
@@ -129,12 +129,12 @@ def split_runs(
         .otherwise(F.greatest(fewest, F.least(most, half_up(length / target))))
         .cast("bigint").alias("n"),
     )
-    whole = plan.where("n = 1").withColumn("k", F.lit(0).cast("bigint"))
-    return (
-        whole.unionByName(_cut_pieces(plan.where("n > 1"), signals, lo_n, hi_n, search, span))
-        .unionByName(_calmest_window(plan.where("n = 0"), signals, hi_n, span))
-        .select(KEY, "label", "run_a", "run_b", "k", "n", "a", "b", "start_sec", "end_sec")
-    )
+    out = plan.where("n = 1").withColumn("k", F.lit(0).cast("bigint"))
+    out = out.unionByName(_cut_pieces(plan.where("n > 1"), signals, lo_n, hi_n, search, span))
+    if hi_n < 2 * lo_n:
+        # Only then can a long run have no partition within the limits.
+        out = out.unionByName(_calmest_window(plan.where("n = 0"), signals, hi_n, span))
+    return out.select(KEY, "label", "run_a", "run_b", "k", "n", "a", "b", "start_sec", "end_sec")
 
 
 def _cut_pieces(plan: DataFrame, signals, lo_n: int, hi_n: int, search: int, span: int) -> DataFrame:
@@ -331,13 +331,12 @@ def _reasons(cfg: AnalysisConfig) -> Column:
 
 def segment_signals(
     signals: DataFrame,
-    runs: DataFrame,
     settings: AnalysisSettings,
     layout: Layout,
     cfg: AnalysisConfig = AnalysisConfig(),
 ) -> DataFrame:
-    """Runs of prepared signals -> scored segment proposals."""
-    merged = merge_runs(runs, round_half_up(cfg.segment.merge_gap_sec * settings.analysis_fps))
+    """Stored signals -> scored segment proposals."""
+    merged = merge_runs(motion_runs(signals), round_half_up(cfg.segment.merge_gap_sec * settings.analysis_fps))
     trimmed = trim_runs(merged, settings, cfg)
     pieces = split_runs(trimmed, signals, settings, cfg, layout.span)
     return score_segments(pieces, signals, settings, cfg, layout.span)
@@ -350,11 +349,8 @@ def segment_video_features(
     cfg: AnalysisConfig = AnalysisConfig(),
 ) -> DataFrame:
     """The whole chain from features to segments."""
-    from .motion import layout_of, motion_runs, motion_signals
-
     layout = layout or layout_of(features)
-    signals = motion_signals(features, settings, layout, cfg)
-    return segment_signals(signals, motion_runs(signals, layout), settings, layout, cfg)
+    return segment_signals(stored_signals(features, settings, layout, cfg), settings, layout, cfg)
 
 
 def motion_series(

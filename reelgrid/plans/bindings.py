@@ -17,8 +17,13 @@ from ..operators.motion import Layout, layout_of
 SETTINGS = AnalysisSettings(min_duration=2, max_duration=6, target_duration=4, analysis_fps=5, sensitivity=1)
 
 
+#: Tables whose rows are expensive to process.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scale.spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,31 +51,35 @@ def speed_jumps(spark, sf):
 
 def motion_runs(spark, sf):
     """Flagship: which steady camera moves does each video contain, how long and how fast?"""
-    signals, layout = _signals(spark, sf)
-    return OM.motion_runs(signals, layout).select(
+    signals, _ = _signals(spark, sf)
+    return OM.motion_runs(signals).select(
         "video_id", "run_start", "run_end", "label", "break_before",
         six("t_first").alias("t_first"), six("t_last").alias("t_last"), six("mean_speed").alias("mean_speed"),
     )
 
 
 def motion_runs_trimmed(spark, sf):
-    signals, layout = _signals(spark, sf)
-    return OS.trim_runs(OM.motion_runs(signals, layout), SETTINGS).select(
+    signals, _ = _signals(spark, sf)
+    return OS.trim_runs(OM.motion_runs(signals), SETTINGS).select(
         "video_id", "label", "a", "b", six("start_sec").alias("start_sec"), six("end_sec").alias("end_sec")
     )
 
 
-def video_segments(spark, sf):
-    signals, layout = _signals(spark, sf)
-    return OS.segment_signals(signals, OM.motion_runs(signals, layout), SETTINGS, layout).select(
+def _show(segments):
+    return segments.select(
         "video_id", six("start_sec").alias("start_sec"), six("end_sec").alias("end_sec"), "motion_type", "score",
         F.array_join("reasons", "; ").alias("reasons"),
     )
 
 
+def video_segments(spark, sf):
+    layout = B.features_layout(spark, sf)
+    return _show(OS.segment_video_features(B.frame_features(spark, sf), SETTINGS, layout))
+
+
 def merged_runs(spark, sf):
-    signals, layout = _signals(spark, sf)
-    return OS.merge_runs(OM.motion_runs(signals, layout), 6).select("video_id", "run_start", "run_end", "label")
+    signals, _ = _signals(spark, sf)
+    return OS.merge_runs(OM.motion_runs(signals), 6).select("video_id", "run_start", "run_end", "label")
 
 
 def motion_series(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["motion_queries", "catalog_queries", "text_queries", "geo_queries"]
+MODULES = ["motion_queries", "catalog_queries", "text_queries", "geo_queries", "delivery_queries"]
 
 
 def _modules():

@@ -58,7 +58,7 @@ def clean_keywords(spark, sf):
 
 
 def csv_keywords(spark, sf):
-    out = _words(spark, sf).withColumn("kw", T.limit_keywords(F.col("keywords"), 5, 50))
+    out = _words(spark, sf).withColumn("kw", T.limit_keywords(T.csv_keywords(F.col("keywords")), F.size("keywords"), 5, 50))
     return out.select("clip_id", _joined("kw.out").alias("keywords"), _joined(F.col("kw.issues.message")).alias("issues"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "reelgrid", memory: str = "8g") -> SparkSession:
@@ -19,7 +22,27 @@ def local_session(cores: int | str = "*", app: str = "reelgrid", memory: str = "
     )
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Shared folder named by the cluster; ``fallback`` only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or fallback
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+
+    Only a local session without that setting (tests, benchmarks) gets a folder of its own.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    own = tempfile.mkdtemp(prefix="reelgrid-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read, and continue from the files.
+
+    The branches share one computation, columns are pruned at the scan, and a lost executor re-reads
+    files instead of recomputing the lineage.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/reelgrid/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
