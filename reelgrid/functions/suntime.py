@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import half_up
+from .numeric import half_up, let
 
 FILENAME_TIME = r"(?:^|\D)(20\d{2})(\d{2})(\d{2})[_-]?(\d{2})(\d{2})(\d{2})(?!\d)"
 WALL_CLOCK = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})"
@@ -21,15 +21,24 @@ def _wall(parts: list[Column]) -> Column:
     return F.timestamp_seconds(days.cast("bigint") * 86400 + h * 3600 + mi * 60 + s)
 
 
-def _parts(text: Column, pattern: str) -> list[Column]:
-    return [F.regexp_extract(text, pattern, k).try_cast("int") for k in range(1, 7)]
+def _parts(text: Column, pattern: str) -> Column:
+    """array<int> of the six clock groups, null when the pattern does not occur."""
+    groups = F.array(*[F.regexp_extract(text, pattern, k).try_cast("int") for k in range(1, 7)])
+    return F.when(text.rlike(pattern), groups)
+
+
+def _clock(parts: Column) -> Column:
+    return _wall([parts[k] for k in range(6)])
 
 
 def filename_wall_clock(filename: Column) -> Column:
     """Local clock time in a camera file name, as a zone-less instant."""
-    y, mo, d, h, mi, s = parts = _parts(filename, FILENAME_TIME)
-    ok = filename.rlike(FILENAME_TIME) & mo.between(1, 12) & d.between(1, 31) & (h <= 23) & (mi <= 59) & (s <= 59)
-    return F.when(ok, _wall(parts))
+
+    def read(p: Column) -> Column:
+        ok = p[1].between(1, 12) & p[2].between(1, 31) & (p[3] <= 23) & (p[4] <= 59) & (p[5] <= 59)
+        return F.when(ok, _clock(p))
+
+    return let(_parts(filename, FILENAME_TIME), read)
 
 
 def resolve_capture_time(
@@ -50,26 +59,37 @@ def resolve_capture_time(
         )
 
     none = result(nothing, nothing, nothing)
-    tagged = F.try_to_timestamp(creation_time)
-    parts = _parts(creation_time, WALL_CLOCK)
-    readable = F.coalesce(creation_time.rlike(WALL_CLOCK), F.lit(False)) & (parts[0] >= 2000)
-    wall = _wall(parts)
+    zoned = creation_time.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     local_label = F.lit(mode == "local") | (
         F.lit(mode == "auto") & F.coalesce(make.rlike("(?i)dji"), F.lit(False))
     )
-    shifted = F.when(tz.isNotNull(), F.from_utc_timestamp(tagged, tz)).otherwise(tagged)
-    from_tag = (
-        F.when(~readable, none)
-        .when(local_label, result(F.when(tz.isNotNull(), F.to_utc_timestamp(wall, tz)), wall, parts[1]))
-        .when(tagged.isNull(), none)
-        .otherwise(result(tagged, shifted))
-    )
-    if mode != "auto":
-        return from_tag
-    named = filename_wall_clock(filename)
-    zoned = creation_time.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    utc = F.when(tz.isNotNull(), F.to_utc_timestamp(named, tz)).when(zoned, tagged)
-    return F.when(named.isNotNull(), result(utc, named)).otherwise(from_tag)
+
+    def from_tag(f: Column) -> Column:
+        parts, tagged, wall = f["parts"], f["tagged"], f["wall"]
+        shifted = F.when(tz.isNotNull(), F.from_utc_timestamp(tagged, tz)).otherwise(tagged)
+        return (
+            F.when(~F.coalesce(parts[0] >= 2000, F.lit(False)), none)
+            .when(local_label, result(F.when(tz.isNotNull(), F.to_utc_timestamp(wall, tz)), wall, parts[1]))
+            .when(tagged.isNull(), none)
+            .otherwise(result(tagged, shifted))
+        )
+
+    def resolved(f: Column) -> Column:
+        if mode != "auto":
+            return from_tag(f)
+        named = f["named"]
+        utc = F.when(tz.isNotNull(), F.to_utc_timestamp(named, tz)).when(zoned, f["tagged"])
+        return F.when(named.isNotNull(), result(utc, named)).otherwise(from_tag(f))
+
+    def facts(parts: Column) -> Column:
+        return F.struct(
+            parts.alias("parts"),
+            F.try_to_timestamp(creation_time).alias("tagged"),
+            _clock(parts).alias("wall"),
+            filename_wall_clock(filename).alias("named"),
+        )
+
+    return let(let(_parts(creation_time, WALL_CLOCK), facts), resolved)
 
 
 def _sun(days: Column) -> tuple[Column, Column, Column]:
@@ -109,8 +129,6 @@ def is_before_solar_noon(instant: Column, lon: Column) -> Column:
 
 
 def time_of_day(instant: Column, lat: Column, lon: Column) -> Column:
-    from .numeric import let
-
     def bands(h: Column) -> Column:
         return (
             F.when(h < -6, "night")

@@ -218,20 +218,17 @@ def clean_keywords(items: Column, rules: KeywordRules, limit: int) -> Column:
 
     ``items`` must be NFC text (see ``nfc``); everything here stays in the JVM.
     """
-    banned = string_array([w.lower() for w in (*rules.technical_terms, *rules.brand_names)])
+    banned = sorted({w.lower() for w in (*rules.technical_terms, *rules.brand_names)})
     brand = f"(?i)(?<![A-Za-z0-9_])(?:{_word_pattern(list(rules.brand_names))})(?![A-Za-z0-9_])"
 
     def tidy(k: Column) -> Column:
         odd = F.regexp_replace(F.lower(k), rf"(?:(?!{WS})[^\p{{L}}\p{{N}}'\-])", " ")
-        return collapse(F.regexp_replace(odd, f"^(?:{WS}|['\\-])+|(?:{WS}|['\\-])+$", ""))
+        clean = collapse(F.regexp_replace(odd, f"^(?:{WS}|['\\-])+|(?:{WS}|['\\-])+$", ""))
+        # Plain words have nothing to tidy: one test instead of three replacements.
+        return F.when(k.rlike("^[a-z0-9]+$"), k).otherwise(clean)
 
     def keep(k: Column) -> Column:
-        out = (
-            (k == "")
-            | F.array_contains(banned, k)
-            | k.rlike(r"^[0-9]+(\.[0-9]+)?\s*(k|p|fps|mbps|bit)$")
-            | k.rlike("^[0-9]+$")
-        )
+        out = (k == "") | k.isin(*banned) | k.rlike(r"^[0-9]+(?:(?:\.[0-9]+)?\s*(?:k|p|fps|mbps|bit))?$")
         return ~(out | k.rlike(brand)) if rules.brand_names else ~out
 
     # Equal raw words collapse first, so the regular expressions run once per distinct word.
@@ -240,7 +237,11 @@ def clean_keywords(items: Column, rules: KeywordRules, limit: int) -> Column:
 
 def csv_keywords(items: Column) -> Column:
     """Separators inside a keyword become blanks; empty and repeated keywords go."""
-    flat = F.transform(F.array_distinct(items), lambda k: collapse(F.regexp_replace(k, '[,;"]+', " ")))
+    def flatten(k: Column) -> Column:
+        clean = collapse(F.regexp_replace(k, '[,;"]+', " "))
+        return F.when(k.rlike("^[A-Za-z0-9]+$"), k).otherwise(clean)
+
+    flat = F.transform(F.array_distinct(items), flatten)
     return distinct_ci(F.filter(flat, lambda k: k != ""))
 
 
@@ -287,7 +288,7 @@ def envato_keywords(items: Column, rules: TagRules) -> Column:
 
     def tidy(k: Column) -> Column:
         ascii_only = collapse(F.regexp_replace(transliterate(k), "[^A-Za-z0-9. ]+", " "))
-        return F.regexp_replace(ascii_only, "^[.]+", "")
+        return F.when(k.rlike("^[A-Za-z0-9]+$"), k).otherwise(F.regexp_replace(ascii_only, "^[.]+", ""))
 
     def shorten(k: Column) -> Column:
         return F.trim(F.substring(F.regexp_replace(F.trim(k), "^[.]+", ""), 1, rules.max_length))
@@ -322,7 +323,8 @@ def pond5_sanitize(c: Column, forbidden: str) -> Column:
             text = F.replace(text, F.lit(ch), F.lit(words))
     ascii_text = F.translate(transliterate(text), forbidden, "")
     spaced = collapse(F.regexp_replace(ascii_text, r"[^\x20-\x7e]", " "))
-    return F.regexp_replace(spaced, r" +([,.;:!])", "$1")
+    clean = F.regexp_replace(spaced, r" +([,.;:!])", "$1")
+    return F.when(c.rlike("^[A-Za-z0-9]+$"), c).otherwise(clean)
 
 
 def fit(c: Column, limit: int, field: str, mode: str = "word") -> Column:

@@ -383,7 +383,7 @@ def manifest_violations(rows: DataFrame) -> DataFrame:
             F.when(F.col("duration_sec") <= 0, F.lit("durationSec: must be positive")),
         ]
     )
-    return rows.select("segment_id", F.explode(checks).alias("violation"))
+    return scale.explode_present(rows, "violation", checks).select("segment_id", "violation")
 
 
 def videos_of_export(clips: DataFrame, videos: DataFrame) -> DataFrame:

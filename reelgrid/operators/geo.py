@@ -168,6 +168,11 @@ def poi_within_radius(points: DataFrame, pois: DataFrame, radius_m: float) -> Da
     return near.withColumn("in_camera_sector", view).drop("cell", "at_lat", "at_lon", "heading")
 
 
+def with_name_keys(pois: DataFrame) -> DataFrame:
+    """Add the normalised names; done on the landmarks, before they are matched with many clips."""
+    return pois.withColumns({"k_en": norm_name(F.col("name_en")), "k_name": norm_name(F.col("name"))})
+
+
 _POI_FIELDS = ["name", "name_en", "type", "distance_m", "bearing_deg", "in_camera_sector", "wikidata_id"]
 
 
@@ -177,38 +182,40 @@ def merge_poi_entities(candidates: DataFrame, order: list[str]) -> DataFrame:
     The first entry keeps its name, bearing and sector and absorbs a missing id, an English name and
     the shorter distance. Adds ``ord``, the position of the entity.
     """
-    keyed = candidates.withColumns({"k_en": norm_name(F.col("name_en")), "k_name": norm_name(F.col("name"))})
+    keyed = candidates if "k_en" in candidates.columns else with_name_keys(candidates)
     key_type = dict(candidates.dtypes)["clip_id"]
+    read = ["clip_id", *_POI_FIELDS, "k_en", "k_name"]
     schema = (
         f"clip_id {key_type}, ord bigint, name string, name_en string, type string, distance_m bigint, "
         "bearing_deg double, in_camera_sector boolean, wikidata_id string"
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for b in batches for r in b.astype(object).where(b.notna(), None).to_dict("records"))
+        rows = (r for b in batches for r in zip(*[b[c].tolist() for c in read]))
         out = []
-        for clip, group in itertools.groupby(rows, key=lambda r: r["clip_id"]):
+        for clip, group in itertools.groupby(rows, key=lambda r: r[0]):
             by_key, entities = {}, []
-            for r in group:
-                keys = [k for k in (r["wikidata_id"], r["k_en"], r["k_name"]) if k]
+            for _, name, name_en, kind, metres, bearing, view, wiki, k_en, k_name in group:
+                keys = [k for k in (wiki, k_en, k_name) if k]
                 hit = next((by_key[k] for k in keys if k in by_key), None)
                 if hit is None:
-                    hit = {f: r[f] for f in _POI_FIELDS}
+                    hit = [name, name_en, kind, metres, bearing, view, wiki]
                     entities.append(hit)
                 else:
-                    hit["wikidata_id"] = hit["wikidata_id"] or r["wikidata_id"]
-                    if hit["name_en"] == hit["name"] and r["name_en"] != r["name"]:
-                        hit["name_en"] = r["name_en"]
-                    hit["distance_m"] = min(hit["distance_m"], r["distance_m"])
-                by_key.update(dict.fromkeys(keys, hit))
-            out += [(clip, k, *(e[f] for f in _POI_FIELDS)) for k, e in enumerate(entities)]
+                    hit[6] = hit[6] or wiki
+                    if hit[1] == hit[0] and name_en != name:
+                        hit[1] = name_en
+                    hit[3] = min(hit[3], metres)
+                for k in keys:
+                    by_key[k] = hit
+            out += [(clip, k, *e) for k, e in enumerate(entities)]
             if len(out) >= 8192:
                 yield pd.DataFrame(out, columns=["clip_id", "ord", *_POI_FIELDS])
                 out = []
         if out:
             yield pd.DataFrame(out, columns=["clip_id", "ord", *_POI_FIELDS])
 
-    columns = ["clip_id", *_POI_FIELDS, "k_en", "k_name", *[c for c in order if c not in _POI_FIELDS]]
+    columns = [*read, *[c for c in order if c not in _POI_FIELDS]]
     return scale.ordered_fold(keyed.select(*columns), ["clip_id"], order, fold, schema)
 
 
@@ -344,11 +351,12 @@ def tech_context(clips: DataFrame, conform_fps: float | None, mode: str) -> Data
             "shot_type": D.shot_type(
                 F.col("fps"), source, F.col("original_filename"), F.col("tags"), F.col("motion_type"), conform_fps
             ),
-            "_capture": S.resolve_capture_time(
-                F.col("creation_time"), mode, F.col("make"), F.col("tz"), F.col("original_filename")
-            ),
         }
     )
+    capture = S.resolve_capture_time(
+        F.col("creation_time"), mode, F.col("make"), F.col("tz"), F.col("original_filename")
+    )
+    df = scale.pinned(df, {"_capture": capture})
     # The recording starts at the container time; the clip starts later.
     micros = F.unix_micros("_capture.utc") + F.floor(F.col("start_sec") * 1_000_000 + 0.5)
     df = df.withColumn("captured_at", F.timestamp_micros(micros))

@@ -57,8 +57,8 @@ def segment_issues(segments: DataFrame, videos: DataFrame, settings: DataFrame)
             ),
         ]
     )
-    single = rows.select(F.col("id").alias("segment_id"), "video_id", F.explode(own).alias("issue")).select(
-        "segment_id", "video_id", "issue.*"
+    single = scale.explode_present(rows, "issue", own).select(
+        F.col("id").alias("segment_id"), "video_id", "issue.*"
     )
     return single.unionByName(overlap_issues(segments))
 
@@ -272,7 +272,7 @@ def record_violations(segments: DataFrame, videos: DataFrame) -> DataFrame:
             ),
         ]
     )
-    return rows.select("id", "video_id", F.explode(checks).alias("violation"))
+    return scale.explode_present(rows, "violation", checks).select("id", "video_id", "violation")
 
 
 def replace_segments(current: DataFrame, incoming: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -225,3 +225,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on an input with fewer splits than cores; larger inputs are not moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add expensive columns so that they are computed once per row.
+
+    The optimizer copies a plain projection into every filter and expression that uses it; a
+    one-element explode is a boundary it does not cross.
+    """
+    for name, value in columns.items():
+        df = df.withColumn(name, F.explode_outer(F.array(value)))
+    return df
+
+
+def explode_present(df: DataFrame, name: str, items: Column) -> DataFrame:
+    """One row per list member; ``items`` is evaluated once."""
+    return df.withColumn(name, F.explode_outer(items)).where(F.col(name).isNotNull())

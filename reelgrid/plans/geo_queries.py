@@ -175,7 +175,7 @@ def poi_entities(spark, sf):
     """Every landmark under two names and ids: the pairs become one entity again."""
     base = _landmarks(spark, sf)
     other = base.withColumns({"name": F.concat(F.lit("The "), "name"), "wikidata_id": F.lit(None).cast("string")})
-    pois = OG.union_pois([base, other])
+    pois = OG.with_name_keys(OG.union_pois([base, other]))
     near = OG.poi_within_radius(_positions(spark, sf), pois, 2000.0)
     merged = OG.merge_poi_entities(near, ["source_rank", "id"])
     return merged.select("clip_id", "ord", "name", "name_en", "distance_m", "wikidata_id")
