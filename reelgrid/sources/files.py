@@ -17,7 +17,10 @@ READ_BLOCK = 4 * 1024 * 1024
 
 
 def read_file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), bytes and file_key of every file below ``root``; contents are not read."""
+    """path (relative), bytes and file_key of every file below ``root``; contents are not read.
+
+    Spark's file source leaves out empty files, which add no bytes.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     )
@@ -37,7 +40,7 @@ def fingerprint(content: Column) -> Column:
 
 
 def fingerprint_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, size_bytes, fingerprint and content_hash of every file below ``root``."""
+    """path, size_bytes, fingerprint and content_hash of every non-empty file below ``root``."""
     read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     small = read().where(F.col("length") <= SMALL_FILE).select(
         "path", F.col("length").alias("size_bytes"), fingerprint(F.col("content")).alias("fingerprint"),
