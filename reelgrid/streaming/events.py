@@ -149,10 +149,13 @@ def _version(spark, table: str, version: int) -> DataFrame | None:
     return spark.read.parquet(f"{table}/v={version}")
 
 
-def throttle_stream(events: DataFrame, key: str, step: float, key_type: str = "bigint", order: str = "event_id") -> DataFrame:
-    """Streaming throttle: state is the last passed value, dropped an hour after the last event.
+def throttle_stream(
+    events: DataFrame, key: str, step: float, key_type: str = "bigint", order: str = "event_id", ttl_ms: int | None = None
+) -> DataFrame:
+    """Streaming throttle: state is the last passed value of each key.
 
-    ``events``: key, ``order`` (bigint), progress.
+    ``events``: key, ``order`` (bigint), progress. ``ttl_ms`` drops the state of keys that were silent
+    for so long; it needs a continuously triggered query (a run-once query would wait for the timeouts).
     """
 
     def fold(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -167,7 +170,8 @@ def throttle_stream(events: DataFrame, key: str, step: float, key_type: str = "b
                 kept.append((keys[0], at, value))
                 last = value
         state.update((last,))
-        state.setTimeoutDuration(3_600_000)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(kept, columns=[key, order, "progress"])
 
     return (
@@ -178,7 +182,7 @@ def throttle_stream(events: DataFrame, key: str, step: float, key_type: str = "b
             f"{key} {key_type}, {order} bigint, progress double",
             "last double",
             "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+            GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout,
         )
     )
 

@@ -33,7 +33,7 @@ def test_latest_state_stream_equals_batch(spark, feed):
     assert rejects.count() == 9
     live, _ = SE.parse_events(stream)
     query = SE.stream_latest_state(live, ["event_id"], str(tmp / "state"), str(tmp / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    query.awaitTermination(60)
     last = max(int(p.name.split("=")[1]) for p in (tmp / "state").iterdir() if p.name.startswith("v="))
     got = SE.state_of(spark.read.parquet(str(tmp / "state" / f"v={last}"))).collect()
     assert last == 2 and sorted(got) == sorted(SE.latest_state(typed, ["event_id"]).collect()) and got
@@ -48,7 +48,7 @@ def test_throttle_stream_equals_batch(spark, feed):
         .writeStream.format("parquet").option("path", str(tmp / "out")).option("checkpointLocation", str(tmp / "cp2"))
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    query.awaitTermination(60)
     got = spark.read.parquet(str(tmp / "out")).select("entity_id", "event_id").collect()
     want = expected.select("entity_id", "event_id").collect()
     assert sorted(got) == sorted(want) and len(want) < pick(batch).count()
@@ -63,7 +63,7 @@ def test_event_rate_stream(spark, tmp_path):
         SE.event_rate(stream, "20 minutes").writeStream.format("memory").queryName("rates").outputMode("update")
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    query.awaitTermination(60)
     assert sorted(r.n for r in spark.table("rates").collect()) == [20] * 6
     live = SE.live_job_progress(df.withColumns({"progress": F.lit(0.5), "type": F.lit("export.clip.progress")}))
     assert {(r.project_id, r.events) for r in live.collect()} == {(0, 60), (1, 60)}
@@ -78,6 +78,6 @@ def test_incremental_analysis_sees_each_video_once(spark, tmp_path):
         spark.createDataFrame([{**r} for r in rows], schema.replace("arrived_at timestamp", "arrived_at string")).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     analyse = lambda df: OS.segment_video_features(df, settings)
-    SE.incremental_analysis(stream, analyse, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    SE.incremental_analysis(stream, analyse, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.video_id, r.motion_type) for r in got] == [("v", "pan_right")] * len(got) and len(got) == 2
