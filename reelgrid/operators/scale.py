@@ -197,10 +197,13 @@ def with_neighbours(
     work = df.withColumn("_bucket", bucket)
     inner = W.partitionBy(*key, "_bucket").orderBy(*order)
     item, rank = F.struct(*values), F.struct(*order)
-    work = work.withColumns({"prev": F.lag(item).over(inner), "next": F.lead(item).over(inner)})
-    ends = df.withColumn("_bucket", bucket).groupBy(*key, "_bucket").agg(
+    # Both branches read the same exchange on (key, bucket).
+    ends = work.repartition(*key, "_bucket").groupBy(*key, "_bucket").agg(
         F.min_by(item, rank).alias("_first"), F.max_by(item, rank).alias("_last")
     )
+    work = work.repartition(*key, "_bucket").withColumns(
+        {"prev": F.lag(item).over(inner), "next": F.lead(item).over(inner)}
+    )
     across = W.partitionBy(*key).orderBy("_bucket")
     ends = ends.select(
         *key, "_bucket", F.lag("_last").over(across).alias("_p"), F.lead("_first").over(across).alias("_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -32,6 +33,9 @@ def merge_runs(runs: DataFrame, max_gap: int) -> DataFrame:
     """
     key_type = dict(runs.dtypes)[KEY]
 
+    # A run is a list: video_id, hard_start, run_start, run_end, label, t_first, t_last.
+    start, end, label, t_last = 2, 3, 4, 6
+
     def stretch(rows):
         base, waiting, gap = None, [], 0
         for row in rows:
@@ -39,43 +43,34 @@ def merge_runs(runs: DataFrame, max_gap: int) -> DataFrame:
             while pending:
                 run = pending.pop(0)
                 if base is None:
-                    base, waiting, gap = dict(run), [], 0
-                elif run["label"] == base["label"]:
-                    base["run_end"], base["t_last"] = run["run_end"], run["t_last"]
+                    base, waiting, gap = list(run), [], 0
+                elif run[label] == base[label]:
+                    base[end], base[t_last] = run[end], run[t_last]
                     waiting, gap = [], 0
                 else:
                     waiting.append(run)
-                    gap += run["run_end"] - run["run_start"]
+                    gap += run[end] - run[start]
                     if gap > max_gap:
                         yield base
                         pending = waiting + pending
                         base, waiting, gap = None, [], 0
-        # The stretch ended: what was skipped becomes a base of its own.
-        while base is not None:
+        if base is not None:
             yield base
-            rest, base = waiting, None
-            if rest:
-                yield from stretch(rest)
-                return
+            # What the last base skipped over is looked at again on its own.
+            yield from stretch(waiting)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [KEY, "run_start", "run_end", "label", "t_first", "t_last"]
-
-        def rows():
-            for batch in batches:
-                yield from batch.to_dict("records")
-
-        import itertools
-
+        columns = [KEY, "hard_start", "run_start", "run_end", "label", "t_first", "t_last"]
+        rows = (r for b in batches for r in zip(*[b[c].tolist() for c in columns]))
         out = []
-        for _, group in itertools.groupby(rows(), key=lambda r: (r[KEY], r["hard_start"])):
+        for _, group in itertools.groupby(rows, key=lambda r: r[:2]):
             for run in stretch(group):
-                out.append([run[c] for c in columns])
+                out.append(run)
                 if len(out) >= 8192:
-                    yield pd.DataFrame(out, columns=columns)
+                    yield pd.DataFrame(out, columns=columns).drop(columns="hard_start")
                     out = []
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=columns).drop(columns="hard_start")
 
     ordered = (
         runs.select(KEY, "hard_start", "run_start", "run_end", "label", "t_first", "t_last")
