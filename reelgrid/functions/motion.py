@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig, AnalysisSettings, ClassifyConfig, SegmentConfig
@@ -79,6 +79,17 @@ MOVEMENT_TERMS = {
 }
 
 
+def motion_dim(spark: SparkSession) -> DataFrame:
+    """The motion classes with their label, reason phrase, prompt phrase, slug and movement term."""
+    rows = [
+        (k, m, MOTION_LABELS[m], REASON_PHRASES[m], PROMPT_PHRASES[m], MOTION_SLUGS[m], MOVEMENT_TERMS.get(m))
+        for k, m in enumerate(MOTION_TYPES)
+    ]
+    return spark.createDataFrame(
+        rows, "ord int, motion string, label string, reason string, prompt string, slug string, movement string"
+    )
+
+
 def _edge(name: str, cfg: ClassifyConfig) -> Column:
     """Zoom or rotation converted to displacement at the frame edge."""
     return F.abs(F.col(name)) * F.lit(cfg.effective_radius)

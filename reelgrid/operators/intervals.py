@@ -285,3 +285,21 @@ def replace_segments(current: DataFrame, incoming: DataFrame, videos: DataFrame)
     accepted = incoming.join(refused, "video_id", "left_anti")
     touched = accepted.select("video_id").distinct()
     return current.join(touched, "video_id", "left_anti").unionByName(accepted), violations
+
+
+def upload_request_violations(files: DataFrame, limit: int = 500) -> DataFrame:
+    """Problems of duplicate-check requests (request_id, key, size_bytes, fingerprint, duration_sec)."""
+    checks = compact(
+        [
+            F.when(F.col("size_bytes") < 0, F.lit("sizeBytes: must not be negative")),
+            F.when(~F.col("fingerprint").rlike("^[0-9a-f]{64}$"), F.lit("fingerprint: expected 64 hex digits")),
+            F.when(F.col("duration_sec") <= 0, F.lit("durationSec: must be positive")),
+        ]
+    )
+    single = scale.explode_present(files, "violation", checks).select("request_id", "key", "violation")
+    crowded = files.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    return single.unionByName(
+        crowded.select(
+            "request_id", F.lit(None).cast("string").alias("key"), F.lit(f"files: at most {limit}").alias("violation")
+        )
+    )

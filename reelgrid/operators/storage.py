@@ -147,16 +147,13 @@ def cleanup_files(files: DataFrame, jobs: DataFrame) -> DataFrame:
     rows = classified(files) if "category" not in files.columns else files
     building = jobs.where(F.col("build_status") == "building").select("project_id").distinct()
     idle = jobs.where(F.col("build_status") != "building").select("project_id").distinct()
-    any_build = building.agg((F.count(F.lit(1)) > 0).alias("any_build"))
+    any_build = not building.isEmpty()
     owned = rows.where(F.col("project_id").isNotNull() & F.col("category").isin("encodedClips", "archives")).join(
         idle, "project_id", "left_semi"
     )
-    orphans = (
-        rows.where(F.col("project_id").isNull() & F.col("reclaimable"))
-        .join(F.broadcast(any_build))  # one row by construction
-        .where(~(F.col("any_build") & F.col("path").endswith(".part")))
-        .drop("any_build")
-    )
+    orphans = rows.where(F.col("project_id").isNull() & F.col("reclaimable"))
+    if any_build:
+        orphans = orphans.where(~F.col("path").endswith(".part"))
     return owned.unionByName(orphans)
 
 

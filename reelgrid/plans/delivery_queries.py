@@ -189,7 +189,7 @@ def _jobs(spark, sf):
 def report_lines(spark, sf):
     clips = P.csv_clip_view(B.delivery_clips(spark, sf)).withColumn("ordinal", F.col("clip_id").cast("int"))
     results = written_once(P.platform_results(clips, CONTEXT).drop("title", "description", "keywords"))
-    lines = SD.report_lines(_jobs(spark, sf), results, CONTEXT, spark)
+    lines = SD.report_lines(_jobs(spark, sf), results, CONTEXT)
     return lines.groupBy("job_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("characters"))
 
 

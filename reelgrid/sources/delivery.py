@@ -140,7 +140,7 @@ def write_delivery_metadata(documents: DataFrame, path: str) -> None:
 LEVEL_NAMES = {"ok": "OK", "warning": "Warning", "error": "Error"}
 
 
-def report_lines(jobs: DataFrame, results: DataFrame, ctx: P.DeliveryContext, spark: SparkSession) -> DataFrame:
+def report_lines(jobs: DataFrame, results: DataFrame, ctx: P.DeliveryContext) -> DataFrame:
     """Markdown report of every job as ordered lines (job_id, section, ord, sub, line).
 
     ``jobs``: job_id, project_name, folder, built_at, excluded. ``results``: ``platform_results`` of
@@ -176,14 +176,17 @@ def report_lines(jobs: DataFrame, results: DataFrame, ctx: P.DeliveryContext, sp
         return lines(jobs, section, F.array(*[lit(t) for t in texts]))
 
     enabled = [p for p in P.REGISTRY if p in ctx.settings.enabled_platforms]
-    platforms = ctx.rules.platforms(spark).where(F.col("platform").isin(*enabled))
     counts = P.report_counts(results.select("job_id", F.inline("results")))
-    table = (
-        jobs.select("job_id")
-        .crossJoin(F.broadcast(platforms))  # four rows by construction
-        .join(counts, ["job_id", "platform"], "left")
-        .na.fill(0)
-    )
+    facts = F.array(
+        *[
+            F.struct(
+                lit(k).alias("ord"), lit(p).alias("platform"), lit(ctx.rules[p]["label"]).alias("label"),
+                lit(ctx.rules[p]["lastVerified"]).alias("last_verified"), lit(ctx.rules[p]["verified"]).alias("verified"),
+            )
+            for k, p in enumerate(enabled)
+        ]
+    )
+    table = jobs.select("job_id", F.inline(facts)).join(counts, ["job_id", "platform"], "left").na.fill(0)
     verified = F.when(F.col("verified"), "yes").otherwise("no")
     table = table.select(
         "job_id", lit(2).alias("section"), F.col("ord").cast("bigint").alias("ord"), lit(0).alias("sub"),

@@ -111,3 +111,16 @@ def test_second_run_of_a_step_is_empty(spark):
     assert again.count() == 0
     moved = clips.withColumn("start_sec", F.when(F.col("clip_id") == "c2", 3.0).otherwise(F.col("start_sec")))
     assert [r.clip_id for r in K.run_step(moved, hashes, step)[0].collect()] == ["c2"]
+
+
+def test_request_rules_and_motion_dimension(spark):
+    from reelgrid.functions.motion import motion_dim
+
+    rows = [("r1", "a", 5, "0" * 64, 1.0), ("r1", "b", -1, "0" * 64, None), ("r1", "c", 5, "XYZ", 0.0)]
+    files = spark.createDataFrame(rows, "request_id string, key string, size_bytes bigint, fingerprint string, duration_sec double")
+    got = sorted((r.key or "", r.violation) for r in I.upload_request_violations(files, 2).collect())
+    assert got == [
+        ("", "files: at most 2"), ("b", "sizeBytes: must not be negative"), ("c", "durationSec: must be positive"),
+        ("c", "fingerprint: expected 64 hex digits"),
+    ]
+    assert motion_dim(spark).where("slug = 'reveal'").first().motion == "backward"

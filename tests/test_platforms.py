@@ -106,7 +106,7 @@ def test_other_rows_and_issues(results):
 def test_report_and_documents(spark, results, tmp_path):
     jobs = spark.createDataFrame([("j", "Kizhi", "export_kizhi", "2024-08-02T10:30:00.000Z", 1)], "job_id string, project_name string, folder string, built_at string, excluded int")
     rows = results.withColumns({"place_confidence": F.lit("low"), "editorial_reason": F.lit(None).cast("string")})
-    SD.write_report(SD.report_lines(jobs, rows, CTX, spark).coalesce(1), str(tmp_path / "report"))
+    SD.write_report(SD.report_lines(jobs, rows, CTX).coalesce(1), str(tmp_path / "report"))
     text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{tmp_path}/report/job_id=j/*.txt")))
     assert text.startswith("# Export report: Kizhi\n\n- Folder: `export_kizhi`\n")
     assert "- Clips: 4 (excluded by the user: 1)\n" in text
