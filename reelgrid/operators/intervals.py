@@ -128,9 +128,13 @@ def dominant_motion(segments: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def mean_smoothness(segments: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Mean smoothness of the samples inside each segment, 2 digits, 0 without samples."""
+    """Mean smoothness of the samples inside each segment, 2 digits, 0 without samples.
+
+    Stored smoothness has three digits, so thousandths are summed: exact in any order of the rows.
+    """
+    thousandths = F.sum(half_up(F.col("smoothness") * 1000))
     avg = _samples_in(segments, metrics, ["smoothness"]).groupBy("id").agg(
-        round_half_up(F.avg("smoothness"), 2).alias("smoothness")
+        round_half_up(thousandths / (F.count(F.lit(1)) * 1000), 2).alias("smoothness")
     )
     return segments.join(avg, "id", "left").na.fill({"smoothness": 0.0})
 

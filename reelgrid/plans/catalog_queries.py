@@ -482,7 +482,7 @@ WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.video_id = p.video_id AND k.start
 series AS (SELECT video_id, i, floor((t + 1e-1) * 1000 + 5e-1) / 1000 AS t, label, floor(least(1e0, greatest(0e0, smooth_fit)) * 1000 + 5e-1) / 1000 AS f FROM s),
 inside AS (SELECT short.id, label, i, f FROM short JOIN series ON short.video_id = series.video_id AND series.t >= start_sec AND series.t < end_sec),
 top AS (SELECT id, label, count(*) AS n, min(i) AS first_i FROM inside GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(i)) = 1),
-calm AS (SELECT id, floor(avg(f) * 100 + 5e-1) / 100 AS smoothness FROM inside GROUP BY 1)
+calm AS (SELECT id, floor(sum(floor(f * 1000 + 5e-1)) / (count(*) * 1000) * 100 + 5e-1) / 100 AS smoothness FROM inside GROUP BY 1)
 SELECT short.id, video_id, CASE WHEN label IS NULL OR label = 'erratic' THEN 'forward' ELSE label END AS motion_type, coalesce(smoothness, 0e0) AS smoothness
 FROM short LEFT JOIN top ON short.id = top.id LEFT JOIN calm ON short.id = calm.id""",
     "segment_at": f"""WITH {duck("frame_features", "segments")}, {_SHORT}
