@@ -108,7 +108,6 @@ def segment_at(spark, sf):
 def merge_segments(spark, sf):
     segs = B.segments(spark, sf).withColumns(
         {
-            "pos": F.col("id"),
             "reasons": F.array(F.concat(F.lit("origin "), F.col("origin")), F.concat(F.lit("class "), F.col("motion_code").cast("string"))),
         }
     )

@@ -17,7 +17,7 @@ from ..streaming import events as SE
 from . import bindings as B
 from . import motion_queries as MQ
 from .bindings import SETTINGS, duck, duck_six, six
-from .text_queries import CONTEXT, RULES, _ALL_ROWS
+from .text_queries import CONTEXT, RULES
 
 
 def stored_features(spark, sf):

@@ -133,7 +133,6 @@ def nearest_telemetry(spark, sf):
 
 
 def resolve_location(spark, sf):
-    k = F.xxhash64("clip_id")
     clips = _tracked(spark, sf).withColumn(
         "manual_location",
         F.when(F.col("video_id") % 5 == 0, " 59.9, 30.3 ").when(F.col("video_id") % 5 == 1, "Kizhi   Pogost").when(F.col("video_id") % 5 == 2, "nowhere").otherwise(" "),

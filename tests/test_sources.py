@@ -2,8 +2,6 @@ import hashlib
 import json
 import struct
 
-from pyspark.sql import functions as F
-
 from reelgrid import schemas
 from reelgrid.operators import geo as OG
 from reelgrid.sources import delivery as SD
