@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -25,24 +27,37 @@ def local_session(cores: int | str = "*", app: str = "reelgrid", memory: str = "
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting (tests, benchmarks) gets a folder of its own.
+    Only a single-process session without that setting (tests, benchmarks) gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="reelgrid-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reelgrid-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, kind: str = "tables") -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/reelgrid/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _remove(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already; retention of the folder is the fallback
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
 
 
 def written_once(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read, and continue from the files.
 
     The branches share one computation, columns are pruned at the scan, and a lost executor re-reads
-    files instead of recomputing the lineage.
+    files instead of recomputing the lineage. The files live until the driver ends.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/reelgrid/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
