@@ -31,39 +31,37 @@ def drop_shared_lines(
     Lines are compared by two independent 64-bit hashes, counted first per key and then per line, so a line
     that a third of all texts share stays a partial sum. A text moves once, to meet its dropped positions.
     """
-    source = all_cores(texts, text).withColumn(text, F.coalesce(text, F.lit("")))
-    lines = (
-        source.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("_whole"))
-        .select("_key", "_text", F.posexplode(F.split("_whole", "\n")).alias("_position", "line"))
-        .select("_key", "_text", "_position", F.btrim(lower_ascii(F.col("line")), F.lit(_SPACES)).alias("_form"))
-        .where(F.length("_form") >= min_chars)
-        .select(
-            "_key", "_text", "_position",
-            F.xxhash64("_form").alias("_h"), F.xxhash64(F.lit(1), "_form").alias("_g"),
-        )
-    )
-    lines = written_once(lines)
+    whole = F.coalesce(F.col("row")[text], F.lit(""))
+    # The input row stays one value, so that its columns can't clash with those of the work.
+    source = all_cores(texts, text).select(F.struct(*texts.columns).alias("row"))
+    source = source.select("row", F.col("row")[key].alias("key"), whole.alias("whole"), F.xxhash64(whole).alias("hash"))
+    lines = written_once(
+        source.select("key", "hash", F.posexplode(F.split("whole", "\n")).alias("position", "line"))
+        .select("key", "hash", "position", F.btrim(lower_ascii(F.col("line")), F.lit(_SPACES)).alias("form"))
+        .where(F.length("form") >= min_chars)
+        .select("key", "hash", "position", F.xxhash64("form").alias("h"), F.xxhash64(F.lit(1), "form").alias("g"))
+    )
     shared = (
-        lines.groupBy("_h", "_g", "_key")
-        .agg(F.lit(1).alias("_one"))
-        .groupBy("_h", "_g")
-        .agg(F.count("*").alias("_texts"), F.max("_key").alias("_keeper"))
-        .where(F.col("_texts") >= min_texts)
-        .drop("_texts")
+        lines.select("h", "g", "key")
+        .distinct()
+        .groupBy("h", "g")
+        .agg(F.count("*").alias("texts"), F.max("key").alias("keeper"))
+        .where(F.col("texts") >= min_texts)
     )
     dropped = (
-        lines.join(shared, ["_h", "_g"])
-        .where(~F.col("_key").eqNullSafe(F.col("_keeper")))
-        .groupBy("_key", "_text")
-        .agg(F.collect_set("_position").alias("_dropped"))
+        lines.join(shared, ["h", "g"])
+        .where(~F.col("key").eqNullSafe(F.col("keeper")))
+        .groupBy(F.col("key").alias("_key"), F.col("hash").alias("_hash"))
+        .agg(F.collect_set("position").alias("dropped"))
     )
-    parts = F.split(text, "\n")
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_dropped"))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash"))
+    parts = F.split("whole", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
     # The one-element transform binds the split text, so it is cut once per text and not once per line.
     rest = F.transform(F.array(parts), lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n"))[0]
+    freed = F.when(F.col("dropped").isNull(), F.col("whole")).otherwise(rest)
     return source.join(dropped, same, "left").select(
-        *(F.when(F.col("_dropped").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text else F.col(c) for c in texts.columns),
+        *(freed.alias(c) if c == text else F.col("row")[c].alias(c) for c in texts.columns),
         F.size(parts).cast("bigint").alias("n_lines"),
-        F.coalesce(F.array_size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )

@@ -23,8 +23,8 @@ from .pretokens import is_simple, load, special_tokens, word_level
 END_ID = 1
 #: Lengths are fitted in this many steps of a sequence; a pattern holds at most MAX_PARTS pieces.
 STEPS, MAX_PARTS = 64, 4
-#: Pieces up to this share of a sequence stay out of the patterns and fill the room they leave.
-FILLER_SHARE = 1 / 16
+#: Pieces up to this share of a sequence are not fitted; they close sequences and fill the room that is left.
+FILLER_SHARE = 1 / 4
 #: Words whose ids a worker remembers (twice as many at most).
 REMEMBERED = 300_000
 #: Pieces of one length that one task ranks.
@@ -247,23 +247,47 @@ def _patterns(histogram: np.ndarray, max_len: int):
         for s in shape:
             matrix[s - 1, column] += 1
     repeats = np.floor(non_negative_least_squares(matrix, target / target.sum()) * target.sum() + 1e-9)
-    stock = {s: [[int(n), int(histogram[n])] for n in lengths[steps == s]] for s in present}  # longest last
+    stock = _Stock(histogram)
     for column in np.argsort(-repeats, kind="stable"):
+        *fixed, _ = shapes[column]
         left = int(repeats[column])
-        while left > 0 and all(len(stock[s]) for s in shapes[column]):
-            taken = [stock[s][-1] for s in shapes[column]]
-            times = min([left, *(n[1] // sum(m is n for m in taken) for n in taken)])
-            if times == 0:  # one piece is left of a length that the pattern needs twice
-                dry = next(s for s in shapes[column] if stock[s][-1][1] < sum(m is stock[s][-1] for m in taken))
-                stock[dry].pop()
-                continue
-            yield sorted((n[0] for n in taken), reverse=True), times
+        while left > 0:
+            taken: list[int] = []
+            for s in fixed:
+                taken.append(stock.longest((s - 1) * step + 1, s * step, taken))
+            # The last part is not bound to its step: the longest piece that fits closes the sequence.
+            taken.append(stock.longest(1, max_len - sum(taken), taken) if all(taken) else 0)
+            if not all(taken):
+                break
+            times = min(left, *(stock.left[n] // taken.count(n) for n in taken))
+            stock.take(taken, times)
+            yield sorted(taken, reverse=True), times
             left -= times
-            for n in taken:
-                n[1] -= times
-            for s in set(shapes[column]):
-                while stock[s] and stock[s][-1][1] == 0:
-                    stock[s].pop()
+
+
+class _Stock:
+    """Pieces left of every length."""
+
+    def __init__(self, histogram: np.ndarray):
+        self.left = histogram.tolist()
+        self.present = sum(1 << int(n) for n in np.flatnonzero(histogram))  # bit n: there are pieces of length n
+
+    def longest(self, low: int, high: int, taken: list[int]) -> int:
+        """The longest length in low..high that has a piece besides those taken; 0 if there is none."""
+        while high >= low:
+            high = (self.present & ((1 << (high + 1)) - 1)).bit_length() - 1
+            if high < low:
+                break
+            if self.left[high] > taken.count(high):
+                return high
+            high -= 1
+        return 0
+
+    def take(self, lengths: list[int], times: int) -> None:
+        for n in lengths:
+            self.left[n] -= times
+            if not self.left[n]:
+                self.present &= ~(1 << n)
 
 
 def _partitions(total: int, parts: int, largest: int):

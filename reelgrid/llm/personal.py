@@ -60,7 +60,7 @@ def find_personal_data(texts: DataFrame, key: str = "clip_id", text: str = "desc
     ``n_ip``, ``n_card``, ``n_phone``. Offsets are code points of the source, end exclusive.
 
     Null and empty texts have no spans; a null key stays null; repeated rows give one result each; other
-    columns are ignored. A disguised span never overlaps a plain one. Memory is bounded by a slice of text.
+    columns are ignored. A disguised span never lies within a plain one of its kind. Memory is bounded by a slice of text.
     """
     columns = ["plain", "plain_sha256", "spans"]
 

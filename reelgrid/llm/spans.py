@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 
 Span = tuple[str, int, int]
 
@@ -19,11 +20,15 @@ def digest(spans: list[Span], kinds: list[str]) -> str:
 
 
 def free(spans: list[Span], taken: list[Span]) -> list[Span]:
-    """Spans that touch no taken span and no earlier one of the list (taken spans don't overlap)."""
-    starts = sorted((s, e) for _, s, e in taken)
+    """Spans that lie within no taken span of their kind and touch no earlier one of the list."""
+    ends: dict[str, list[tuple[int, int]]] = {}  # per kind: starts, and the furthest end so far
+    for kind, start, end in sorted(taken, key=lambda x: x[1]):
+        known = ends.setdefault(kind, [])
+        known.append((start, max(end, known[-1][1] if known else 0)))
     out: list[Span] = []
     for span in sorted(spans, key=lambda x: (x[1], -x[2])):
-        at = bisect.bisect_left(starts, (span[2], 0)) - 1
-        if not (at >= 0 and starts[at][1] > span[1]) and not (out and span[1] < out[-1][2]):
+        known = ends.get(span[0], [])
+        at = bisect.bisect_right(known, (span[1], math.inf)) - 1
+        if not (at >= 0 and known[at][1] >= span[2]) and not (out and span[1] < out[-1][2]):
             out.append(span)
     return out

@@ -6,6 +6,7 @@ pre-token, so a text's count is the sum of its pre-tokens' counts; each distinct
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -19,7 +20,7 @@ from .pretokens import byte_level, load, special_tokens
 
 #: Distinct pre-tokens that a counting task holds before it hands its counts on.
 FLUSH = 300_000
-#: Most frequent pre-tokens whose counts every worker holds; all others meet their counts in a join.
+#: Most pre-tokens, the most frequent ones, whose counts every worker holds; others meet theirs in a join.
 HOT = 1 << 18
 
 
@@ -33,7 +34,7 @@ def count_tokens(
 
     Null and empty texts have 0 tokens, a null key stays null, repeated rows give one result each, other
     columns are ignored. Spark counts each distinct pre-token over the corpus; its pieces are counted once;
-    the HOT most frequent counts (a bounded table) go to the workers and the rest are joined by pre-token.
+    the counts of the most frequent ones (HOT at most) go to the workers and the rest are joined by pre-token.
     """
     spark = prompts.sparkSession
     source = all_cores(prompts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text")
@@ -57,7 +58,7 @@ def count_tokens(
 
     seen = source.mapInArrow(distinct, "piece string, seen bigint").groupBy("piece").agg(F.sum("seen").alias("seen"))
     counted = written_once(seen.mapInArrow(pieces, "piece string, seen bigint, n bigint"))
-    hot_rows = counted.orderBy(F.desc("seen"), "piece").limit(HOT).select("piece", "n")
+    hot_rows = counted.where(F.col("seen") >= _hot_from(counted)).select("piece", "n")
     hot = spark.sparkContext.broadcast(dict(zip(*hot_rows.toArrow().to_pydict().values(), strict=True)))
 
     def per_text(batches):
@@ -119,6 +120,19 @@ def count_tokens(
     )
 
 
+def _hot_from(counted: DataFrame) -> int:
+    """Least count from which on at most HOT pre-tokens are as frequent, from counts by eighths of an octave."""
+    step = F.floor(8 * F.log2("seen")).cast("int").alias("step")
+    sizes = dict(counted.groupBy(step).count().collect())  # a few hundred rows
+    total, lowest = 0, max(sizes, default=0) + 1
+    for step in sorted(sizes, reverse=True):
+        total += sizes[step]
+        if total > HOT:
+            break
+        lowest = step
+    return math.ceil(2 ** (lowest / 8))
+
+
 def _cut(text: str, tokenizer: str) -> tuple[list[str], int]:
     """Pre-tokens outside special strings, and the number of special strings."""
     specials = special_tokens(tokenizer)
