@@ -21,15 +21,15 @@ from pyspark.sql.types import DataType
 from .batches import all_cores, mixed, slices, texts_of
 
 #: Most edits, as a share of the item's characters.
-EDIT_SHARE = 0.1
+EDIT_SHARE = 0.2
 #: Steps of a walk (half as many characters on average) and steps that a key samples.
 STEPS, SAMPLED = 64, 12
 #: Least share of equal steps of two walks that agree on a key.
 NEAR = 0.6
 #: Share of items that must be found when their characters are edited at the rate of the most edits.
-RECALL, MOST_KEYS = 0.99, 24
+RECALL, MOST_KEYS = 0.95, 40
 #: Every STRIDE-th word of a text starts a window; every word of an item does.
-STRIDE = 3
+STRIDE = 2
 #: Characters of items that one pass looks for.
 ITEM_BLOCK = 1 << 20
 _FILTER_BITS = 18
