@@ -59,9 +59,9 @@ def repetition(text):
     failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
     dup_chars = sum(map(len, lines)) - sum(map(len, set(lines)))
     bad = (
-        len(lines) - len(set(lines)) > 0.3 * len(lines)
-        or dup_chars > 0.2 * sum(map(len, lines))
-        or any(s > t for s, t in zip(shares, (0.15, 0.14, 0.13, 0.12, 0.11, 0.10), strict=True))
+        len(lines) - len(set(lines)) > 0.5 * len(lines)
+        or dup_chars > 0.3 * sum(map(len, lines))
+        or any(s > t for s, t in zip(shares, (0.45, 0.42, 0.39, 0.36, 0.33, 0.30), strict=True))
     )
     symbols = sum(c in "#*$%&|<>" for c in text)
     return (
