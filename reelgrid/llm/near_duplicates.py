@@ -26,7 +26,7 @@ HASHES = BANDS * ROWS
 #: Hashes compared before each look at the posterior; probability at which a pair is given up.
 BATCH, MISS = 32, 1e-6
 #: Classes of a bucket that are compared as one block against another.
-BLOCK = 1024
+BLOCK = 512
 _MULTIPLIERS = mixed(np.arange(1, HASHES + 1)) | np.uint64(1)
 _SEEDS = mixed(np.arange(1, HASHES + 1) + (1 << 32))
 
@@ -43,8 +43,8 @@ def near_duplicates(
     Null, empty and blank texts have no shingles and are linked with nothing. A null key cannot name a group:
     its component is null and it is kept. Rows that repeat a key are compared each with its own text. Other
     columns are ignored. Candidates are first linked to one hub per bucket; only classes of one bucket that
-    are in different groups by then are compared further, in blocks of bounded size, so a large group of
-    copies is never expanded into pairs.
+    are in different groups by then are compared further, in blocks of bounded size that report one link for
+    every two groups they join, so a large group of copies is never expanded into pairs.
     """
     source = all_cores(texts.select(key, text), text)
     kind = source.schema[0].dataType.simpleString()
@@ -63,23 +63,18 @@ def near_duplicates(
     hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = written_once(bands.join(hubs, "bucket"))
     involved = shared.select("rep").distinct()
-    signatures = written_once(chosen.join(involved, "rep", "left_semi").select("rep", "signature"))
-    sets = _sets(source, chosen.join(involved, "rep", "left_semi").select("rep", "set_hash"), width, kind)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
-        common = F.size(F.array_intersect("_a", "_b"))
-        union = F.size("_a") + F.size("_b") - common
-        return written_once(
-            pairs.distinct().join(a, "a").join(b, "b").where(100 * common >= percent * union).select("a", "b")
-        )
-
+    wanted = chosen.join(involved, "rep", "left_semi").select("rep", "set_hash", "signature")
+    profiles = _profiles(source, wanted, width, kind)
     stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(_pruned(stars, signatures, percent))
-    for best_only in (True, False):
-        across = _across(shared, components(links), signatures, percent, best_only)
-        links = written_once(links.unionByName(verified(across)))
+    a, b = (profiles.select(F.col("rep").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("_a", "_b"))
+    union = F.size("_a") + F.size("_b") - common
+    pairs = _pruned(stars, profiles.select("rep", "signature"), percent).join(a, "a").join(b, "b")
+    links = written_once(pairs.where(100 * common >= percent * union).select("a", "b"))
     roots = components(links)
+    across = written_once(_across(shared, roots, profiles, percent))
+    if not across.isEmpty():
+        roots = components(links.unionByName(across))
     return _labelled(members, classes, roots).withColumnRenamed("id", key)
 
 
@@ -195,12 +190,11 @@ def _pruned(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _across(
-    shared: DataFrame, roots: DataFrame, signatures: DataFrame, percent: int, best_only: bool
-) -> DataFrame:
-    """Surviving pairs of a bucket between different groups; with ``best_only`` one per class and other group.
+def _across(shared: DataFrame, roots: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside buckets between classes that are still in different groups.
 
-    A bucket of n classes is dealt into blocks of about BLOCK classes; each task compares two blocks.
+    A bucket of n classes is dealt into blocks of about BLOCK classes; each task compares two blocks, and
+    reports one link for every two groups that it joins, so the result grows with the groups, not with pairs.
     """
     placed = shared.join(roots, shared.rep == roots.node, "left").select(
         "bucket", "rep", "n", F.coalesce("root", "rep").alias("root")
@@ -216,7 +210,7 @@ def _across(
         .withColumns({"_blocks": blocks, "_own": own})
         .select("bucket", "rep", "root", "_own", other)
         .select("bucket", "rep", "root", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-        .join(signatures, "rep")
+        .join(profiles, "rep")
     )
     kind = shared.schema["rep"].dataType.simpleString()
     looks = least_matches(percent)
@@ -226,40 +220,60 @@ def _across(
         second = pc.equal(table["_own"], table["_j"])
         left, right = table.filter(first), table.filter(second)
         same_block = table["_i"][0].as_py() == table["_j"][0].as_py()
-        a, b = _survivors(left, right, looks, same_block, best_only)
+        a, b = _joining(left, right, looks, same_block, percent)
         return pa.table({"a": left["rep"].take(a), "b": right["rep"].take(b)})
 
     found = dealt.groupBy("bucket", "_i", "_j").applyInArrow(compare, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.distinct()
 
 
-def _survivors(left: pa.Table, right: pa.Table, looks, same_block: bool, best_only: bool):
+def _joining(left: pa.Table, right: pa.Table, looks, same_block: bool, percent: int):
+    """Rows of both blocks that are linked, one pair for every two groups that become one."""
     x, y = (_matrix(t["signature"].combine_chunks()) for t in (left, right))
     _, codes = np.unique(np.array(left["root"].to_pylist() + right["root"].to_pylist()), return_inverse=True)
-    gx, gy = codes[: len(x)], codes[len(x) :]
-    out_a, out_b = [], []
+    gx, gy = codes[: len(x)], codes[len(x) :]  # group of each row, renamed as groups become one
+    (sets_x, bounds_x), (sets_y, bounds_y) = (_flat(t["shingles"]) for t in (left, right))
+    _, ids = np.unique(np.concatenate([sets_x, sets_y]), return_inverse=True)
+    ids_x, ids_y = ids[: len(sets_x)], ids[len(sets_x) :]
+    inside = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    out: list[tuple[int, int]] = []
     for row in range(len(x)):
         alive = np.flatnonzero(gy != gx[row])
-        if same_block and not best_only:
+        if same_block:
             alive = alive[alive > row]
         equal, done = np.zeros(len(alive), np.int64), 0
         for n, least in looks:
             equal += (y[alive, done:n] == x[row, done:n]).sum(1)
             alive, equal, done = alive[equal >= least], equal[equal >= least], n
-        if best_only and len(alive):
-            order = np.argsort(-equal, kind="stable")
-            _, best = np.unique(gy[alive[order]], return_index=True)
-            alive = alive[order[best]]
-        out_a.append(np.full(len(alive), row))
-        out_b.append(alive)
-    join = lambda parts: pa.array(np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64))
-    return join(out_a), join(out_b)
-
-
-def _sets(source: DataFrame, wanted: DataFrame, width: int, kind: str) -> DataFrame:
-    """Full shingle sets of the classes (rep, set_hash) that share a bucket with another."""
+        own = ids_x[bounds_x[row] : bounds_x[row + 1]]
+        inside[own] = True
+        for other in alive[np.argsort(-equal, kind="stable")]:  # the likeliest first: it saves the rest of its group
+            if gy[other] != gx[row]:
+                theirs = ids_y[bounds_y[other] : bounds_y[other + 1]]
+                common = int(np.count_nonzero(inside[theirs]))
+                if 100 * common >= percent * (len(own) + len(theirs) - common):
+                    out.append((row, int(other)))
+                    old, new = gy[other], gx[row]
+                    gx[gx == old] = new
+                    gy[gy == old] = new
+        inside[own] = False
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.array(pairs[:, 0]), pa.array(pairs[:, 1])
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after another, and the bounds of the lists."""
+    lists = column.combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes)).astype(np.int64)
+
+
+def _profiles(source: DataFrame, wanted: DataFrame, width: int, kind: str) -> DataFrame:
+    """Signature and full shingle set of the classes (rep, set_hash) that share a bucket with another."""
     import xxhash
 
+    names = ["rep", "set_hash", "signature", "shingles"]
+
     def run(batches):
         for batch in slices(batches, 1, 1 << 20):
             values, bounds = _shingles(batch.column(1), width)
@@ -268,11 +282,10 @@ def _sets(source: DataFrame, wanted: DataFrame, width: int, kind: str) -> DataFr
             shingles = pa.ListArray.from_arrays(
                 pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64), pa.int64())
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), shingles], ["rep", "set_hash", "shingles"]).filter(
-                pa.array(right)
-            )
+            columns = [batch.column(0), batch.column(2), batch.column(3), shingles]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(right))
 
     key = source.columns[0]
     texts = source.join(wanted.withColumnRenamed("rep", key), key)
-    sets = texts.mapInArrow(run, f"rep {kind}, set_hash binary, shingles array<bigint>")
-    return written_once(sets.dropDuplicates(["rep", "set_hash"]).drop("set_hash"))
+    found = texts.mapInArrow(run, f"rep {kind}, set_hash binary, signature binary, shingles array<bigint>")
+    return written_once(found.dropDuplicates(["rep", "set_hash"]).drop("set_hash"))
