@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,14 +40,6 @@ def compact(items: list[Column]) -> Column:
     return F.array_compact(F.array(*items))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def case(pairs: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
     head, *rest = pairs
     out = F.when(*head)

@@ -121,6 +121,13 @@ def transliterate(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
 
+def each_transliterated(items: Column, step: Callable[[Column], Column] = transliterate) -> Column:
+    """``step`` (character by character) over all items of an array at once, as one joined text."""
+    unit = "\x1f"  # becomes a blank where it occurs inside an item
+    joined = F.array_join(F.transform(items, lambda k: F.translate(k, unit, " ")), unit)
+    return F.split(step(joined), unit)
+
+
 def slugify(c: Column) -> Column:
     flat = F.regexp_replace(F.lower(transliterate(c)), "[^a-z0-9]+", "_")
     return F.regexp_replace(flat, "^_+|_+$", "")
@@ -287,13 +294,13 @@ def envato_keywords(items: Column, rules: TagRules) -> Column:
     """ASCII tags within a count and a total length budget; the list ends at the first overflow."""
 
     def tidy(k: Column) -> Column:
-        ascii_only = collapse(F.regexp_replace(transliterate(k), "[^A-Za-z0-9. ]+", " "))
+        ascii_only = collapse(F.regexp_replace(k, "[^A-Za-z0-9. ]+", " "))
         return F.when(k.rlike("^[A-Za-z0-9]+$"), k).otherwise(F.regexp_replace(ascii_only, "^[.]+", ""))
 
     def shorten(k: Column) -> Column:
         return F.trim(F.substring(F.regexp_replace(F.trim(k), "^[.]+", ""), 1, rules.max_length))
 
-    tokens = F.transform(F.array_distinct(items), tidy)
+    tokens = F.transform(each_transliterated(F.array_distinct(items)), tidy)
     if rules.split_multiword:
         tokens = F.flatten(F.transform(tokens, lambda k: F.split(k, " ")))
     usable = F.filter(F.transform(tokens, shorten), lambda k: (k != "") & ~k.rlike("^[0-9.]+$"))
@@ -315,16 +322,27 @@ def envato_keywords(items: Column, rules: TagRules) -> Column:
 READABLE = {"&": " and ", "%": " percent", "@": " at ", "/": " ", "\\": " "}
 
 
-def pond5_sanitize(c: Column, forbidden: str) -> Column:
-    """Transliterate, replace or strip forbidden characters, printable ASCII only."""
-    text = c
+def _permitted(c: Column, forbidden: str) -> Column:
+    """Transliterated, forbidden characters replaced or stripped."""
     for ch, words in READABLE.items():
         if ch in forbidden:
-            text = F.replace(text, F.lit(ch), F.lit(words))
-    ascii_text = F.translate(transliterate(text), forbidden, "")
-    spaced = collapse(F.regexp_replace(ascii_text, r"[^\x20-\x7e]", " "))
-    clean = F.regexp_replace(spaced, r" +([,.;:!])", "$1")
-    return F.when(c.rlike("^[A-Za-z0-9]+$"), c).otherwise(clean)
+            c = F.replace(c, F.lit(ch), F.lit(words))
+    return F.translate(transliterate(c), forbidden, "")
+
+
+def _printable(c: Column) -> Column:
+    spaced = collapse(F.regexp_replace(c, r"[^\x20-\x7e]", " "))
+    return F.when(c.rlike("^[A-Za-z0-9]+$"), c).otherwise(F.regexp_replace(spaced, r" +([,.;:!])", "$1"))
+
+
+def pond5_sanitize(c: Column, forbidden: str) -> Column:
+    """Transliterate, replace or strip forbidden characters, printable ASCII only."""
+    return _printable(_permitted(c, forbidden))
+
+
+def pond5_sanitize_all(items: Column, forbidden: str) -> Column:
+    """pond5_sanitize of every item; the costly replacements run once per array."""
+    return F.transform(each_transliterated(items, lambda c: _permitted(c, forbidden)), _printable)
 
 
 def fit(c: Column, limit: int, field: str, mode: str = "word") -> Column:

@@ -322,10 +322,15 @@ def reanalysis_counts(videos: DataFrame, cache: DataFrame, fps: float) -> DataFr
 
 
 def upsert_latest(table: DataFrame, updates: DataFrame, key: list[str], version: str) -> DataFrame:
-    """Insert or replace by key; the newest version wins. max_by combines on the map side."""
-    rows = table.unionByName(updates)
-    rest = [c for c in rows.columns if c not in key]
-    latest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row"))
+    """Insert or replace by key; the newest version wins. max_by combines on the map side.
+
+    A null version is older than any other; of equal versions an update replaces the stored row, and
+    equal updates are ordered by their values.
+    """
+    rows = table.withColumn("_side", F.lit(0)).unionByName(updates.withColumn("_side", F.lit(1)))
+    rest = [c for c in rows.columns if c not in (*key, "_side")]
+    order = F.struct(F.col(version).isNotNull(), F.col(version), "_side", F.to_json(F.struct(*rest)))
+    latest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return latest.select(*key, "_row.*").select(*table.columns)
 
 

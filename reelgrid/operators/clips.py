@@ -37,11 +37,6 @@ def step_hash(*parts: Column) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256), 1, 32)
 
 
-def sorted_entries(m: Column) -> Column:
-    """Map entries in key order, for hashing."""
-    return F.array_sort(F.map_entries(m))
-
-
 def is_awaiting_cut() -> Column:
     return (F.col("status") == "review") & F.col("approved") & ~F.col("excluded")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -38,15 +37,28 @@ def nearest_telemetry(clips: DataFrame, track: DataFrame, span: float = TRACK_SP
     targets = clips.select("video_id", "clip_id", F.inline(spots)).withColumn("kind", F.lit(1))
     point = F.struct("t", "lat", "lon", "altitude_m")
     points = track.select("video_id", "t", point.alias("point")).withColumn("kind", F.lit(0))
-    mixed = points.unionByName(targets, allowMissingColumns=True).withColumn("back", -F.col("t"))
-    # Two passes: the last point up to the target and, in reverse order, the first one after it.
-    before = scale.running_last(mixed, ["video_id"], "t", {"earlier": F.col("point")}, span, ["t", "kind"]).drop("chunk")
-    both = scale.running_last(before, ["video_id"], "back", {"later": F.col("point")}, span, ["back", "kind"])
+    mixed = points.unionByName(targets, allowMissingColumns=True).withColumn("chunk", F.floor(F.col("t") / span))
+    # One exchange on (video, chunk): the last point up to the target, the first one after it, and the ends
+    # of the chunk, through which neighbouring chunks are reached.
+    mixed = mixed.repartition("video_id", "chunk")
+    chunk, whole = W.partitionBy("video_id", "chunk"), W.partitionBy("video_id").orderBy("chunk")
+    so_far = lambda *order: F.last("point", True).over(chunk.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    when = F.when(F.col("kind") == 0, F.col("t"))
+    ends = mixed.groupBy("video_id", "chunk").agg(F.min_by("point", when).alias("a"), F.max_by("point", when).alias("b"))
+    reached = ends.select(
+        "video_id", "chunk",
+        F.last("b", True).over(whole.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+        F.last("a", True).over(W.partitionBy("video_id").orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)).alias("_after"),
+    )
+    both = mixed.withColumns({"_in": so_far("t", "kind"), "_out": so_far(F.desc("t"), "kind")}).where("kind = 1")
+    both = both.join(reached, ["video_id", "chunk"]).withColumns(
+        {"earlier": F.coalesce("_in", "_before"), "later": F.coalesce("_out", "_after")}
+    )
     gap = lambda p: F.abs(F.col(p)["t"] - F.col("t"))
     closer = F.when(
         F.col("later").isNull() | (gap("earlier") <= gap("later")), F.col("earlier")
     ).otherwise(F.col("later"))
-    found = both.where("kind = 1").select("clip_id", "spot", closer.alias("p"))
+    found = both.select("clip_id", "spot", closer.alias("p"))
     per_clip = found.groupBy("clip_id").agg(
         *[F.max(F.when(F.col("spot") == n, F.col("p"))).alias(f"{n}_point") for n in ("start", "mid", "end")]
     )
@@ -179,44 +191,60 @@ _POI_FIELDS = ["name", "name_en", "type", "distance_m", "bearing_deg", "in_camer
 def merge_poi_entities(candidates: DataFrame, order: list[str]) -> DataFrame:
     """Merge candidates of a clip that share a wikidata id or a name, in list order.
 
-    The first entry keeps its name, bearing and sector and absorbs a missing id, an English name and
-    the shorter distance. Adds ``ord``, the position of the entity.
+    A candidate belongs to the entity that first used its id, else its English name, else its name. The
+    entity keeps name, type, bearing and sector of its first candidate, and takes the first id, the first
+    proper English name and the shortest distance of all. Adds ``ord``, the position of the entity.
+
+    Clips without a shared key are numbered by a window; only clips with one are walked in order.
     """
     keyed = candidates if "k_en" in candidates.columns else with_name_keys(candidates)
-    key_type = dict(candidates.dtypes)["clip_id"]
-    read = ["clip_id", *_POI_FIELDS, "k_en", "k_name"]
-    schema = (
-        f"clip_id {key_type}, ord bigint, name string, name_en string, type string, distance_m bigint, "
-        "bearing_deg double, in_camera_sector boolean, wikidata_id string"
+    clip_type = dict(candidates.dtypes)["clip_id"]
+    in_order = W.partitionBy("clip_id").orderBy(*order)
+    keys = F.filter(F.array("wikidata_id", "k_en", "k_name"), lambda k: k.isNotNull() & (k != ""))
+    listed = keyed.withColumns({"_keys": keys, "pos": F.row_number().over(in_order).cast("bigint") - 1}).select(
+        "clip_id", "pos", "_keys", *_POI_FIELDS
     )
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for b in batches for r in zip(*[b[c].tolist() for c in read]))
-        out = []
-        for clip, group in itertools.groupby(rows, key=lambda r: r[0]):
-            by_key, entities = {}, []
-            for _, name, name_en, kind, metres, bearing, view, wiki, k_en, k_name in group:
-                keys = [k for k in (wiki, k_en, k_name) if k]
-                hit = next((by_key[k] for k in keys if k in by_key), None)
-                if hit is None:
-                    hit = [name, name_en, kind, metres, bearing, view, wiki]
-                    entities.append(hit)
-                else:
-                    hit[6] = hit[6] or wiki
-                    if hit[1] == hit[0] and name_en != name:
-                        hit[1] = name_en
-                    hit[3] = min(hit[3], metres)
-                for k in keys:
-                    by_key[k] = hit
-            out += [(clip, k, *e) for k, e in enumerate(entities)]
-            if len(out) >= 8192:
-                yield pd.DataFrame(out, columns=["clip_id", "ord", *_POI_FIELDS])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["clip_id", "ord", *_POI_FIELDS])
-
-    columns = [*read, *[c for c in order if c not in _POI_FIELDS]]
-    return scale.ordered_fold(keyed.select(*columns), ["clip_id"], order, fold, schema)
+    uses = listed.select("clip_id", F.explode(F.array_distinct("_keys")).alias("key")).groupBy("clip_id", "key").count()
+    clashing = uses.where("count > 1").select("clip_id").distinct()
+    walked = scale.ordered_fold(
+        listed.join(clashing, "clip_id", "left_semi").select("clip_id", "pos", "_keys"),
+        ["clip_id"], ["pos"], _entities, f"clip_id {clip_type}, pos bigint, entity bigint",
+    )
+    placed = listed.join(walked, ["clip_id", "pos"], "left").withColumn("entity", F.coalesce("entity", "pos"))
+    first = F.struct(*[c for c in _POI_FIELDS if c not in ("distance_m", "wikidata_id")])
+    # An English name counts if it is not just the candidate's own name.
+    proper = F.when(~F.col("name_en").eqNullSafe(F.col("name")), F.struct("pos", "name_en"))
+    merged = placed.groupBy("clip_id", "entity").agg(
+        F.min_by(first, "pos").alias("_first"),
+        F.min("distance_m").alias("distance_m"),
+        F.min_by("wikidata_id", F.when(F.col("wikidata_id").isNotNull(), F.col("pos"))).alias("wikidata_id"),
+        F.array_sort(F.collect_list(proper)).alias("_proper"),
+    )
+    own_english = F.col("_first.name_en").eqNullSafe(F.col("_first.name"))
+    better = F.filter("_proper", lambda p: ~p["name_en"].eqNullSafe(F.col("_first.name")))
+    english = F.when(own_english, F.coalesce(F.get(better, F.lit(0))["name_en"], F.col("_first.name_en"))).otherwise(
+        F.col("_first.name_en")
+    )
+    number = F.row_number().over(W.partitionBy("clip_id").orderBy("entity")).cast("bigint") - 1
+    return merged.select(
+        "clip_id", number.alias("ord"), "_first.name", english.alias("name_en"), "_first.type", "distance_m",
+        "_first.bearing_deg", "_first.in_camera_sector", "wikidata_id",
+    )
+
+
+def _entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entity (position of its first candidate) of the candidates of clashing clips, in order."""
+    clip, owner = None, {}
+    for batch in batches:
+        entities = []
+        for row_clip, pos, keys in zip(batch["clip_id"], batch["pos"], batch["_keys"], strict=True):
+            if row_clip != clip:
+                clip, owner = row_clip, {}
+            known = [owner[k] for k in keys if k in owner]
+            entity = known[0] if known else pos
+            owner.update(dict.fromkeys(keys, entity))
+            entities.append(entity)
+        yield pd.DataFrame({"clip_id": batch["clip_id"], "pos": batch["pos"], "entity": entities})
 
 
 def merge_poi_bulk(pois: DataFrame) -> DataFrame:

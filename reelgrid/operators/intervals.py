@@ -114,29 +114,37 @@ def _samples_in(segments: DataFrame, metrics: DataFrame, columns: list[str]) ->
     return s.join(m, ["video_id", "bucket"]).where((F.col("t") >= F.col("start_sec")) & (F.col("t") < F.col("end_sec")))
 
 
-def dominant_motion(segments: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Most frequent class of the samples inside each segment; first seen wins ties.
+def segment_motion(segments: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Most frequent class (``motion_type``) and mean ``smoothness`` of the samples inside each segment.
 
-    Defaults to forward, and erratic is reported as forward.
+    The class that is seen first wins ties; erratic is reported as forward, and so is a segment without
+    samples. Smoothness has two digits, 0 without samples; stored values have three digits, so thousandths
+    are summed: exact in any order of the rows.
     """
-    counted = _samples_in(segments, metrics, ["motion"]).groupBy("id", "motion").agg(
-        F.count(F.lit(1)).alias("n"), F.min("i").alias("first_i")
+    counted = _samples_in(segments, metrics, ["motion", "smoothness"]).groupBy("id", "motion").agg(
+        F.count(F.lit(1)).alias("n"), F.min("i").alias("first_i"), F.sum(half_up(F.col("smoothness") * 1000)).alias("s")
+    )
+    per_segment = counted.groupBy("id").agg(
+        F.max_by("motion", F.struct("n", -F.col("first_i"))).alias("_motion"),
+        round_half_up(F.sum("s") / (F.sum("n") * 1000), 2).alias("smoothness"),
+    )
+    chosen = F.when(F.col("_motion").isNull() | (F.col("_motion") == "erratic"), "forward").otherwise(F.col("_motion"))
+    return (
+        segments.join(per_segment, "id", "left")
+        .withColumns({"motion_type": chosen, "smoothness": F.coalesce("smoothness", F.lit(0.0))})
+        .drop("_motion")
     )
-    best = counted.groupBy("id").agg(F.max_by("motion", F.struct("n", -F.col("first_i"))).alias("motion"))
-    chosen = F.when(F.col("motion").isNull() | (F.col("motion") == "erratic"), "forward").otherwise(F.col("motion"))
-    return segments.join(best, "id", "left").withColumn("motion_type", chosen).drop("motion")
 
 
-def mean_smoothness(segments: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Mean smoothness of the samples inside each segment, 2 digits, 0 without samples.
+def dominant_motion(segments: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``motion_type`` of segment_motion."""
+    return segment_motion(segments.drop("smoothness"), metrics).drop("smoothness")
 
-    Stored smoothness has three digits, so thousandths are summed: exact in any order of the rows.
-    """
-    thousandths = F.sum(half_up(F.col("smoothness") * 1000))
-    avg = _samples_in(segments, metrics, ["smoothness"]).groupBy("id").agg(
-        round_half_up(thousandths / (F.count(F.lit(1)) * 1000), 2).alias("smoothness")
-    )
-    return segments.join(avg, "id", "left").na.fill({"smoothness": 0.0})
+
+def mean_smoothness(segments: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``smoothness`` of segment_motion; the segments keep their own class."""
+    found = segment_motion(segments.select("id", "video_id", "start_sec", "end_sec"), metrics)
+    return segments.join(found.select("id", "smoothness"), "id", "left")
 
 
 def segment_at(points: DataFrame, segments: DataFrame) -> DataFrame:

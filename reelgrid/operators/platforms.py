@@ -195,7 +195,7 @@ def pond5_rows(clips: DataFrame, ctx: DeliveryContext) -> DataFrame:
                 F.concat("_prefix", clean(F.col("description"))), lim["descriptionMax"], "Description", "sentence"
             ),
             "_kw": T.limit_keywords(
-                T.csv_keywords(F.transform(F.array_distinct("keywords"), clean)),
+                T.csv_keywords(T.pond5_sanitize_all(F.array_distinct("keywords"), forbidden)),
                 F.size("keywords"),
                 lim["keywordsMin"],
                 lim["keywordsMax"],

@@ -133,19 +133,20 @@ def check_limits(
 def accept_attempts(log: DataFrame, max_attempts: int = 3) -> DataFrame:
     """Outcome per clip of its attempt log (clip_id, attempt, issues array<struct<message, hard>>).
 
-    The first clean attempt wins; the final attempt is also accepted with soft issues only.
+    The first clean attempt wins; attempt ``max_attempts`` and later ones (a log that goes on after the
+    limit) are also accepted with soft issues only. ``surplus`` counts the attempts beyond the limit.
     """
-    last = F.col("attempt") == max_attempts
+    last = F.col("attempt") >= max_attempts
     soft_only = ~F.exists("issues", lambda i: i["hard"])
     good = (F.size("issues") == 0) | (last & soft_only)
-    tried = log.where(F.col("attempt") <= max_attempts)
     messages = F.transform("issues", lambda i: i["message"])
     return (
-        tried.groupBy("clip_id")
+        log.groupBy("clip_id")
         .agg(
             F.min(F.when(good, F.col("attempt"))).alias("accepted_attempt"),
             F.max("attempt").alias("tried"),
             F.max_by(messages, "attempt").alias("last_errors"),
+            F.count_if(F.col("attempt") > max_attempts).alias("surplus"),
         )
         .select(
             "clip_id",
@@ -155,6 +156,7 @@ def accept_attempts(log: DataFrame, max_attempts: int = 3) -> DataFrame:
             .otherwise("pending")
             .alias("outcome"),
             F.when(F.col("accepted_attempt").isNull(), F.col("last_errors")).alias("errors"),
+            "surplus",
         )
     )
 

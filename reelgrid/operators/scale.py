@@ -173,11 +173,6 @@ def ranked_medians(df: DataFrame, key: Sequence[str], column: str, slices: int =
     return ranked.groupBy(*key).agg(((F.max(middle) + F.max(upper)) / 2).alias(column))
 
 
-def attach(df: DataFrame, small: DataFrame, on: Sequence[str], rows: int, how: str = "left") -> DataFrame:
-    """Join a per-group table back; broadcast only when its counted size allows it."""
-    return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, list(on), how)
-
-
 def interval_chunks(start: Column, end: Column, span: float) -> Column:
     """Buckets touched by the half-open interval [start, end), for an equi-join on bucket."""
     first = F.floor(start / F.lit(float(span)))

@@ -88,10 +88,12 @@ def assign_owner(files: DataFrame, videos: DataFrame, jobs: DataFrame, clips: Da
     )
     depth = F.size(F.split("path", "/"))
     direct = F.when((F.col("_kind") == "projects") & (depth > 2), F.col("_key"))
+    # One owner per key (the smallest of archives that share a name); files without a key skip the join.
+    owner = owners.groupBy("_kind", "_key").agg(F.min("project_id").cast("string").alias("_owner"))
+    named = keyed.where(F.col("_key").isNotNull()).join(owner, ["_kind", "_key"], "left")
+    unnamed = keyed.where(F.col("_key").isNull()).withColumn("_owner", F.lit(None).cast("string"))
     return (
-        keyed.join(owners, ["_kind", "_key"], "left")
-        .withColumn("project_id", F.coalesce(F.col("project_id").cast("string"), direct))
-        .drop("_kind", "_key")
+        named.unionByName(unnamed).withColumn("project_id", F.coalesce("_owner", direct)).drop("_kind", "_key", "_owner")
     )
 
 

@@ -96,8 +96,8 @@ def _short_segments(spark, sf):
 
 def dominant_motion(spark, sf):
     metrics = _metrics(spark, sf)
-    segs = I.dominant_motion(_short_segments(spark, sf), metrics)
-    return I.mean_smoothness(segs, metrics).select("id", "video_id", "motion_type", "smoothness")
+    segs = I.segment_motion(_short_segments(spark, sf), metrics)
+    return segs.select("id", "video_id", "motion_type", "smoothness")
 
 
 def segment_at(spark, sf):

@@ -241,6 +241,53 @@ def latest_state(spark, sf):
     return SE.latest_state(typed, ["ts", "event_id"]).select("entity", "entity_id", "status", six("progress").alias("progress"))
 
 
+def _feed(spark, sf):
+    """Change events of all ten types: projects of jobs of clips, and videos, by user."""
+    k, s = F.col("event_id") % 16, lambda c: c.cast("string")
+    user, n = F.col("user_id"), F.col("event_id")
+    project, job = F.concat(F.lit("p"), s(user % 10)), F.concat(F.lit("j"), s(user % 20))
+    kind = (
+        F.when(k < 4, "export.clip.updated").when(k < 8, "export.clip.progress").when(k == 8, "video.updated")
+        .when(k.isin(9, 15), "video.progress").when(k == 10, "video.deleted").when(k == 11, "export.updated")
+        .when(k == 12, "project.updated").when(n % 128 == 13, "export.reset").when(n % 256 == 14, "project.deleted")
+        .otherwise("segments.updated")
+    )
+    status = F.element_at(F.array(*[F.lit(x) for x in ("queued", "cut", "done", "review")]), (n % 4 + 1).cast("int"))
+    progress = F.least(F.lit(1.0), F.col("value") / 200)
+    entity = lambda i: F.struct(
+        i.alias("id"), F.when(kind != "export.clip.updated", project).alias("projectId"),
+        F.when(kind == "export.clip.updated", job).alias("jobId"), status.alias("status"), progress.alias("progress"),
+        (user % 7 == 0).alias("excluded"),
+    )
+    doc = F.struct(
+        kind.alias("type"),
+        F.when(kind.isin("video.progress", "video.deleted", "segments.updated"), s(user)).alias("videoId"),
+        F.when(kind == "export.clip.progress", s(user)).alias("clipId"),
+        F.when(kind.isin("export.reset", "project.deleted"), project).alias("projectId"),
+        F.when(kind == "export.clip.progress", status).when(kind == "video.progress", "queued").alias("status"),
+        F.when(kind.endswith("progress"), progress).alias("progress"),
+        F.when(kind == "video.updated", entity(s(user))).alias("video"),
+        F.when(kind == "project.updated", entity(project)).alias("project"),
+        F.when(kind == "export.updated", entity(job)).alias("job"),
+        F.when(kind == "export.clip.updated", entity(s(user))).alias("clip"),
+    )
+    return B.table(spark, sf, "events").select("event_id", "ts", F.to_json(doc).alias("value"))
+
+
+def _feed_state(spark, sf):
+    return SE.latest_state(SE.parse_events(_feed(spark, sf))[0], ["ts", "event_id"])
+
+
+def feed_state(spark, sf):
+    state = _feed_state(spark, sf)
+    return state.select("entity", "entity_id", "status", six("progress").alias("progress"), "job_id", "project_id")
+
+
+def live_jobs(spark, sf):
+    jobs = SE.live_jobs(_feed_state(spark, sf))
+    return jobs.select("job_id", "total", "excluded", "n_done", "n_cut", six("progress").alias("progress"), "can_build")
+
+
 def event_rate(spark, sf):
     rate = SE.event_rate(B.change_events(spark, sf), "6 hours")
     return rate.select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start_sec"), "project_id", "type", "n")
@@ -266,11 +313,29 @@ QUERIES = {
         stored_features, metric_pages, fingerprints, probe_facts, telemetry_packets, place_responses,
         landmark_responses, settings_documents, settings_violations, manifest_documents, prompts, report_lines,
         delivery_documents, build_delivery, parsed_events, latest_state, event_rate, event_rate_sliding,
-        event_sessions, live_job_progress,
+        event_sessions, live_job_progress, feed_state, live_jobs,
     )
 }
 
 _r = lambda e, d: duck_six(f"floor(({e}) * 1e{d} + 5e-1) / 1e{d}")
+_FEED = """
+f AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS o, user_id AS u, event_id AS n, 'p' || user_id % 10 AS p, 'j' || user_id % 20 AS j,
+  ['queued', 'cut', 'done', 'review'][CAST(event_id % 4 + 1 AS INT)] AS status, least(1e0, value / 2e2) AS progress,
+  CASE WHEN event_id % 16 < 4 THEN 'cu' WHEN event_id % 16 < 8 THEN 'cp' WHEN event_id % 16 = 8 THEN 'vu' WHEN event_id % 16 IN (9, 15) THEN 'vp'
+    WHEN event_id % 16 = 10 THEN 'vd' WHEN event_id % 16 = 11 THEN 'ju' WHEN event_id % 16 = 12 THEN 'pu'
+    WHEN event_id % 128 = 13 THEN 'r' WHEN event_id % 256 = 14 THEN 'pd' END AS kind FROM events),
+gone AS (SELECT p, max(o) FILTER (WHERE kind = 'pd') AS deleted, max(o) FILTER (WHERE kind = 'r') AS reset FROM f GROUP BY 1),
+named AS (SELECT *, CASE kind[1] WHEN 'c' THEN 'clip' WHEN 'v' THEN 'video' WHEN 'j' THEN 'job' ELSE 'project' END AS entity,
+  CASE kind[1] WHEN 'j' THEN j WHEN 'p' THEN p ELSE CAST(u AS VARCHAR) END AS id FROM f WHERE kind <> 'r'),
+l AS (SELECT entity, id, max(o) FILTER (WHERE kind[2] = 'u') AS full_at, max(o) FILTER (WHERE kind[2] = 'd') AS removed, max(o) FILTER (WHERE kind[2] = 'p') AS partial,
+  arg_max(p, o) AS p, arg_max(j, o) AS j FROM named GROUP BY 1, 2),
+jobs AS (SELECT id AS j, p AS job_project FROM l WHERE entity = 'job' AND full_at IS NOT NULL),
+owned AS (SELECT l.* EXCLUDE (p), CASE WHEN entity = 'clip' THEN job_project ELSE l.p END AS p FROM l LEFT JOIN jobs USING (j)),
+state AS (SELECT o.*, f.status, f.progress FROM owned o LEFT JOIN gone g ON g.p = o.p JOIN f ON f.o = greatest(full_at, coalesce(partial, 0))
+  WHERE full_at > coalesce(removed, 0) AND full_at > coalesce(deleted, 0) AND (entity IN ('video', 'project') OR full_at > coalesce(reset, 0))),
+feed AS (SELECT entity, id AS entity_id, CASE WHEN entity = 'video' AND coalesce(partial, 0) > full_at THEN 'queued' ELSE status END AS status,
+  CASE WHEN entity IN ('job', 'project') THEN NULL ELSE progress END AS progress, CASE WHEN entity = 'clip' THEN j END AS job_id, p AS project_id, id FROM state)"""
+
 _EVENTS = f"""{duck("change_events")},
 ev AS (SELECT *, CASE WHEN event_id % 8 IN (3, 7) OR (event_id % 8 = 5 AND type LIKE '%progress') THEN 'rejected' ELSE type END AS kind,
   CASE WHEN type LIKE '%progress' THEN 'queued' WHEN type LIKE '%updated' THEN 'ready' END AS status,
@@ -331,6 +396,10 @@ k AS (SELECT *, CASE WHEN kind LIKE 'export.clip%' THEN 'clip' WHEN kind LIKE 'e
   row_number() OVER (ORDER BY ts, event_id) AS o FROM ev WHERE kind <> 'rejected'),
 s AS (SELECT entity, entity_id, max(o) FILTER (WHERE kind LIKE '%.updated') AS f, max(o) FILTER (WHERE kind LIKE '%.deleted') AS d, max(o) FILTER (WHERE kind LIKE '%.progress') AS g FROM k GROUP BY 1, 2)
 SELECT s.entity, CAST(s.entity_id AS VARCHAR) AS entity_id, k.status, {duck_six("k.p")} AS progress FROM s JOIN k ON k.o = greatest(f, coalesce(g, 0)) WHERE f > coalesce(d, 0)""",
+    "feed_state": f"""WITH {_FEED} SELECT entity, entity_id, status, {duck_six("progress")} AS progress, job_id, project_id FROM feed""",
+    "live_jobs": f"""WITH {_FEED}, c AS (SELECT *, CAST(id AS BIGINT) % 7 = 0 AS ex, least(1e0, (CASE status WHEN 'queued' THEN 0 WHEN 'done' THEN 5 ELSE 4 END + CASE WHEN status = 'done' THEN 0 ELSE progress END) / 5) AS w FROM feed WHERE entity = 'clip')
+SELECT job_id, count(*) AS total, count(*) FILTER (WHERE ex) AS excluded, count(*) FILTER (WHERE NOT ex AND status = 'done') AS n_done, count(*) FILTER (WHERE NOT ex AND status = 'cut') AS n_cut,
+  {duck_six("coalesce(avg(w) FILTER (WHERE NOT ex), 0)")} AS progress, count(*) FILTER (WHERE NOT ex) > 0 AND count(*) FILTER (WHERE NOT ex AND status = 'done') = count(*) FILTER (WHERE NOT ex) AS can_build FROM c GROUP BY 1""",
     "event_rate": f"""WITH {duck("change_events")}
 SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS start_sec, project_id, type, count(*) AS n FROM change_events GROUP BY 1, 2, 3""",
     "event_rate_sliding": f"""WITH {duck("change_events")}

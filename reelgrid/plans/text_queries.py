@@ -150,7 +150,7 @@ def _answer_documents(spark, sf):
     )
     text = F.to_json(doc, {"ignoreNullFields": "true"})
     closed = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"editorialReason":null}'))
-    return B.clip_text(spark, sf).select("clip_id", F.when(k == 6, F.substring(text, 2, 1000000)).when(k == 7, F.concat(F.lit("```json\n"), closed, F.lit("```"))).otherwise(closed).alias("answer"))
+    return B.clip_text(spark, sf).select("clip_id", F.when(k == 6, F.substring(text, F.lit(2), F.length(text))).when(k == 7, F.concat(F.lit("```json\n"), closed, F.lit("```"))).otherwise(closed).alias("answer"))
 
 
 def validate_answers(spark, sf):
@@ -167,7 +167,7 @@ def _attempts(spark, sf):
 
 
 def accept_attempts(spark, sf):
-    return Q.accept_attempts(_attempts(spark, sf)).select("clip_id", "accepted_attempt", "outcome", _joined("errors").alias("errors"))
+    return Q.accept_attempts(_attempts(spark, sf)).select("clip_id", "accepted_attempt", "outcome", _joined("errors").alias("errors"), "surplus")
 
 
 def answer_stats(spark, sf):
@@ -395,9 +395,9 @@ e AS (SELECT *, CASE WHEN k = 6 THEN 'the answer is not valid JSON' ELSE concat_
     CASE WHEN k = 5 THEN 'answer: unrecognized keys extra' END) END AS errors FROM k)
 SELECT clip_id, errors, CASE WHEN errors = '' THEN CAST(n AS INT) END AS n_keywords FROM e""",
     "accept_attempts": f"""WITH {duck("answer_log")},
-l AS (SELECT *, concat_ws('|', CASE WHEN n_chars > 150 THEN 'long' END, CASE WHEN n_chars < 60 THEN 'short' END) AS errs FROM answer_log WHERE attempt <= 3),
-a AS (SELECT clip_id, min(attempt) FILTER (WHERE errs = '' OR (attempt = 3 AND n_chars >= 60)) AS accepted_attempt, max(attempt) AS tried, arg_max(errs, attempt) AS errs FROM l GROUP BY 1)
-SELECT clip_id, accepted_attempt, CASE WHEN accepted_attempt IS NOT NULL THEN 'accepted' WHEN tried >= 3 THEN 'failed' ELSE 'pending' END AS outcome,
+l AS (SELECT *, concat_ws('|', CASE WHEN n_chars > 150 THEN 'long' END, CASE WHEN n_chars < 60 THEN 'short' END) AS errs FROM answer_log),
+a AS (SELECT clip_id, min(attempt) FILTER (WHERE errs = '' OR (attempt >= 3 AND n_chars >= 60)) AS accepted_attempt, max(attempt) AS tried, arg_max(errs, attempt) AS errs, count(*) FILTER (WHERE attempt > 3) AS surplus FROM l GROUP BY 1)
+SELECT clip_id, surplus, accepted_attempt, CASE WHEN accepted_attempt IS NOT NULL THEN 'accepted' WHEN tried >= 3 THEN 'failed' ELSE 'pending' END AS outcome,
   CASE WHEN accepted_attempt IS NULL THEN errs END AS errors FROM a""",
     "answer_stats": f"""WITH {duck("answer_log")}
 SELECT 'm' || clip_id % 3 AS model, count(*) AS attempts, max(attempt) AS max_attempt, count(*) FILTER (WHERE n_chars > 150 OR n_chars < 60) AS failures,

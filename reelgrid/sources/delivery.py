@@ -12,6 +12,7 @@ from ..functions.text import slugify
 from ..operators import platforms as P
 from ..operators import scale
 from ..operators.clips import job_progress, step_hash
+from .tables import replace_partitions
 
 #: Segments per manifest page; a very long video continues on further pages.
 MANIFEST_PAGE = 1000
@@ -46,15 +47,8 @@ def manifest_documents(rows: DataFrame, settings: DataFrame | None = None) -> Da
 
 def write_manifest(rows: DataFrame, path: str) -> None:
     """Replace the manifests of the projects in ``rows``; other projects stay as they are."""
-    (
-        manifest_documents(rows)
-        .select("project_id", "value")
-        .repartition("project_id", F.xxhash64("value"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project_id")
-        .text(path)
-    )
+    pages = manifest_documents(rows).select("project_id", "value").repartition("project_id", F.xxhash64("value"))
+    replace_partitions(pages, ["project_id"]).text(path)
 
 
 _MANIFEST = (
@@ -84,34 +78,34 @@ def platform_file_name(platform: str, settings: ExportSettings, export_date: dat
     return F.concat(F.lit("adobe_stock_"), author, F.lit(f"_{export_date:%Y_%m_%d}.csv"))
 
 
-def platform_cells(rows: DataFrame, platform: str, ctx: P.DeliveryContext) -> DataFrame:
-    """Rows of one platform as named columns in header order, sorted inside ordered partitions."""
+_CSV = {
+    "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def platform_csv_lines(rows: DataFrame, platform: str, ctx: P.DeliveryContext) -> DataFrame:
+    """CSV lines per job (job_id, ordinal, value): one header before all clips, quotes only where needed."""
     header = ctx.rules[platform]["header"]
-    cells = [F.col("row")[k].alias(name) for k, name in enumerate(header)]
-    return (
-        rows.repartitionByRange("job_id", "ordinal").sortWithinPartitions("job_id", "ordinal").select("job_id", *cells)
-    )
+    line = lambda cells: F.to_csv(F.struct(*cells), _CSV).alias("value")
+    names = [F.lit(name).alias(f"c{k}") for k, name in enumerate(header)]
+    cells = [F.col("row")[k].alias(f"c{k}") for k in range(len(header))]
+    heads = rows.select("job_id").distinct().select("job_id", F.lit(-1).cast("bigint").alias("ordinal"), line(names))
+    return heads.unionByName(rows.select("job_id", F.col("ordinal").cast("bigint").alias("ordinal"), line(cells)))
 
 
-def write_platform_csv(rows: DataFrame, platform: str, ctx: P.DeliveryContext, path: str) -> None:
-    """RFC 4180 CSV per job in clip order: exact header, quotes only where needed.
+def write_platform_csv(rows: DataFrame, platform: str, ctx: P.DeliveryContext, path: str, export_date: date) -> None:
+    """RFC 4180 CSV of a platform per job, in clip order, below the platform's file name.
 
-    ``rows``: job_id, ordinal, row. Large jobs become several ordered part files.
+    ``rows``: job_id, ordinal, row. Part files are numbered in order and only the first has the header, so
+    their concatenation is the file. Other jobs and other file names stay as they are.
     """
-    (
-        platform_cells(rows, platform, ctx)
-        .write.mode("overwrite")
-        .partitionBy("job_id")
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("encoding", "UTF-8")
-        .csv(path)
+    lines = platform_csv_lines(rows, platform, ctx).withColumn(
+        "file_name", platform_file_name(platform, ctx.settings, export_date)
     )
+    order = ["job_id", "file_name", "ordinal"]
+    laid = lines.repartitionByRange(*order).sortWithinPartitions(*order).drop("ordinal")
+    replace_partitions(laid, ["job_id", "file_name"]).text(path)
 
 
 def delivery_metadata(results: DataFrame) -> DataFrame:
@@ -134,7 +128,8 @@ def delivery_metadata(results: DataFrame) -> DataFrame:
 
 
 def write_delivery_metadata(documents: DataFrame, path: str) -> None:
-    documents.select("job_id", "value").write.mode("overwrite").partitionBy("job_id").text(path)
+    """Replace the documents of the jobs in ``documents``; other jobs stay."""
+    replace_partitions(documents.select("job_id", "value"), ["job_id"]).text(path)
 
 
 LEVEL_NAMES = {"ok": "OK", "warning": "Warning", "error": "Error"}
@@ -247,20 +242,17 @@ def report_lines(jobs: DataFrame, results: DataFrame, ctx: P.DeliveryContext) ->
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    (
-        lines.repartitionByRange("job_id", "section", "ord", "sub")
-        .sortWithinPartitions("job_id", "section", "ord", "sub")
-        .select("job_id", F.col("line").alias("value"))
-        .write.mode("overwrite")
-        .partitionBy("job_id")
-        .text(path)
-    )
+    """Replace the reports of the jobs in ``lines``; other jobs stay."""
+    order = ["job_id", "section", "ord", "sub"]
+    laid = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    replace_partitions(laid.select("job_id", F.col("line").alias("value")), ["job_id"]).text(path)
 
 
 def delivery_hash(clips: DataFrame, ctx: P.DeliveryContext, inputs: list[str]) -> DataFrame:
-    """Digest per job of everything that ends up in a delivery.
+    """Digest per job of everything that ends up in a delivery: clips, settings, headers and check dates.
 
-    Clip digests combine commutatively, so they aggregate on the map side for a job of any size.
+    A clip's SHA-256 is added up in four 64-bit slices, so clips combine in any order and aggregate on the
+    map side for a job of any size.
     """
     s = ctx.settings
     fixed = [
@@ -268,22 +260,26 @@ def delivery_hash(clips: DataFrame, ctx: P.DeliveryContext, inputs: list[str]) -
         for x in (
             s.adobe_author, s.copyright, float(s.pond5_price), float(s.pond5_price_large),
             float(s.envato_price_single), float(s.envato_price_multi), ",".join(s.enabled_platforms),
-            ",".join(ctx.rules[p]["lastVerified"] for p in P.REGISTRY),
+            ",".join(ctx.rules[p]["lastVerified"] for p in s.enabled_platforms),
+            ";".join(",".join(ctx.rules[p]["header"]) for p in s.enabled_platforms),
         )
     ]
-    one = F.xxhash64(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}))
-    two = F.crc32(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}).cast("binary"))
-    per_job = clips.groupBy("job_id").agg(
-        F.bit_xor(one).alias("_a"), F.sum(two).alias("_b"), F.count(F.lit(1)).alias("_n")
+    digest = F.sha2(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}), 256)
+    part = lambda k: F.conv(F.substring("_d", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+    per_job = (
+        scale.pinned(clips.select("job_id", *[c for c in inputs if c != "job_id"]), {"_d": digest})
+        .groupBy("job_id")
+        .agg(*[F.sum(part(k)).alias(f"_{k}") for k in range(4)], F.count(F.lit(1)).alias("_n"))
     )
-    return per_job.select("job_id", step_hash(F.lit("archive.v1"), F.col("_a"), F.col("_b"), F.col("_n"), *fixed).alias("delivery_hash"))
+    sums = [F.col(f"_{k}").cast("string") for k in range(4)]
+    return per_job.select("job_id", step_hash(F.lit("archive.v2"), *sums, F.col("_n"), *fixed).alias("delivery_hash"))
 
 
 def build_delivery(clips: DataFrame, jobs: DataFrame, ctx: P.DeliveryContext) -> dict[str, DataFrame]:
     """Plan the deliveries of all jobs.
 
-    A job is built when every clip that is not excluded is done and its hash differs from
-    ``jobs.archive_hash``. Returns the jobs with their outcome, and for the jobs to build the clips
+    A job is built when every clip that is not excluded is done and its hash, which covers the project name if
+    ``jobs`` has it, differs from ``jobs.archive_hash``. Returns the jobs with their outcome, and for the jobs to build the clips
     with their platform results and the metadata documents.
     """
     gate = job_progress(clips).select("job_id", "can_build")
@@ -291,6 +287,9 @@ def build_delivery(clips: DataFrame, jobs: DataFrame, ctx: P.DeliveryContext) ->
     view = P.csv_clip_view(done)
     inputs = [c for c in view.columns if c not in ("job_id", "progress", "updated_at")]
     hashes = delivery_hash(view, ctx, inputs)
+    if "project_name" in jobs.columns:
+        named = step_hash(F.col("delivery_hash"), F.coalesce("project_name", F.lit("")))
+        hashes = hashes.join(jobs.select("job_id", "project_name"), "job_id").select("job_id", named.alias("delivery_hash"))
     plan = (
         jobs.join(gate, "job_id", "left")
         .join(hashes, "job_id", "left")

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: bytes hashed from each end of a file.
 CHUNK = 8 * 1024 * 1024
-#: Files up to this size are read as one binary value; larger ones by ranged reads.
-SMALL_FILE = 256 * 1024 * 1024
 READ_BLOCK = 4 * 1024 * 1024
 
 
@@ -24,9 +24,11 @@ def read_file_inventory(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     )
-    base = root.rstrip("/").split("://")[-1]
-    relative = F.regexp_replace(F.url_decode("path"), f"^(?:[a-z0-9]+:)?/*{base.lstrip('/')}/", "")
-    return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.col("path").alias("file_key"))
+    base = root.rstrip("/").split("://")[-1].split(":", 1)[-1].strip("/")
+    at = F.instr("path", F.lit(f"/{base}/")) + F.lit(len(base) + 2)
+    return files.select(
+        F.substring("path", at, F.length("path")).alias("path"), F.col("length").alias("bytes"), F.col("path").alias("file_key")
+    )
 
 
 def fingerprint(content: Column) -> Column:
@@ -40,35 +42,49 @@ def fingerprint(content: Column) -> Column:
 
 
 def fingerprint_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, size_bytes, fingerprint and content_hash of every non-empty file below ``root``."""
-    read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    small = read().where(F.col("length") <= SMALL_FILE).select(
-        "path", F.col("length").alias("size_bytes"), fingerprint(F.col("content")).alias("fingerprint"),
-        F.sha2("content", 256).alias("content_hash"),
+    """path, size_bytes, fingerprint and content_hash of every non-empty file below ``root``.
+
+    Spark lists the files; workers read them block by block through the file system of the path (local,
+    HDFS or object store), whatever their size, so memory stays at one block per task.
+    """
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        .select("path", F.col("length").alias("size_bytes"))
     )
-    paths = read().where(F.col("length") > SMALL_FILE).select("path", F.col("length").alias("size_bytes"))
-    large = paths.repartition("path").mapInPandas(
-        _hash_ranges, "path string, size_bytes bigint, fingerprint string, content_hash string"
+    return listed.repartition("path").mapInPandas(
+        _hash_files, "path string, size_bytes bigint, fingerprint string, content_hash string"
     )
-    return small.unionByName(large)
 
 
-def _hash_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash files block by block; memory stays at one block per task."""
+def _opened(path: str):
+    """Input stream of a path as Spark lists it."""
+    uri = re.sub("^s3[an]:", "s3:", path)
+    uri = re.sub("^file:/+", "/", uri)
+    if uri.startswith("/"):
+        return fs.LocalFileSystem().open_input_stream(uri)
+    # Listed names are plain, not encoded: only the part before the key is parsed as a URI.
+    scheme, rest = uri.split("://", 1)
+    bucket, _, name = rest.partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{bucket}")
+    return system.open_input_stream(f"{base.rstrip('/')}/{name}")
+
+
+def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for path, size in zip(batch["path"], batch["size_bytes"]):
-            quick, full = hashlib.sha256(f"{size}\n".encode()), hashlib.sha256()
-            head, tail = min(CHUNK, size), max(min(CHUNK, size), size - CHUNK)
-            at = 0
-            with open(path.split(":", 1)[-1] if path.startswith("file:") else path, "rb") as f:
-                while block := f.read(READ_BLOCK):
-                    full.update(block)
-                    # Only the parts of the block inside the first or the last chunk.
-                    if at < head:
-                        quick.update(block[: head - at])
-                    if at + len(block) > tail:
-                        quick.update(block[max(0, tail - at) :])
-                    at += len(block)
-            out.append((path, size, quick.hexdigest(), full.hexdigest()))
-        yield pd.DataFrame(out, columns=["path", "size_bytes", "fingerprint", "content_hash"])
+        rows = []
+        for path, size in zip(batch["path"], batch["size_bytes"], strict=True):
+            with _opened(path) as stream:
+                rows.append((path, size, *_digests(stream, size)))
+        yield pd.DataFrame(rows, columns=["path", "size_bytes", "fingerprint", "content_hash"])
+
+
+def _digests(stream, size: int) -> tuple[str, str]:
+    """Fingerprint (size, first and last CHUNK) and SHA-256 of the whole stream."""
+    quick, full = hashlib.sha256(f"{size}\n".encode()), hashlib.sha256()
+    tail, at = max(min(CHUNK, size), size - CHUNK), 0
+    while block := stream.read(READ_BLOCK):
+        full.update(block)
+        quick.update(block[: max(0, CHUNK - at)])
+        quick.update(block[max(0, tail - at) :])
+        at += len(block)
+    return quick.hexdigest(), full.hexdigest()

@@ -24,9 +24,15 @@ def read_catalog(spark: SparkSession, path: str, names: list[str] | None = None)
     }
 
 
+def replace_partitions(df: DataFrame, keys: list[str]):
+    """Writer that replaces the partitions with rows in ``df`` and leaves all others as they are."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+
+
 def write_catalog(catalog: dict[str, DataFrame], path: str) -> None:
+    """Store catalog tables. Tables laid out by project are replaced project by project, others as a whole."""
     for name, df in catalog.items():
-        df.write.mode("overwrite").partitionBy(*schemas.PARTITIONS.get(name, [])).parquet(f"{path}/{name}")
+        replace_partitions(df, schemas.PARTITIONS.get(name, [])).parquet(f"{path}/{name}")
 
 
 def read_frame_features(spark: SparkSession, path: str) -> DataFrame:
@@ -60,15 +66,16 @@ def rounded_features(df: DataFrame) -> DataFrame:
 
 
 def write_frame_features(df: DataFrame, path: str, span: int = scale.SPAN) -> None:
-    """Feature cache keyed by fps, clustered by video span and sorted, so re-analysis reads in order."""
-    (
+    """Feature cache by fps and video, the unit of re-analysis; a second write keeps all other videos.
+
+    Rows are clustered by video span and sorted, so re-analysis reads in order.
+    """
+    laid = (
         rounded_features(df)
         .repartition("video_id", F.floor(F.col("i") / span))
-        .sortWithinPartitions("video_id", "i")
-        .write.mode("overwrite")
-        .partitionBy("analysis_fps")
-        .parquet(path)
+        .sortWithinPartitions("analysis_fps", "video_id", "i")
     )
+    replace_partitions(laid, ["analysis_fps", "video_id"]).parquet(path)
 
 
 def metric_pages(series: DataFrame, fps: float, page: int = scale.SPAN) -> DataFrame:
@@ -82,7 +89,8 @@ def metric_pages(series: DataFrame, fps: float, page: int = scale.SPAN) -> DataF
 
 
 def write_metrics(series: DataFrame, fps: float, path: str) -> None:
-    metric_pages(series, fps).write.mode("overwrite").parquet(path)
+    """Replace the stored series of the videos in ``series``; other videos stay."""
+    replace_partitions(metric_pages(series, fps), ["video_id"]).parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str, page: int = scale.SPAN) -> DataFrame:

@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import scale
 from ..operators.catalog import CLIP_STATUSES, VIDEO_STATUSES
+from ..operators.clips import job_progress
+from ..session import written_once
+from ..sources.tables import replace_partitions
 
 # Event types with their required payload fields.
 EVENT_FIELDS = {
@@ -28,7 +32,7 @@ EVENT_FIELDS = {
     "export.clip.updated": ["clip"],
     "export.clip.progress": ["clipId", "status", "progress"],
 }
-ENTITY = "struct<id:string,projectId:string,jobId:string,status:string,progress:double>"
+ENTITY = "struct<id:string,projectId:string,jobId:string,status:string,progress:double,excluded:boolean>"
 EVENT = (
     "struct<type:string,videoId:string,clipId:string,projectId:string,status:string,progress:double,"
     f"video:{ENTITY},project:{ENTITY},job:{ENTITY},clip:{ENTITY}>"
@@ -42,7 +46,7 @@ def parse_events(raw: DataFrame, document: str = "value") -> tuple[DataFrame, Da
     Unknown types, malformed payloads and bad status values are rejected, never raised.
     """
     e = F.col("event")
-    rows = raw.withColumn("event", F.from_json(document, EVENT))
+    rows = scale.pinned(raw, {"event": F.from_json(document, EVENT)})
     complete = F.lit(False)
     for kind, fields in EVENT_FIELDS.items():
         present = F.lit(True)
@@ -60,16 +64,22 @@ def parse_events(raw: DataFrame, document: str = "value") -> tuple[DataFrame, Da
         F.coalesce(
             e["videoId"], e["clipId"], e["video"]["id"], e["clip"]["id"], e["job"]["id"], e["project"]["id"], e["projectId"]
         ).alias("entity_id"),
-        F.coalesce(e["projectId"], e["video"]["projectId"], e["job"]["projectId"], e["project"]["id"]).alias("project_ref"),
+        F.coalesce(
+            e["projectId"], e["video"]["projectId"], e["clip"]["projectId"], e["job"]["projectId"], e["project"]["id"]
+        ).alias("project_ref"),
+        e["clip"]["jobId"].alias("job_ref"),
         F.coalesce(e["status"], e["video"]["status"], e["clip"]["status"], e["job"]["status"], e["project"]["status"]).alias("status"),
         F.coalesce(e["progress"], e["video"]["progress"], e["clip"]["progress"]).alias("progress"),
+        e["clip"]["excluded"].alias("excluded"),
     )
     return typed, rows.where(~ok).select(*raw.columns)
 
 
 def entity_kind(kind: Column) -> Column:
+    """What an event is about; a reset removes the jobs and clips of its project."""
     return (
         F.when(kind.startswith("export.clip"), "clip")
+        .when(kind == "export.reset", "reset")
         .when(kind.startswith("export."), "job")
         .when(kind.startswith("video."), "video")
         .when(kind.startswith("project."), "project")
@@ -87,13 +97,14 @@ def is_removal(kind: Column) -> Column:
 def event_summary(events: DataFrame, order: list[str]) -> DataFrame:
     """Collapse events per entity to what decides its state.
 
-    Kept: the last removal, the last full update and the last progress. Each is a mergeable maximum,
-    so batches combine in any grouping and a hot entity is reduced on the map side.
+    Kept: the last removal, the last full update, the last progress and the last known project and job. Each
+    is a mergeable maximum, so batches combine in any grouping and a hot entity is reduced on the map side.
     """
     kind = F.col("type")
     at = F.struct(*order)
-    value = F.struct(at.alias("at"), F.col("status").alias("status"), F.col("progress").alias("progress"))
+    value = F.struct(at.alias("at"), "status", "progress", "excluded")
     last = lambda cond: F.max_by(value, F.when(cond, at))
+    known = lambda c: F.max_by(F.struct(at.alias("at"), F.col(c).alias("id")), F.when(F.col(c).isNotNull(), at))
     partial = kind.endswith(".progress")
     return (
         events.withColumn("entity", entity_kind(kind))
@@ -104,6 +115,8 @@ def event_summary(events: DataFrame, order: list[str]) -> DataFrame:
             last(is_full(kind)).alias("full"),
             # Progress patches a row that was already known, so it needs an earlier full update.
             last(partial).alias("partial"),
+            known("project_ref").alias("project"),
+            known("job_ref").alias("job"),
         )
     )
 
@@ -111,16 +124,35 @@ def event_summary(events: DataFrame, order: list[str]) -> DataFrame:
 def merge_summaries(a: DataFrame, b: DataFrame) -> DataFrame:
     rows = a.unionByName(b)
     newest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(c)["at"])).alias(c)
-    return rows.groupBy("entity", "entity_id").agg(newest("removed"), newest("full"), newest("partial"))
+    return rows.groupBy("entity", "entity_id").agg(*map(newest, ("removed", "full", "partial", "project", "job")))
 
 
 def state_of(summary: DataFrame) -> DataFrame:
-    """Current rows: a full update after the last removal, patched by later progress."""
+    """Current rows: a full update after every removal that reaches the row, patched by later progress.
+
+    A deleted project removes its videos, jobs and clips, a reset the jobs and clips of its project; a clip
+    that does not name its project belongs to that of its job. Columns: entity, entity_id, status, progress,
+    excluded, job_id, project_id.
+    """
     full, removed, partial = F.col("full"), F.col("removed"), F.col("partial")
-    alive = full.isNotNull() & (removed.isNull() | (full["at"] > removed["at"]))
+    gone = summary.where(removed.isNotNull() & F.col("entity").isin("project", "reset")).groupBy(
+        F.col("entity_id").alias("project_id")
+    )
+    gone = gone.agg(
+        F.max(F.when(F.col("entity") == "project", removed["at"])).alias("_deleted"),
+        F.max(F.when(F.col("entity") == "reset", removed["at"])).alias("_reset"),
+    )
+    rows = summary.where((F.col("entity") != "reset") & full.isNotNull()).withColumns(
+        {"job_id": F.col("job.id"), "_own": F.col("project.id")}
+    )
+    jobs = rows.where("entity = 'job'").select(F.col("entity_id").alias("job_id"), F.col("_own").alias("_by_job"))
+    rows = rows.join(jobs, "job_id", "left").withColumn("project_id", F.coalesce("_own", "_by_job"))
+    below = F.when(F.col("entity").isin("job", "clip"), F.greatest("_deleted", "_reset")).otherwise(F.col("_deleted"))
+    after = lambda at: F.coalesce(full["at"] > at, F.lit(True))
     patched = F.coalesce(partial["at"] > full["at"], F.lit(False))
-    pick = lambda f: F.when(patched, partial[f]).otherwise(full[f]).alias(f)
-    return summary.where(alive).select("entity", "entity_id", pick("status"), pick("progress"))
+    pick = lambda f: F.when(patched, F.coalesce(partial[f], full[f])).otherwise(full[f]).alias(f)
+    alive = rows.join(gone, "project_id", "left").where(after(removed["at"]) & after(below))
+    return alive.select("entity", "entity_id", pick("status"), pick("progress"), pick("excluded"), "job_id", "project_id")
 
 
 def latest_state(events: DataFrame, order: list[str]) -> DataFrame:
@@ -163,7 +195,7 @@ def throttle_stream(
             state.remove()
             return
         last = state.get[0] if state.exists else -1.0
-        rows = pd.concat(list(batches)).sort_values(order)
+        rows = pd.concat(list(batches)).sort_values(order)  # one key's rows of one micro-batch
         kept = []
         for at, value in zip(rows[order], rows["progress"].clip(0.0, 1.0)):
             if abs(value - last) >= step or value == 1:
@@ -187,8 +219,15 @@ def throttle_stream(
     )
 
 
+def live_jobs(state: DataFrame) -> DataFrame:
+    """Totals, status counts, weighted progress and build gate of every job, from the clips in ``latest_state``."""
+    clips = state.where("entity = 'clip' AND job_id IS NOT NULL")
+    known = {"excluded": F.coalesce("excluded", F.lit(False)), "progress": F.coalesce("progress", F.lit(0.0))}
+    return job_progress(clips.withColumns(known))
+
+
 def live_job_progress(events: DataFrame) -> DataFrame:
-    """Progress events and mean value per project, maintained in update mode."""
+    """Number of clip events and best progress per project, maintained in update mode."""
     clip = events.where(F.col("type").startswith("export.clip"))
     return clip.groupBy("project_id").agg(F.count(F.lit(1)).alias("events"), F.max("progress").alias("best"))
 
@@ -216,17 +255,44 @@ def event_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str =
     )
 
 
-def incremental_analysis(
-    features: DataFrame, analyse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
-):
-    """Analyse newly arrived feature rows once per video.
+#: Folders that arrived samples are dealt into by video, so that a batch reads only those it touches.
+SAMPLE_BUCKETS = 256
 
-    ``features`` streams whole videos per file with ``arrived_at``. Repeated arrivals of a video inside
-    the watermark are dropped per sample; each batch writes its own folder, so replays are idempotent.
+
+def incremental_analysis(
+    features: DataFrame, analyse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+    reconcile: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+):
+    """Analyse the videos of every micro-batch as a whole and keep one result per video.
+
+    Arrived samples are stored in ``out``/samples, once per batch id, so replays are idempotent and a video
+    that is split over batches, or arrives again, is analysed with all its samples, each counted once.
+    ``out``/segments holds the latest segments, replaced video by video; ``reconcile(current, fresh)`` decides
+    what stays of the current ones (C5), by default nothing. The stream itself keeps no state.
     """
-    once = features.withWatermark("arrived_at", WATERMARK).dropDuplicatesWithinWatermark(["video_id", "i"])
+    bucket = F.pmod(F.xxhash64("video_id"), F.lit(SAMPLE_BUCKETS)).cast("int")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        analyse(batch.drop("arrived_at")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return once.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        arrived = batch.drop("arrived_at").withColumn("bucket", bucket)
+        arrived.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/samples/batch={batch_id}")
+        stored = spark.read.parquet(f"{out}/samples").where(F.col("batch") <= batch_id)
+        fresh = stored.where(F.col("batch") == batch_id)
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # SAMPLE_BUCKETS rows at most
+        videos = fresh.select("video_id").distinct()
+        whole = stored.where(F.col("bucket").isin(touched)).join(videos, "video_id", "left_semi")
+        found = analyse(whole.drop("batch", "bucket").dropDuplicates(["video_id", "i"]))
+        current = _stored(spark, f"{out}/segments") if reconcile else None
+        if current is not None:
+            current = current.withColumn("video_id", F.col("video_id").cast(found.schema["video_id"].dataType))
+            found = written_once(reconcile(current.join(videos, "video_id", "left_semi"), found))
+        replace_partitions(found, ["video_id"]).parquet(f"{out}/segments")
+
+    return features.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None before its first write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.parquet(path) if exists else None

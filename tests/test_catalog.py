@@ -124,3 +124,23 @@ def test_request_rules_and_motion_dimension(spark):
         ("c", "fingerprint: expected 64 hex digits"),
     ]
     assert motion_dim(spark).where("slug = 'reveal'").first().motion == "backward"
+
+
+def test_upsert_keeps_values_of_rows_without_version(spark):
+    schema = "id int, value string, version int"
+    stored = spark.createDataFrame([(1, "old", 1), (2, "kept", None), (3, "tie", 5), (4, "newer", 9)], schema)
+    fresh = spark.createDataFrame([(1, "new", 2), (3, "update", 5), (4, "older", 3), (5, "first", None)], schema)
+    found = {r.id: (r.value, r.version) for r in C.upsert_latest(stored, fresh, ["id"], "version").collect()}
+    assert found == {1: ("new", 2), 2: ("kept", None), 3: ("update", 5), 4: ("newer", 9), 5: ("first", None)}
+
+
+def test_a_file_has_one_owner(spark):
+    files = spark.createDataFrame([("exports/day/x.csv",), ("exports",), ("videos/v1/source.mp4",), ("projects/p9/a/b.json",)], "path string")
+    videos = spark.createDataFrame([("v1", "p3")], "id string, project_id string")
+    jobs = spark.createDataFrame(
+        [("j1", "p2", "out/day", None), ("j2", "p1", "out/day", None)],
+        "job_id string, project_id string, archive_dir string, archive_zip string",
+    )
+    clips = spark.createDataFrame([("c", "j1")], "clip_id string, job_id string")
+    found = sorted((r.path, r.project_id) for r in S.assign_owner(files, videos, jobs, clips).collect())
+    assert found == [("exports", None), ("exports/day/x.csv", "p1"), ("projects/p9/a/b.json", "p9"), ("videos/v1/source.mp4", "p3")]

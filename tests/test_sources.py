@@ -1,4 +1,5 @@
 import hashlib
+import io
 import json
 import struct
 
@@ -75,6 +76,36 @@ def test_feature_documents_round_trip(spark, tmp_path):
     assert (back.t, back.dx, back.mag_var, back.sharpness, back.analysis_fps) == (0.1235, 0.12346, 0.12345679, 0.12, 5.0)
 
 
+def test_second_writes_keep_other_units(spark, tmp_path):
+    """Every sink replaces the units it is given and leaves the others."""
+    base = dict.fromkeys(schemas.FRAME_FIELDS, 0.5)
+    fields = ", ".join(f"{'mag_var' if f == 'magVar' else f} double" for f in schemas.FRAME_FIELDS)
+    features = lambda video, fps, n: spark.createDataFrame([(video, fps, k, *base.values()) for k in range(n)], f"video_id string, analysis_fps double, i bigint, {fields}")
+    path = str(tmp_path / "features")
+    for video, fps, n in (("v1", 5.0, 3), ("v2", 5.0, 2), ("v1", 10.0, 6), ("v2", 5.0, 4)):
+        ST.write_frame_features(features(video, fps, n), path)
+    stored = spark.read.parquet(path).groupBy("video_id", "analysis_fps").count().collect()
+    assert {tuple(r) for r in stored} == {("v1", 5.0, 3), ("v2", 5.0, 4), ("v1", 10.0, 6)}
+    series = lambda video, n: spark.createDataFrame([(video, k, k / 5, 0.5, 0.9, "static") for k in range(n)], "video_id string, i bigint, t double, speed double, smoothness double, motion string")
+    for video, n in (("v1", 3), ("v2", 2), ("v1", 5)):
+        ST.write_metrics(series(video, n), 5.0, str(tmp_path / "metrics"))
+    stored = ST.read_metrics(spark, str(tmp_path / "metrics")).groupBy("video_id").count().collect()
+    assert {tuple(r) for r in stored} == {("v1", 5), ("v2", 2)}
+    documents = lambda job, *values: spark.createDataFrame([(job, v) for v in values], "job_id string, value string")
+    lines = lambda job, *values: spark.createDataFrame([(job, 1, k, 0, v) for k, v in enumerate(values)], "job_id string, section int, ord bigint, sub int, line string")
+    for job, values in (("j1", "ab"), ("j2", "c"), ("j1", "xyz")):
+        SD.write_delivery_metadata(documents(job, *values), str(tmp_path / "documents"))
+        SD.write_report(lines(job, *values), str(tmp_path / "report"))
+    for folder in ("documents", "report"):
+        found = spark.read.text(str(tmp_path / folder)).select("job_id", "value").collect()
+        assert {tuple(r) for r in found} == {("j1", "x"), ("j1", "y"), ("j1", "z"), ("j2", "c")}
+    video = lambda project, n: spark.createDataFrame([(f"v{k}", project) for k in range(n)], "id string, project_id string")
+    for project, n in (("p1", 3), ("p2", 2), ("p1", 1)):
+        ST.write_catalog({"videos": video(project, n)}, str(tmp_path / "catalog"))
+    stored = spark.read.parquet(str(tmp_path / "catalog" / "videos")).groupBy("project_id").count().collect()
+    assert {tuple(r) for r in stored} == {("p1", 1), ("p2", 2)}
+
+
 def test_metrics_round_trip(spark, tmp_path):
     series = spark.createDataFrame([("v", i, i / 5, 0.5, 0.9, "static") for i in range(70)], "video_id string, i bigint, t double, speed double, smoothness double, motion string")
     ST.metric_pages(series, 5.0, 32).write.parquet(str(tmp_path / "m"))
@@ -93,18 +124,23 @@ def test_fingerprints(spark, tmp_path, monkeypatch):
         return hashlib.sha256(f"{len(data)}\n".encode() + data[:16] + data[tail:]).hexdigest()
 
     expected = {n: (quick(d), hashlib.sha256(d).hexdigest()) for n, d in files.items()}
-    read = lambda: {r.path.split("/")[-1]: (r.fingerprint, r.content_hash) for r in SF.fingerprint_files(spark, str(tmp_path)).collect()}
-    # Spark's file source leaves out empty files.
-    assert read() == {n: h for n, h in expected.items() if n != "c.bin"}
-    got = {}
-    import pandas as pd
-
-    paths = pd.DataFrame({"path": [str(tmp_path / n) for n in files], "size_bytes": [len(d) for d in files.values()]})
-    for out in SF._hash_ranges(iter([paths])):
-        got = {r.path.split("/")[-1]: (r.fingerprint, r.content_hash) for r in out.itertuples()}
-    assert got == expected
-    listing = {r.path: r.bytes for r in SF.read_file_inventory(spark, str(tmp_path)).collect()}
-    assert listing == {n: len(d) for n, d in files.items() if d}
+    for block in (3, 7, 1000):
+        monkeypatch.setattr(SF, "READ_BLOCK", block)
+        assert {n: SF._digests(io.BytesIO(d), len(d)) for n, d in files.items()} == expected
+    # One block covers these files on the workers, where CHUNK is the real one; empty files are not listed.
+    monkeypatch.undo()
+    found = SF.fingerprint_files(spark, str(tmp_path)).collect()
+    whole = {n: (hashlib.sha256(f"{len(d)}\n".encode() + d).hexdigest(), expected[n][1]) for n, d in files.items() if d}
+    assert {r.path.split("/")[-1]: (r.fingerprint, r.content_hash) for r in found} == whole
+
+
+def test_inventory_keeps_names(spark, tmp_path):
+    names = {"a+b.mp4": 3, "100%.mov": 4, "sp ace/ü%20.txt": 5}
+    for name, size in names.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    assert {r.path: r.bytes for r in SF.read_file_inventory(spark, str(tmp_path)).collect()} == names
+    assert {r.size_bytes for r in SF.fingerprint_files(spark, str(tmp_path)).collect()} == {3, 4, 5}
 
 
 def test_manifest_round_trip(spark, tmp_path):

@@ -39,6 +39,33 @@ def test_latest_state_stream_equals_batch(spark, feed):
     assert last == 2 and sorted(got) == sorted(SE.latest_state(typed, ["event_id"]).collect()) and got
 
 
+def test_removals_reach_the_children(spark):
+    entity = lambda i, **more: {"id": i, "status": "done", "progress": 0.5, **more}
+    docs = [
+        {"type": "project.updated", "project": entity("p")}, {"type": "project.updated", "project": entity("q")},
+        {"type": "export.updated", "job": entity("j", projectId="p")},
+        {"type": "export.clip.updated", "clip": entity("c", jobId="j")},
+        {"type": "video.updated", "video": entity("v", projectId="p")},
+        {"type": "video.updated", "video": entity("w", projectId="q")},
+        {"type": "export.reset", "projectId": "p"},
+        {"type": "export.clip.updated", "clip": entity("d", jobId="j", excluded=True)},
+        {"type": "export.clip.progress", "clipId": "d", "status": "cut", "progress": 0.25},
+        {"type": "segments.updated", "videoId": "v"},
+    ]
+    rows = [(k, json.dumps(d)) for k, d in enumerate([*docs, {"type": "project.deleted", "projectId": "p"}])]
+    events, rejects = SE.parse_events(spark.createDataFrame(rows, "event_id bigint, value string"))
+    assert rejects.count() == 0
+    alive = lambda df: {(r.entity, r.entity_id) for r in SE.latest_state(df, ["event_id"]).collect()}
+    before = events.where("event_id < 10")
+    # The reset took job j and clip c; clip d came later and belongs to p by its job.
+    assert alive(before) == {("project", "p"), ("project", "q"), ("video", "v"), ("video", "w"), ("clip", "d")}
+    assert alive(events) == {("project", "q"), ("video", "w")}
+    job = SE.live_jobs(SE.latest_state(before, ["event_id"])).first()
+    assert (job.job_id, job.total, job.excluded, job.n_cut, job.can_build) == ("j", 1, 1, 0, False)
+    halves = [SE.event_summary(events.where(f"event_id % 2 = {k}"), ["event_id"]) for k in (0, 1)]
+    assert {(r.entity, r.entity_id) for r in SE.state_of(SE.merge_summaries(*halves)).collect()} == alive(events)
+
+
 def test_throttle_stream_equals_batch(spark, feed):
     stream, batch, tmp = feed
     pick = lambda df: SE.parse_events(df)[0].where("type = 'video.progress'").select("entity_id", "event_id", "progress")
@@ -74,10 +101,17 @@ def test_incremental_analysis_sees_each_video_once(spark, tmp_path):
     base = dict(dx=-0.05, dy=0.0, div=0.0, rot=0.0, px=0.0, py=0.0, fit=0.95, coherence=0.95, mag_var=1e-4, sharpness=500.0, brightness=120.0, overexposed=0.0)
     rows = [{"video_id": "v", "i": i, "t": i / 5, "arrived_at": "2024-01-01 00:00:00", **base} for i in range(40)]
     schema = "video_id string, i bigint, t double, arrived_at timestamp, " + ", ".join(f"{k} double" for k in base)
-    for _ in range(2):
-        spark.createDataFrame([{**r} for r in rows], schema.replace("arrived_at timestamp", "arrived_at string")).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    # Three files: the second half of the video, all of it, and another video; one micro-batch each.
+    for part in (rows[20:], rows, [{**r, "video_id": "w"} for r in rows[:30]]):
+        spark.createDataFrame([{**r} for r in part], schema.replace("arrived_at timestamp", "arrived_at string")).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     analyse = lambda df: OS.segment_video_features(df, settings)
-    SE.incremental_analysis(stream, analyse, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [(r.video_id, r.motion_type) for r in got] == [("v", "pan_right")] * len(got) and len(got) == 2
+    seen = []
+    keep_all = lambda current, fresh: seen.append({r.video_id for r in current.collect()}) or fresh
+    SE.incremental_analysis(stream, analyse, str(tmp_path / "out"), str(tmp_path / "cp"), keep_all).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out" / "segments"))
+    whole = spark.createDataFrame([{**r} for r in rows], schema.replace("arrived_at timestamp", "arrived_at string")).drop("arrived_at")
+    want = analyse(whole)
+    columns = ["video_id", "start_sec", "end_sec", "motion_type"]
+    assert sorted(got.where("video_id = 'v'").select(columns).collect()) == sorted(want.select(columns).collect())
+    assert {r.video_id for r in got.collect()} == {"v", "w"} and seen == [{"v"}, set()]
