@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import ExportSettings
@@ -18,16 +19,20 @@ from .tables import replace_partitions
 MANIFEST_PAGE = 1000
 
 
-def manifest_documents(rows: DataFrame, settings: DataFrame | None = None) -> DataFrame:
-    """One JSON document per video page: version, project, video facts and its segments."""
+def manifest_documents(rows: DataFrame, page: int = MANIFEST_PAGE) -> DataFrame:
+    """JSON documents of the manifest: version, project, video facts and segments, ``page`` segments at most each.
+
+    Every document names its page and the number of pages of its video, so a reader sees what is missing.
+    """
     placed = scale.dense_rank_in_order(
         rows, ["project_id", "video_id"], ["start_sec", "segment_id"], F.floor(F.col("start_sec") / 600), "_pos"
     )
     video = ["video_id", "original_filename", "duration_sec", "fps", "width", "height"]
     item = F.struct("_pos", "segment_id", "start_sec", "end_sec", "start_frame", "end_frame", "motion_type", "score", "origin")
-    pages = placed.groupBy("project_id", *video, F.floor(F.col("_pos") / MANIFEST_PAGE).alias("page")).agg(
+    pages = placed.groupBy("project_id", *video, F.floor(F.col("_pos") / page).alias("page")).agg(
         F.array_sort(F.collect_list(item)).alias("_items")
     )
+    pages = pages.withColumn("pages", F.max("page").over(W.partitionBy("project_id", "video_id")) + 1)
     names = {
         "segment_id": "segmentId", "start_sec": "startSec", "end_sec": "endSec", "start_frame": "startFrame",
         "end_frame": "endFrame", "motion_type": "motionType", "score": "score", "origin": "origin",
@@ -36,7 +41,8 @@ def manifest_documents(rows: DataFrame, settings: DataFrame | None = None) -> Da
     doc = F.struct(
         F.lit(1).alias("manifestVersion"),
         F.col("project_id").alias("projectId"),
-        F.col("page"),
+        "page",
+        "pages",
         F.struct(
             F.col("video_id").alias("videoId"), F.col("original_filename").alias("originalFilename"),
             F.col("duration_sec").alias("durationSec"), "fps", "width", "height", segments.alias("segments"),
@@ -45,23 +51,29 @@ def manifest_documents(rows: DataFrame, settings: DataFrame | None = None) -> Da
     return pages.select("project_id", "video_id", "page", F.to_json(doc).alias("value"))
 
 
-def write_manifest(rows: DataFrame, path: str) -> None:
+def write_manifest(rows: DataFrame, path: str, page: int = MANIFEST_PAGE) -> None:
     """Replace the manifests of the projects in ``rows``; other projects stay as they are."""
-    pages = manifest_documents(rows).select("project_id", "value").repartition("project_id", F.xxhash64("value"))
+    pages = manifest_documents(rows, page).select("project_id", "value").repartition("project_id", F.xxhash64("value"))
     replace_partitions(pages, ["project_id"]).text(path)
 
 
 _MANIFEST = (
-    "struct<manifestVersion:int,projectId:string,page:bigint,video:struct<videoId:string,originalFilename:string,"
+    "struct<manifestVersion:int,projectId:string,page:bigint,pages:bigint,video:struct<videoId:string,originalFilename:string,"
     "durationSec:double,fps:double,width:int,height:int,segments:array<struct<segmentId:string,startSec:double,"
     "endSec:double,startFrame:bigint,endFrame:bigint,motionType:string,score:double,origin:string>>>>"
 )
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Long form of the manifests; documents of another version are left out."""
+    """Long form of the manifests; documents of another version are left out, a missing page ends the query."""
     docs = spark.read.text(path).select(F.from_json("value", _MANIFEST).alias("d")).where("d.manifestVersion = 1")
-    rows = docs.select("d.projectId", "d.video.*")
+    of_video = W.partitionBy("projectId", "videoId")
+    rows = docs.select("d.projectId", "d.pages", "d.video.*")
+    whole = F.coalesce(F.count(F.lit(1)).over(of_video) == F.col("pages"), F.lit(True))
+    missing = F.concat(F.lit("manifest pages are missing: video "), "videoId")
+    rows = rows.withColumn("_whole", whole).where(
+        F.when(F.col("_whole"), True).otherwise(F.raise_error(missing).cast("boolean"))
+    )
     return rows.select(
         F.col("projectId").alias("project_id"), F.col("videoId").alias("video_id"),
         F.col("originalFilename").alias("original_filename"), F.col("durationSec").alias("duration_sec"),

@@ -3,6 +3,8 @@ import io
 import json
 import struct
 
+import pytest
+
 from reelgrid import schemas
 from reelgrid.operators import geo as OG
 from reelgrid.sources import delivery as SD
@@ -150,10 +152,23 @@ def test_manifest_round_trip(spark, tmp_path):
     path = str(tmp_path / "m")
     SD.write_manifest(df, path)
     SD.write_manifest(df.where("project_id = 'p1' AND start_frame < 2"), path)
+    SD.write_manifest(df.where("project_id = 'p2'"), path, page=2)
     got = SD.read_manifest(spark, path).groupBy("project_id").count().collect()
     assert {r.project_id: r["count"] for r in got} == {"p1": 2, "p2": 3}
 
 
+def test_missing_manifest_pages_are_noticed(spark, tmp_path):
+    pages = [json.dumps({"manifestVersion": 1, "projectId": "p", "page": k, "pages": 3, "video": {"videoId": "v", "segments": [{"segmentId": str(k)}]}}) for k in range(3)]
+    for n, fine in ((3, True), (2, False)):
+        spark.createDataFrame([(x,) for x in pages[:n]], "value string").write.text(str(tmp_path / str(n)))
+        read = SD.read_manifest(spark, str(tmp_path / str(n)))
+        if fine:
+            assert read.count() == 3
+        else:
+            with pytest.raises(Exception, match="pages are missing"):
+                read.collect()
+
+
 def test_settings(spark):
     docs = {
         "over": '{"adobeAuthor":"Jane","temperature":1}', "empty": "{}", "null": '{"adobeAuthor":null}', "range": '{"concurrency":9}',
