@@ -15,12 +15,12 @@ from . import bindings as B
 from .bindings import duck, duck_six, six
 from .motion_queries import _SMOOTHED
 
-_MOTION = F.array(*[F.lit(m) for m in M.MOTION_TYPES])
 _MOTION_SQL = "['" + "', '".join(M.MOTION_TYPES) + "']"
 
 
 def _segments(spark, sf):
-    named = F.element_at(_MOTION, F.col("motion_code").cast("int") + 1)
+    names = F.array(*[F.lit(m) for m in M.MOTION_TYPES])
+    named = F.element_at(names, F.col("motion_code").cast("int") + 1)
     return B.segments(spark, sf).withColumn("motion_type", named)
 
 

@@ -16,10 +16,13 @@ from . import bindings as B
 from .bindings import duck, duck_six, six
 from .catalog_queries import _short_segments
 
-_MOTION = F.array(*[F.lit(m) for m in M.MOTION_TYPES])
 _MOTION_SQL = "['" + "', '".join(M.MOTION_TYPES) + "']"
 
 
+def _motion_names():
+    return F.array(*[F.lit(m) for m in M.MOTION_TYPES])
+
+
 def shot_type(spark, sf):
     v = B.videos(spark, sf)
     kind = D.shot_type(F.col("fps"), F.col("duration_sec"), F.col("original_filename"), None, F.when(F.col("id") % 2 == 0, "static").otherwise("forward"), 30.0)
@@ -71,7 +74,7 @@ def byte_sizes(spark, sf):
 
 
 def movement_terms(spark, sf):
-    named = F.element_at(_MOTION, F.col("motion_code").cast("int") + 1)
+    named = F.element_at(_motion_names(), F.col("motion_code").cast("int") + 1)
     return B.segments(spark, sf).select("id", F.array_join(M.movement_terms(named, F.col("edited")), ",").alias("terms"))
 
 
@@ -111,7 +114,7 @@ def grid_key(spark, sf):
 
 
 def _clips(spark, sf):
-    named = F.element_at(_MOTION, F.col("motion_code").cast("int") % 2 + 1)
+    named = F.element_at(_motion_names(), F.col("motion_code").cast("int") % 2 + 1)
     return _short_segments(spark, sf).select(F.col("id").alias("clip_id"), "video_id", "start_sec", "end_sec", named.alias("motion_type"))
 
 
