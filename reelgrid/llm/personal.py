@@ -196,7 +196,8 @@ def _word_edits(text: str) -> list[tuple[int, int, str]]:
     if sum(low.count(w) for w in SPELLED) >= 7:
         for m in _DIGITS_IN_WORDS.finditer(text):
             number = "".join(str(SPELLED.index(d.lower())) for d in _ONE_NUMBER.findall(m[0]))
-            edits.append((*m.span(), ("+" if m[1] else "") + number))
+            # Nobody spells out so many digits but to hide a phone number.
+            edits.append((*m.span(), ("+" if m[1] or 10 <= len(number) <= 15 else "") + number))
     out: list[tuple[int, int, str]] = []
     for edit in sorted(edits):
         if not out or edit[0] >= out[-1][1]:

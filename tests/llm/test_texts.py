@@ -74,6 +74,7 @@ def test_plain_personal_data_equals_brute_force(spark):
         ("Mail jаne@example.com here", "email", "jаne@example.com"),
         ("call plus one five five five zero one zero nine nine nine nine today", "phone",
          "plus one five five five zero one zero nine nine nine nine"),
+        ("ring five five five, zero one zero, nine nine nine nine", "phone", "five five five, zero one zero, nine nine nine nine"),
         ("host １０.0.0.1 up", "ip", "１０.0.0.1"),
         ("mail ja​ne@example.com", "email", "ja​ne@example.com"),
         ("four one one one one one one one one one one one one one one one", "card",
