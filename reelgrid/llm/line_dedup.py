@@ -41,7 +41,8 @@ def drop_shared_lines(
         .where(F.length("form") >= min_chars)
         .select("key", "hash", "position", F.xxhash64("form").alias("h"), F.xxhash64(F.lit(1), "form").alias("g"))
     )
-    shared = (
+    # Written, so that the join below reads plain exchanges and Spark can split a line that very many texts share.
+    shared = written_once(
         lines.select("h", "g", "key")
         .distinct()
         .groupBy("h", "g")
