@@ -22,19 +22,28 @@ from .batches import all_cores, mixed, slices, texts_of
 
 #: Most edits, as a share of the item's characters.
 EDIT_SHARE = 0.2
-#: Steps of a walk (half as many characters on average) and steps that a key samples.
-STEPS, SAMPLED = 64, 12
+#: Steps of a walk (half as many bytes on average).
+STEPS = 64
+#: Classes of items: fewest bytes, leading steps of the walk that count, steps that a key samples.
+CLASSES = ((0, 16, 8), (64, 32, 12), (130, 64, 12))
+#: Items with fewer characters are found by exact search for whole words only.
+SHORT = 24
 #: Least share of equal steps of two walks that agree on a key.
-NEAR = 0.6
-#: Share of items that must be found when their characters are edited at the rate of the most edits.
-RECALL, MOST_KEYS = 0.95, 40
-#: Every STRIDE-th word of a text starts a window; every word of an item does.
-STRIDE = 2
+NEAR = 0.7
+#: Share of items of each class that must be found when their characters are edited at the rate of the most edits.
+RECALL = 0.95
+#: Edited copies tried per class, keys tried; a class that needs more keys is compared with every text in full.
+TRIALS, TRIED_KEYS = 200, 256
+#: Bytes by which exact copies are found, at any place of a text. Words longer than RUN bytes have more windows.
+PREFIX, RUN = 24, 16
 #: Characters of items that one pass looks for.
 ITEM_BLOCK = 1 << 20
 _FILTER_BITS = 18
 _MOVES = (mixed(np.arange(STEPS * 256)) & np.uint64(1)).astype(np.uint8).reshape(STEPS, 256)
 _SPACE = ord(" ")
+#: Thai and Lao, Myanmar, Khmer, CJK and kana, compatibility and half-width forms, further planes of CJK.
+_UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_IN_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
 def find_leaks(
@@ -44,8 +53,10 @@ def find_leaks(
 
     Texts are compared lower-cased with runs of space as one blank; ``start`` and ``end`` are code points of
     that form. An item is found where its edit distance to a passage is at most ``edit_share`` of its length.
-    The number of keys is chosen so that RECALL of the items with so many edits are found; exact
-    copies always are. Items too short to hold a walk are found by exact search for whole words.
+    The number of keys is chosen by trial, per class of length, so that RECALL of the items with so many edits
+    are found; a class for which keys don't reach that is compared with all of every text. Exact copies are
+    always found, wherever they begin. Items under SHORT characters are found by exact search for whole words
+    (scripts without spaces have no word bounds).
 
     Null and empty texts and items match nothing, null keys and item ids are kept, repeated rows give a
     result each, other columns are ignored. Items go to the workers in blocks of ITEM_BLOCK characters, each
@@ -108,75 +119,125 @@ def normalised(text: str) -> str:
 
 
 @dataclass
-class _Index:
-    """Keys of item windows, and what is needed to verify a candidate."""
+class _Keys:
+    """Keys of the item windows of one class."""
 
-    items: list[tuple[object, str]]
-    short: list[int]  # items without a whole walk
-    samples: np.ndarray  # (repeats, SAMPLED) steps
+    steps: int
+    samples: np.ndarray  # (repeats, sampled) steps
     walks: np.ndarray  # per item window
     keys: list[np.ndarray]  # per repeat: sorted keys
     windows: list[np.ndarray]  # per repeat: item windows in that order
     filters: list[np.ndarray]
     item: np.ndarray  # per item window
     offset: np.ndarray
-    edit_share: float
 
     @classmethod
-    def of(cls, items, edit_share: float) -> _Index:
-        items = [x for x in items if x[1]]
-        buffer, starts, owner = _buffer([x for _, x in items])
-        at, of = _word_starts(buffer, starts, owner, 1)
-        walks, ends = _walk(buffer, at)
-        lengths = np.array([len(x.encode()) for _, x in items], np.int64)
-        whole = ends <= (starts + lengths)[of] if len(of) else np.zeros(0, bool)
-        walks, at, of = walks[:, whole], at[whole], of[whole]
-        short = sorted(set(range(len(items))) - set(of.tolist()))
-        samples = _samples(items, edit_share)
+    def of(cls, items, chosen: list[int], steps: int, samples: np.ndarray) -> _Keys:
+        walks, offset, of = _item_windows([items[i][1] for i in chosen], steps)
         keys, windows, filters = [], [], []
-        for steps in samples:
-            key = _key(walks, steps)
+        for sample in samples:
+            key = _key(walks, sample)
             order = np.argsort(key, kind="stable")
             present = np.zeros(1 << _FILTER_BITS, bool)
             present[key >> np.uint64(64 - _FILTER_BITS)] = True
             keys.append(key[order])
             windows.append(order)
             filters.append(present)
-        offset = at - starts[of] if len(of) else at
-        return cls(items, short, samples, walks, keys, windows, filters, of, offset, edit_share)
+        return cls(steps, samples, walks, keys, windows, filters, np.array(chosen, np.int64)[of], offset)
+
+
+@dataclass
+class _Index:
+    """Keys of item windows, and what is needed to verify a candidate."""
+
+    items: list[tuple[object, str]]
+    short: list[int]
+    scanned: list[int]  # items that keys don't find often enough
+    classes: list[_Keys]
+    prefixes: np.ndarray  # sorted hashes of the first bytes of the items that are not short
+    prefixed: np.ndarray  # these items in that order
+    edit_share: float
+
+    @classmethod
+    def of(cls, items, edit_share: float) -> _Index:
+        items = [x for x in items if x[1]]
+        short = [i for i, (_, x) in enumerate(items) if len(x) < SHORT]
+        long = [i for i, (_, x) in enumerate(items) if len(x) >= SHORT]
+        sizes = {i: len(items[i][1].encode()) for i in long}
+        scanned, classes = [], []
+        for (least, steps, sampled), (most, *_) in zip(CLASSES, [*CLASSES[1:], (np.inf,)], strict=True):
+            chosen = [i for i in long if least <= sizes[i] < most]
+            if chosen:
+                samples = _samples([items[i][1] for i in chosen], steps, sampled, edit_share)
+                if samples is None:
+                    scanned += chosen
+                else:
+                    classes.append(_Keys.of(items, chosen, steps, samples))
+        buffer, starts, _ = _buffer([items[i][1] for i in long])
+        prefixes = _prefixes(buffer)[starts] if long else np.zeros(0, np.uint64)
+        order = np.argsort(prefixes, kind="stable")
+        return cls(items, short, scanned, classes, prefixes[order], np.array(long, np.int64)[order], edit_share)
 
     def found(self, texts: list[str]) -> list[tuple[int, object, int, int, int]]:
         """(row, item_id, start, end, edits) of the best passage of each row and item."""
         texts = [normalised(x) for x in texts]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         buffer, starts, owner = _buffer(texts)
-        at, of = _word_starts(buffer, starts, owner, STRIDE)
-        walks, _ = _walk(buffer, at)
+        at, of = _word_starts(buffer, starts, owner)
+        walks = _walk(buffer, at)[0] if self.classes else None
         seen: set[tuple[int, int, int]] = set()
-        for r, steps in enumerate(self.samples):
-            if not len(self.keys[r]):
-                break
+        for keys in self.classes:
+            self._candidates(texts, best, seen, keys, walks[: keys.steps], at - starts[of], of)
+        for item in self.scanned:
+            self._scan(texts, best, item)
+        for item in self.short:
+            self._search(texts, best, item)
+        return [(row, self.items[item][0], *found) for (row, item), found in sorted(best.items())]
+
+    def _candidates(self, texts, best, seen, keys: _Keys, walks, at, of) -> None:
+        for r, steps in enumerate(keys.samples):
             key = _key(walks, steps)
-            hits = np.flatnonzero(self.filters[r][key >> np.uint64(64 - _FILTER_BITS)])
-            lo, hi = (np.searchsorted(self.keys[r], key[hits], side) for side in ("left", "right"))
+            hits = np.flatnonzero(keys.filters[r][key >> np.uint64(64 - _FILTER_BITS)])
+            lo, hi = (np.searchsorted(keys.keys[r], key[hits], side) for side in ("left", "right"))
             window = np.repeat(hits, hi - lo)
             inside = np.arange(len(window)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-            other = self.windows[r][np.repeat(lo, hi - lo) + inside]
+            other = keys.windows[r][np.repeat(lo, hi - lo) + inside]
             near = np.concatenate(
                 [
-                    (walks[:, window[i : i + 4096]] == self.walks[:, other[i : i + 4096]]).mean(0) >= NEAR
+                    (walks[:, window[i : i + 4096]] == keys.walks[:, other[i : i + 4096]]).mean(0) >= NEAR
                     for i in range(0, len(window), 4096)
                 ]
                 or [np.zeros(0, bool)]
             )
             window, other = window[near], other[near]
-            rows = of[window]
-            places = at[window] - starts[rows] - self.offset[other]
-            for row, item, place in zip(rows.tolist(), self.item[other].tolist(), places.tolist(), strict=True):
+            places = at[window] - keys.offset[other]
+            for row, item, place in zip(of[window].tolist(), keys.item[other].tolist(), places.tolist(), strict=True):
                 self._verify(texts, best, seen, row, item, place)
-        for item in self.short:
-            self._search(texts, best, item)
-        return [(row, self.items[item][0], *found) for (row, item), found in sorted(best.items())]
+
+    def _copies(self, texts, best, buffer, starts) -> None:
+        """Exact copies of the items that are not short, at any place."""
+        if not len(self.prefixes):
+            return
+        present = np.zeros(1 << _FILTER_BITS, bool)
+        present[self.prefixes >> np.uint64(64 - _FILTER_BITS)] = True
+        key = _prefixes(buffer)
+        at = np.flatnonzero(present[key >> np.uint64(64 - _FILTER_BITS)])
+        lo, hi = (np.searchsorted(self.prefixes, key[at], side) for side in ("left", "right"))
+        rows = np.searchsorted(starts, at, "right") - 1
+        pairs = {(r, i) for r, a, b in zip(rows.tolist(), lo.tolist(), hi.tolist(), strict=True) if a < b for i in range(a, b)}
+        for row, i in pairs:
+            item = int(self.prefixed[i])
+            place = texts[row].find(self.items[item][1])
+            if place >= 0:
+                best[row, item] = (place, place + len(self.items[item][1]), 0)
+
+    def _scan(self, texts, best, item: int) -> None:
+        wanted = self.items[item][1]
+        for row, text in enumerate(texts):
+            edits, end = nearest_passage(wanted, text)
+            if edits <= int(self.edit_share * len(wanted)) and (row, item) not in best:
+                _, length = nearest_passage(wanted[::-1], text[:end][::-1], anchored=True)
+                best[row, item] = (end - length, end, edits)
 
     def _verify(self, texts, best, seen, row: int, item: int, start: int) -> None:
         """``start`` counts bytes; the passage is looked for with room for that and for the edits."""
@@ -207,12 +268,19 @@ class _Index:
             at = text.find(wanted)
             while at >= 0:
                 end = at + len(wanted)
-                if (at == 0 or text[at - 1] == " ") and (end == len(text) or text[end] == " "):
+                first = at == 0 or text[at - 1] == " "
+                if first and (end == len(text) or text[end] == " "):
                     best[row, item] = (at, end, 0)
                     break
                 at = text.find(wanted, at + 1)
 
 
+def _unspaced(c: str) -> bool:
+    """Whether a character is of a script that sets no spaces between words."""
+    n = ord(c)
+    return any(lo <= n <= hi for lo, hi in _UNSPACED)
+
+
 def nearest_passage(wanted: str, region: str, anchored: bool = False) -> tuple[int, int]:
     """Fewest edits between ``wanted`` and a passage of ``region``, and the passage's end.
 
@@ -250,20 +318,53 @@ def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buffer, np.cumsum(sizes + len(gap)) - sizes - len(gap), sizes
 
 
-def _word_starts(buffer, starts, sizes, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of every ``stride``-th word of each text, and its text."""
-    filled = np.flatnonzero(sizes)
-    at = np.sort(np.concatenate([starts[filled], np.flatnonzero(buffer == _SPACE) + 1]))
-    of = np.searchsorted(starts, at, "right") - 1
-    first = np.searchsorted(at, starts)
-    chosen = (np.arange(len(at)) - first[of]) % stride == 0 if len(at) else np.zeros(0, bool)
-    return at[chosen], of[chosen]
+def _word_starts(buffer, starts, sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Places where windows of each text start, and their texts.
+
+    These are its start, every place after a blank or mark, every character of three bytes or more, and in long
+    words the places that a hash of two bytes chooses.
+    """
+    if not len(buffer):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.zeros(len(buffer), bool)
+    start[1:] = ~_IN_WORD[buffer[:-1]]
+    start |= buffer >= 0xE0
+    start[starts] = True
+    start &= (buffer != _SPACE) & (buffer != 0)
+    places = np.arange(len(buffer))
+    since = places - np.maximum.accumulate(np.where(start | ~_IN_WORD[buffer], places, 0))
+    long = np.flatnonzero((since >= RUN) & ((buffer & 0xC0) != 0x80))
+    two = buffer[long].astype(np.uint64) << np.uint64(8) | buffer[long - 1]
+    start[long[mixed(two + np.uint64(1)) & np.uint64(3) == 0]] = True
+    at = np.flatnonzero(start)
+    return at, np.searchsorted(starts, at, "right") - 1
+
+
+def _prefixes(buffer: np.ndarray) -> np.ndarray:
+    """Hash of the PREFIX bytes from each place."""
+    padded = np.concatenate([buffer, np.zeros(PREFIX + 8, np.uint8)])
+    words = np.empty(len(buffer) + PREFIX, np.uint64)
+    for i in range(8):
+        words[i::8] = padded[i : i + (len(words) - i + 7) // 8 * 8].view(np.uint64)
+    key = words[: len(buffer)].copy()
+    for i in range(8, PREFIX, 8):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(buffer)]
+    return mixed(key)
+
+
+def _item_windows(texts: list[str], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Walks of so many steps that end inside their text, their offsets, and their texts."""
+    buffer, starts, sizes = _buffer(texts)
+    at, of = _word_starts(buffer, starts, sizes)
+    walks, ends = _walk(buffer, at, steps)
+    whole = ends <= (starts + sizes)[of]
+    return walks[:, whole], (at - starts[of])[whole], of[whole]
 
 
-def _walk(buffer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _walk(buffer: np.ndarray, at: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Characters emitted at each step by the walks from ``at``, and where the walks end."""
-    walks, at = np.empty((STEPS, len(at)), np.uint8), at.copy()
-    for step in range(STEPS):
+    walks, at = np.empty((steps, len(at)), np.uint8), at.copy()
+    for step in range(steps):
         emitted = buffer[at]
         walks[step] = emitted
         at += _MOVES[step][emitted]
@@ -278,28 +379,37 @@ def _key(walks: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return mixed(key)
 
 
-def _samples(items: list[tuple[object, str]], edit_share: float) -> np.ndarray:
-    """Sampled steps of as many keys as RECALL asks for (MOST_KEYS at most).
+def _samples(items: list[str], steps: int, sampled: int, edit_share: float) -> np.ndarray | None:
+    """Sampled steps of as many keys as RECALL asks for; None if TRIED_KEYS are too few.
 
-    Copies of up to 200 items, edited at the rate ``edit_share``, are searched as texts are.
+    Copies of the items, edited at the rate ``edit_share``, stand between other items and are searched as
+    texts are. The share found must exceed RECALL by two standard errors of the trial.
     """
     rng = np.random.default_rng(7)
-    keys = np.array([np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(MOST_KEYS)])
-    long = [x for _, x in items if len(x) >= STEPS]
-    if not long:
-        return keys[:1]
-    trial = long[:: -(-len(long) // 200)]
+    keys = np.array([np.sort(rng.choice(steps, sampled, replace=False)) for _ in range(TRIED_KEYS)])
+    trial = (items * -(-TRIALS // len(items)))[:: max(1, len(items) // TRIALS)]
     needed = []
     for x in trial:
-        letters = list(x)
-        for i in np.flatnonzero(rng.random(len(letters)) < edit_share):
-            other = letters[rng.integers(len(letters))]
-            letters[i] = ("", letters[i] + other, other)[rng.integers(3)]
-        walks = []
-        for text, stride in ((x, 1), ("".join(letters), STRIDE)):
-            buffer, starts, sizes = _buffer([text])
-            walks.append(_walk(buffer, _word_starts(buffer, starts, sizes, stride)[0])[0])
-        near = (walks[0][:, :, None] == walks[1][:, None, :]).mean(0) >= NEAR
-        agree = [(near & (_key(walks[0], k)[:, None] == _key(walks[1], k)[None, :])).any() for k in keys]
-        needed.append(agree.index(True) + 1 if any(agree) else MOST_KEYS + 1)
-    return keys[: min(MOST_KEYS, int(np.sort(needed)[int(np.ceil(RECALL * len(needed))) - 1]))]
+        x = x[:2000]  # longer items have more windows and are found more often
+        copy = edited(x, edit_share, rng)
+        others = [items[rng.integers(len(items))][::-1] for _ in range(2)]
+        joint = " " if " " in x else "x"
+        wanted, *_ = _item_windows([x], steps)
+        buffer, starts, sizes = _buffer([joint.join([others[0], copy, others[1]])])
+        found, _ = _walk(buffer, _word_starts(buffer, starts, sizes)[0], steps)
+        one, other = np.nonzero((wanted[:, :, None] == found[:, None, :]).mean(0) >= NEAR)
+        equal = wanted[:, one] == found[:, other]
+        agree = equal[keys].all(1).any(1)
+        needed.append(int(agree.argmax()) + 1 if agree.any() else TRIED_KEYS + 1)
+    goal = min(1.0, RECALL + 2 * (RECALL * (1 - RECALL) / len(needed)) ** 0.5)
+    most = int(np.sort(needed)[int(np.ceil(goal * len(needed))) - 1])
+    return keys[:most] if most <= TRIED_KEYS else None
+
+
+def edited(text: str, rate: float, rng: np.random.Generator) -> str:
+    """The text with characters left out, inserted or replaced at a rate."""
+    letters = list(text)
+    for i in np.flatnonzero(rng.random(len(letters)) < rate):
+        other = letters[rng.integers(len(letters))]
+        letters[i] = ("", letters[i] + other, other)[rng.integers(3)]
+    return "".join(letters)

@@ -179,6 +179,27 @@ def test_leaks_of_the_given_documents(spark):
     assert exact and exact <= found and len(found) <= len(exact) + 2
 
 
+@pytest.mark.parametrize("words", [(5, 9), (10, 16), (24, 50)])
+def test_recall_of_edited_items_holds_per_length(words):
+    rng, letters = random.Random(8), np.random.default_rng(8)
+    names = ["the", "an", "er", "on", "tion", "ing", "le", "re", "ou", "st", "nd", "ha"]
+    prose = lambda n: " ".join("".join(rng.choices(names, k=rng.randint(1, 4))) for _ in range(n))
+    items = [(i, t) for i in range(120) if len(t := prose(rng.randint(*words))) >= leaks.SHORT]
+    copies = [leaks.edited(t, 0.2, letters) for _, t in items]
+    texts = [f"{prose(3 + i % 2)} {t} {prose(9)}" for i, t in enumerate(copies)]
+    inside = {i for i, (_, t) in enumerate(items) if leaks.nearest_passage(t, texts[i])[0] <= int(0.2 * len(t))}
+    found = {(row, k) for row, k, *_ in leaks._Index.of(items, 0.2).found(texts)}
+    assert len(inside) > 30 and sum((i, items[i][0]) in found for i in inside) >= leaks.RECALL * len(inside)
+
+
+def test_items_beyond_the_keys_are_compared_in_full(monkeypatch):
+    monkeypatch.setattr(leaks, "TRIED_KEYS", 1)
+    item = "the antion reading of hand and stone over the river"
+    index = leaks._Index.of([(1, item)], 0.2)
+    assert index.scanned == [0]
+    assert index.found(["so " + item.replace("reading", "reeding") + " it is", "nothing"]) == [(0, 1, 3, 3 + len(item), 1)]
+
+
 def test_nearest_passage_equals_brute_force():
     rng = random.Random(3)
     for _ in range(150):
