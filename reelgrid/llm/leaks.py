@@ -183,6 +183,7 @@ class _Index:
         texts = [normalised(x) for x in texts]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         buffer, starts, owner = _buffer(texts)
+        self._copies(texts, best, buffer, starts)
         at, of = _word_starts(buffer, starts, owner)
         walks = _walk(buffer, at)[0] if self.classes else None
         seen: set[tuple[int, int, int]] = set()
@@ -268,8 +269,8 @@ class _Index:
             at = text.find(wanted)
             while at >= 0:
                 end = at + len(wanted)
-                first = at == 0 or text[at - 1] == " "
-                if first and (end == len(text) or text[end] == " "):
+                first = at == 0 or text[at - 1] == " " or _unspaced(wanted[0])
+                if first and (end == len(text) or text[end] == " " or _unspaced(wanted[-1])):
                     best[row, item] = (at, end, 0)
                     break
                 at = text.find(wanted, at + 1)

@@ -179,6 +179,18 @@ def test_leaks_of_the_given_documents(spark):
     assert exact and exact <= found and len(found) <= len(exact) + 2
 
 
+@pytest.mark.parametrize("ahead", ["", "word ", "two words ", "quoted (", "un"])
+def test_exact_copies_are_found_wherever_they_begin(ahead):
+    rng = random.Random(5)
+    prose = [brute.some_texts(60 + i, 1, words=90)[0].replace("\n", " ") for i in range(40)]
+    items = [leaks.normalised(t)[: rng.randint(32, 60)].strip() for t in prose]
+    items += ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in (12, 24, 30, 70)]
+    items += ["".join(rng.choices("abcdefgh0123_/.", k=n)) for n in (26, 40, 90)]
+    items = [(i, t) for i, t in enumerate(items) if len(t) >= leaks.SHORT or not t.isascii()]
+    found = leaks._Index.of(items, 0.2).found([f"{ahead}{t} and more" for _, t in items])
+    assert {(i, i) for i in range(len(items))} <= {(row, [k for k, _ in items].index(k)) for row, k, _, _, n in found if n == 0}
+
+
 @pytest.mark.parametrize("words", [(5, 9), (10, 16), (24, 50)])
 def test_recall_of_edited_items_holds_per_length(words):
     rng, letters = random.Random(8), np.random.default_rng(8)
