@@ -22,6 +22,8 @@ from .batches import all_cores, mixed, slices
 CHUNK_TOKENS = 1_000_000
 #: Bytes of text per hash range.
 RANGE_BYTES = 8 << 20
+#: A first word with more tokens is dealt over ranges by its second words; one text in SAMPLED tells which do.
+HOT_TOKENS, SAMPLED = 4 << 20, 16
 _BEGIN, _END = (int(x) for x in mixed(np.array([101, 102])))
 _COUNTS = "kind string, range int, key binary, other binary, n binary, m binary"
 _COUNT_NAMES = ["kind", "range", "key", "other", "n", "m"]
@@ -39,6 +41,7 @@ class Model:
     bigram_discounts: tuple[float, ...]  # for counts 1, 2, 3 and more
     word_discounts: tuple[float, ...]  # for continuation counts 1, 2, 3 and more
     word_backoff: float  # probability that the word level leaves to the uniform one
+    hot: tuple[np.ndarray, np.ndarray]  # sorted hashes of hot first words, bits of the parts of each
 
     @property
     def uniform(self) -> float:
@@ -51,25 +54,28 @@ def count_model(texts: DataFrame, text: str = "description") -> Model:
     Tokens are words (runs without ASCII spaces, A-Z lower-cased), then one end per text; null and empty
     texts are an end only. The first shuffle carries, per task and hash range of the first word, sorted
     distinct bigrams with their counts; the second, per range of words, how many words precede each word and
-    how often it occurs. Hot words are partial sums in both. Memory is bounded by a chunk or one range.
+    how often it occurs. A hot first word has its successors dealt over several ranges, about HOT_TOKENS tokens
+    each, and its totals added up in the second shuffle; hot words there are partial sums. The sample that finds
+    them decides the size of ranges only, never a count. Memory is bounded by a chunk or one range.
     """
     spark = texts.sparkSession
     source = all_cores(texts.select(text), text)
     size = source.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = max(0, int(size // RANGE_BYTES)).bit_length()
     folder = shared_path(spark, "model")
-    parts = source.mapInArrow(lambda b: _count(b, bits), _COUNTS)
-    words = parts.groupBy("range").applyInArrow(lambda t: _merge_bigrams(t, folder, bits), _COUNTS)
+    hot = _hot_words(source, size, bits)
+    parts = source.mapInArrow(lambda b: _count(b, bits, hot), _COUNTS)
+    words = parts.groupBy("range").applyInArrow(lambda t: _merge_bigrams(t, folder, bits, hot), _COUNTS)
     stats = words.groupBy("kind", "range").applyInArrow(lambda t: _merge_words(t, folder, bits), "kind string, totals array<bigint>")
     totals = {"bigram": np.zeros(6, np.int64), "word": np.zeros(6, np.int64)}
-    for row in stats.groupBy("kind").agg(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(6))).collect():
+    for row in stats.groupBy("kind").agg(*(F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(6))).where("kind <> 'hot'").collect():
         totals[row["kind"]] += np.array(row[1:], np.int64)
     *of_bigrams, bigrams, _ = totals["bigram"].tolist()
     *of_words, types, tokens = totals["word"].tolist()
     word_discounts = discounts(of_words)
     left = sum(d * n for d, n in zip(word_discounts, (*of_words[:2], types - sum(of_words[:2])), strict=True))
     return Model(
-        folder, bits, tokens, types, bigrams, discounts(of_bigrams), word_discounts, left / bigrams if bigrams else 1.0
+        folder, bits, tokens, types, bigrams, discounts(of_bigrams), word_discounts, left / bigrams if bigrams else 1.0, hot
     )
 
 
@@ -133,6 +139,36 @@ def _range_of(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
 
+def _hot_words(source: DataFrame, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of first words with more than HOT_TOKENS tokens by the sample, and bits of their parts."""
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if not bits or size < HOT_TOKENS:
+        return none
+
+    def run(batches):
+        for batch in slices(batches, 0):
+            word, n = np.unique(_tokens(batch.column(0))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    text = source.columns[0]
+    sample = source.where(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0)
+    found = sample.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") * SAMPLED > HOT_TOKENS).collect()
+    rows = sorted((r.word % (1 << 64), min(bits, (r.n * SAMPLED // HOT_TOKENS).bit_length())) for r in rows)
+    return (np.array([w for w, _ in rows], np.uint64), np.array([b for _, b in rows], np.int64)) if rows else none
+
+
+def _bigram_ranges(before: np.ndarray, token: np.ndarray, bits: int, hot) -> np.ndarray:
+    """Ranges of bigrams: by the first word, for hot ones by the second word too."""
+    ranges, (words, parts) = _range_of(before, bits), hot
+    if len(words) and len(before):
+        at = np.minimum(np.searchsorted(words, before), len(words) - 1)
+        place = np.flatnonzero(words[at] == before)
+        part = mixed(_pair(before[place], token[place])) >> (np.uint64(64) - parts[at[place]].astype(np.uint64))
+        ranges[place] = (ranges[place] + part.astype(np.int64)) % (1 << bits)
+    return ranges
+
+
 def _summed(before, token, n):
     """Distinct (before, token) in order, with their summed n."""
     order = np.lexsort((token, before))
@@ -155,7 +191,7 @@ def _row(kind, number, key, other, n, m) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, _COUNT_NAMES)
 
 
-def _count(batches, bits: int):
+def _count(batches, bits: int, hot):
     """Distinct bigrams of chunks of texts: per range, first words, their numbers of successors, those, counts."""
     held, size = [], 0
 
@@ -163,7 +199,10 @@ def _count(batches, bits: int):
         before, token, n = _summed(
             np.concatenate([b for b, _ in held]), np.concatenate([t for _, t in held]), np.ones(size, np.int64)
         )
-        bounds = np.searchsorted(_range_of(before, bits), np.arange((1 << bits) + 1))
+        ranges = _bigram_ranges(before, token, bits, hot)
+        order = np.argsort(ranges, kind="stable")
+        before, token, n = before[order], token[order], n[order]
+        bounds = np.searchsorted(ranges[order], np.arange((1 << bits) + 1))
         for number, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if hi > lo:
                 first, runs = _groups(before[lo:hi])
@@ -184,8 +223,8 @@ def _parts(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table[name].to_pylist() if x), dtype)
 
 
-def _merge_bigrams(table: pa.Table, folder: str, bits: int) -> pa.Table:
-    """Write the arrays of one range of first words; hand on what its bigrams say about their second words."""
+def _merge_bigrams(table: pa.Table, folder: str, bits: int, hot) -> pa.Table:
+    """Write the arrays of one range of bigrams; hand on what they say about second words and hot first words."""
     number = table["range"][0].as_py()
     before = np.repeat(_parts(table, "key", np.uint64), _parts(table, "m", np.uint32))
     before, token, n = _summed(before, _parts(table, "other", np.uint64), _parts(table, "n", np.uint32).astype(np.int64))
@@ -193,8 +232,10 @@ def _merge_bigrams(table: pa.Table, folder: str, bits: int) -> pa.Table:
     total = np.add.reduceat(n, first)
     by_count = [np.add.reduceat((n == k).astype(np.int64), first) for k in (1, 2)]
     by_count.append(np.add.reduceat((n >= 3).astype(np.int64), first))
-    shared_files.put(folder, f"context-{number}", before[first])
-    shared_files.put(folder, f"context-n-{number}", np.stack([total, *by_count], 1))
+    contexts, of_contexts = before[first], np.stack([total, *by_count], 1)
+    parted = np.isin(contexts, hot[0])
+    shared_files.put(folder, f"context-{number}", contexts[~parted])
+    shared_files.put(folder, f"context-n-{number}", of_contexts[~parted])
     pair = _pair(before, token)
     order = np.argsort(pair, kind="stable")
     large = np.flatnonzero(n[order] > 255)
@@ -206,6 +247,8 @@ def _merge_bigrams(table: pa.Table, folder: str, bits: int) -> pa.Table:
     token, seen = token[order][first], np.add.reduceat(n[order], first)
     totals = np.array([*((n == k).sum() for k in (1, 2, 3, 4)), len(n), n.sum()], np.int64)
     rows = [_row("bigram", number, None, None, totals, None)]
+    if parted.any():
+        rows.append(_row("hot", 0, contexts[parted], None, of_contexts[parted], None))
     bounds = np.searchsorted(_range_of(token, bits), np.arange((1 << bits) + 1))
     for to, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
         if hi > lo:
@@ -214,10 +257,17 @@ def _merge_bigrams(table: pa.Table, folder: str, bits: int) -> pa.Table:
 
 
 def _merge_words(table: pa.Table, folder: str, bits: int) -> pa.Table:
-    """Write the arrays of one range of words; counts of continuation counts, types and tokens."""
+    """Write the arrays of one range of words, or of hot first words; counts of continuation counts, types and tokens."""
     kind, number = table["kind"][0].as_py(), table["range"][0].as_py()
     if kind == "bigram":
         totals = np.frombuffer(table["n"][0].as_py(), np.int64)
+    elif kind == "hot":
+        word, n = _parts(table, "key", np.uint64), _parts(table, "n", np.int64).reshape(-1, 4)
+        order = np.argsort(word, kind="stable")
+        first, _ = _groups(word[order])
+        shared_files.put(folder, "hot", word[order][first])
+        shared_files.put(folder, "hot-n", np.add.reduceat(n[order], first))
+        totals = np.zeros(6, np.int64)
     else:
         word = _parts(table, "key", np.uint64)
         order = np.argsort(word, kind="stable")
@@ -266,7 +316,13 @@ def _score(column: pa.Array, model: Model):
         totals[at] = _file(model.folder, f"context-n-{number}", "i8").reshape(-1, 4)[place]
 
     _looked_up(model.folder, model.bits, _range_of(context, model.bits), context, "context", read_contexts)
-    pair, ranges = _pair(before, tokens), _range_of(before, model.bits)
+    if len(model.hot[0]):
+        hot = _file(model.folder, "hot", "u8")
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+            found = hot[at] == context
+            totals[found] = _file(model.folder, "hot-n", "i8").reshape(-1, 4)[at[found]]
+    pair, ranges = _pair(before, tokens), _bigram_ranges(before, tokens, model.bits, model.hot)
     order = np.lexsort((pair, ranges))
     together = np.zeros(len(pair), np.int64)  # in that order
 

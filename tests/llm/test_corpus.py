@@ -242,6 +242,25 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-9), g
 
 
+def test_hot_first_words_are_dealt_over_ranges(spark, monkeypatch):
+    for name, value in (("CHUNK_TOKENS", 500), ("RANGE_BYTES", 1000), ("HOT_TOKENS", 200), ("SAMPLED", 1)):
+        monkeypatch.setattr(language_model, name, value)
+    rng = random.Random(9)
+    rows = rows_of([*brute.some_texts(33, 60), *(" ".join(f"| w{rng.randrange(900)}" for _ in range(60)) for _ in range(40))])
+    sizes = []
+    model = language_model.count_model(clips(spark, rows))
+    assert len(model.hot[0])
+    for number in range(1 << model.bits):
+        sizes.append(len(language_model._file(model.folder, f"pair-{number}", "u8")))
+    want = brute.KneserNey([t for _, t in rows])
+    assert (model.tokens, model.types, model.bigrams) == (want.n, want.v, len(want.pairs))
+    successors = sum(1 for first, _ in want.pairs if first in ("|", b"|"))
+    assert sum(sizes) == len(want.pairs) and max(sizes) < successors / 2, (max(sizes), successors)
+    got = {r.clip_id: tuple(r) for r in language_model.score_texts(clips(spark, rows), model).collect()}
+    for k, t in rows:
+        assert got[k][1:] == pytest.approx(want.score(t), rel=1e-9)
+
+
 def test_chances_add_up_to_one():
     model = brute.KneserNey(brute.some_texts(32, 40))
     for h in [None, *list(model.counts)[:12]]:
