@@ -14,6 +14,9 @@ from .batches import mixed, slices
 #: Most characters (as a share of word characters) inside duplicated word n-grams, by n. First occurrences
 #: count, so a short text that repeats one notice line has a quarter; the limits leave such texts alone.
 NGRAM_LIMITS = {5: 0.45, 6: 0.42, 7: 0.39, 8: 0.36, 9: 0.33, 10: 0.30}
+#: Most characters inside n-grams that repeat an earlier n-gram, for every n: what a text says again, without
+#: first occurrences. Texts with one repeated notice line have 0.16 at most.
+REDUNDANT_LIMIT = 0.17
 #: Most lines, and most characters, in lines that repeat an earlier line (first occurrences don't count).
 LINE_LIMITS = {"lines": 0.50, "chars": 0.30}
 #: Fewest words, and most words in repeated three-word windows (percent).
@@ -33,7 +36,8 @@ def measure_repetition(texts: DataFrame, key: str = "clip_id", text: str = "desc
 
     Output: ``key``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
     ``dup_line_chars``, ``dup_ngram_share`` (share of word characters inside duplicated n-grams, one
-    value per n of NGRAM_LIMITS), ``base_failed`` and ``kept``.
+    value per n of NGRAM_LIMITS), ``base_failed`` and ``kept``. The verdict also holds the share of characters
+    in n-grams that repeat an earlier one against REDUNDANT_LIMIT.
 
     A null or empty text has no words, all measures 0, and fails the base rule. A null key stays null;
     repeated rows give one result each; other columns are ignored. Rows are independent, so memory is
@@ -68,13 +72,15 @@ def _measures(column: pa.Array) -> dict[str, pa.Array]:
     word_chars = n_chars - np.fromiter((_count(x, SPACES) for x in raw), np.int64, len(raw))
     symbols = np.fromiter((_count(x, SYMBOLS) for x in raw), np.int64, len(raw))
     lines = np.array([_line_counts(x) for x in raw], np.int64).reshape(len(raw), 4)
-    repeat_words, shares = _ngrams(words, n_words, word_chars)
+    repeat_words, shares, redundant = _ngrams(words, n_words, word_chars)
     base_failed = (n_words < MIN_WORDS) | (100 * repeat_words > MAX_REPEAT_PERCENT * n_words)
     total = np.maximum(word_chars, 1)
     n_lines, dup_lines, line_chars, dup_chars = lines.T
     bad = (dup_lines > LINE_LIMITS["lines"] * n_lines) | (dup_chars > LINE_LIMITS["chars"] * line_chars)
     for share, limit in zip(shares, NGRAM_LIMITS.values(), strict=True):
         bad |= share / total > limit
+    for share in redundant:
+        bad |= share / total > REDUNDANT_LIMIT
     per_text = (np.array(shares) / total).T.ravel()
     ends = np.arange(len(raw) + 1, dtype=np.int32) * len(NGRAM_LIMITS)
     return {
@@ -109,7 +115,7 @@ def _line_counts(raw: bytes) -> tuple[int, int, int, int]:
 
 
 def _ngrams(words: list[list[bytes]], n_words: np.ndarray, word_chars: np.ndarray):
-    """Words in repeated windows per text, and characters in duplicated n-grams per n and text."""
+    """Words in repeated windows per text, and per n and text characters in duplicated n-grams and in later ones."""
     flat = [w for x in words for w in x]
     number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
     ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
@@ -119,21 +125,22 @@ def _ngrams(words: list[list[bytes]], n_words: np.ndarray, word_chars: np.ndarra
     salt = mixed(owner + (1 << 40))
     per_text = lambda covered, weight: np.bincount(owner[covered], weight[covered], len(words)).astype(np.int64)
     ones = np.ones(len(ids), np.int64)
-    starts = _duplicated(hashed, salt, owner, np.arange(max(0, len(ids) - WINDOW + 1)), WINDOW)
+    starts, _ = _duplicated(hashed, salt, owner, np.arange(max(0, len(ids) - WINDOW + 1)), WINDOW)
     repeat_words = per_text(_covered(starts, WINDOW, len(ids)), ones)
-    shares, n = [], WINDOW
+    shares, redundant, n = [], [], WINDOW
     for wider in NGRAM_LIMITS:
         # A duplicated n-gram consists of duplicated shorter ones: only such starts are hashed.
         known = np.zeros(len(ids) + wider, bool)
         known[starts] = True
         candidates = starts[np.logical_and.reduce([known[starts + i] for i in range(wider - n + 1)])] if len(starts) else starts
-        starts, n = _duplicated(hashed, salt, owner, candidates, wider), wider
+        (starts, later), n = _duplicated(hashed, salt, owner, candidates, wider), wider
         shares.append(per_text(_covered(starts, wider, len(ids)), lengths))
-    return repeat_words, shares
+        redundant.append(per_text(_covered(later, wider, len(ids)), lengths))
+    return repeat_words, shares, redundant
 
 
 def _duplicated(hashed, salt, owner, starts, n):
-    """Those starts whose n-gram begins at two starts or more of the same text."""
+    """Those starts whose n-gram begins at two starts or more of the same text, and all but the first of each."""
     starts = starts[starts + n <= len(hashed)]
     starts = starts[owner[starts] == owner[starts + n - 1]] if len(starts) else starts
     rolled = np.zeros(len(starts), np.uint64)
@@ -145,7 +152,7 @@ def _duplicated(hashed, salt, owner, starts, n):
     double = np.zeros(len(starts), bool)
     double[order[1:][equal]] = True
     double[order[:-1][equal]] = True
-    return starts[double]
+    return starts[double], starts[np.sort(order[1:][equal])]
 
 
 def _covered(starts, n, size):

@@ -36,6 +36,19 @@ def test_repetition_equals_brute_force(clips):
     assert {brute.repetition(t)[6] for t in TEXTS} == {True, False}
 
 
+def test_passages_said_again_are_rejected_and_one_notice_is_not(spark):
+    word = lambda i: f"w{i:03d}"
+    passage, rest = [word(900 + i) for i in range(10)], [word(i) for i in range(73)]
+    thrice = " ".join([*passage, *rest[:36], *passage, *rest[36:], *passage])  # 29 % of the text, 19 % said again
+    notice = " ".join(word(800 + i) for i in range(12))
+    once_more = "\n".join([notice, " ".join(word(i) for i in range(60)), notice])  # 14 % said again
+    rows = [(0, thrice), (1, once_more), (2, " ".join([*passage, *rest]))]
+    found = by_id(repetition.measure_repetition(spark.createDataFrame(rows, "clip_id bigint, description string")))
+    assert not any(r.base_failed for r in found.values())
+    assert max(found[0].dup_ngram_share) < 0.3
+    assert [found[i].kept for i in range(3)] == [False, True, True]
+
+
 def test_drop_repetitive_keeps_all_columns(clips):
     kept = repetition.drop_repetitive(clips)
     assert kept.columns == clips.columns
