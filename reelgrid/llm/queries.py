@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, language_model, leaks, line_dedup, near_duplicates, packing, personal, repetition, secrets, token_counts
+from . import (
+    chats,
+    language_model,
+    leaks,
+    line_dedup,
+    loops,
+    near_duplicates,
+    packing,
+    personal,
+    repetition,
+    secrets,
+    token_counts,
+    toxicity,
+    whitening,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str, text: str = "description") -> DataFrame:
@@ -82,6 +96,57 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(found.withColumnRenamed("plain_sha256", "base_sha256").drop("plain"))
 
 
+def _with_tail_repeated(texts: DataFrame) -> DataFrame:
+    """Texts as the contract of op11 has them: in a tenth, by a hash of the key, a tail of words is a loop."""
+    words = F.filter(F.split(F.coalesce("description", F.lit("")), r"[ \t-\r]+"), lambda w: w != "")
+    hashed = F.crc32(F.coalesce(F.col("clip_id").cast("string"), F.lit("")))
+    g = F.floor(F.col("_h") / 10)
+    looped = texts.withColumns({"_h": hashed, "_words": F.when(hashed % 10 == 0, words)})
+    looped = looped.withColumn("_n", F.size("_words").cast("bigint"))
+    looped = looped.withColumn("_a", F.when(F.col("_n") > 0, (g % F.col("_n")).cast("int")))
+    looped = looped.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("int"))
+    left = (F.col("_n") - F.col("_a")).cast("int")
+    period = F.slice("_words", F.col("_a") + 1, F.col("_p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil(left / F.col("_p")).cast("int"))), 1, left)
+    new = F.array_join(F.concat(F.slice("_words", 1, F.col("_a")), tail), " ")
+    return looped.select("clip_id", F.when(F.col("_a").isNull(), F.col("description")).otherwise(new).alias("description"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = loops.find_loops(_with_tail_repeated(_documents(spark, sf_dir)))
+    longest = F.array_sort(
+        F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    )
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.withColumn("_longest", F.get(longest, 0))
+    return _named(found).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("_longest.s").alias("start"),
+        (-F.col("_longest.l")).alias("length"),
+        F.col("_longest.p").alias("period"),
+        F.floor(-1000 * F.col("_longest.l") / F.col("_longest.p")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = table.select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("features"))
+    white = whitening.whiten_vectors(vectors).withColumnRenamed("frame_id", "vec_id")
+    return white.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("clip_id"), "toxic")
+    held_out = F.crc32(F.coalesce(F.col("clip_id").cast("string"), F.lit(""))) % 5 == 0
+    weights = toxicity.fit_weights(texts, labels.where(~held_out))
+    return _named(toxicity.score_toxicity(texts, weights).withColumn("held_out", held_out))
+
+
 QUERIES = {
     "op1_decontamination": decontamination,
     "op2_best_fit_packing": best_fit_packing,
@@ -93,6 +158,9 @@ QUERIES = {
     "op8_token_counts": token_count,
     "op9_quality_rules": quality_rules,
     "op10_personal_data": personal_data,
+    "op11_periodic_runs": periodic_runs,
+    "op12_embedding_whitening": embedding_whitening,
+    "op13_toxicity": toxicity_scores,
 }
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
