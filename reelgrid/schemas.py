@@ -64,7 +64,11 @@ CATALOG = {
     "app_settings": "key string, value string",
 }
 #: Tables that grow with the footage are laid out by the key their readers filter on.
-PARTITIONS = {"videos": ["project_id"], "export_jobs": ["project_id"]}
+#: What is replaced or removed as a whole in a stored catalog; the other tables are replaced altogether.
+UNITS = {
+    "projects": ("id",), "videos": ("project_id",), "segments": ("video_id",), "export_jobs": ("project_id",),
+    "export_clips": ("job_id",),
+}
 
 FRAME_FIELDS = [
     "t", "dx", "dy", "div", "rot", "px", "py", "fit", "coherence", "magVar", "sharpness", "brightness", "overexposed",

@@ -13,6 +13,7 @@ from ..functions.text import slugify
 from ..operators import platforms as P
 from ..operators import scale
 from ..operators.clips import job_progress, step_hash
+from . import units
 from .tables import replace_partitions
 
 #: Segments per manifest page; a very long video continues on further pages.
@@ -51,10 +52,13 @@ def manifest_documents(rows: DataFrame, page: int = MANIFEST_PAGE) -> DataFrame:
     return pages.select("project_id", "video_id", "page", F.to_json(doc).alias("value"))
 
 
-def write_manifest(rows: DataFrame, path: str, page: int = MANIFEST_PAGE) -> None:
-    """Replace the manifests of the projects in ``rows``; other projects stay as they are."""
+def write_manifest(rows: DataFrame, path: str, page: int = MANIFEST_PAGE, emptied: DataFrame | None = None) -> None:
+    """Replace the manifests of the projects in ``rows`` in one step; other projects stay as they are.
+
+    A project in ``emptied`` (``project_id``) that has no rows any more loses its manifest.
+    """
     pages = manifest_documents(rows, page).select("project_id", "value").repartition("project_id", F.xxhash64("value"))
-    replace_partitions(pages, ["project_id"]).text(path)
+    units.commit(rows.sparkSession, path, {"manifest": units.Change(pages, ("project_id",), emptied)})
 
 
 _MANIFEST = (
@@ -66,7 +70,8 @@ _MANIFEST = (
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Long form of the manifests; documents of another version are left out, a missing page ends the query."""
-    docs = spark.read.text(path).select(F.from_json("value", _MANIFEST).alias("d")).where("d.manifestVersion = 1")
+    stored = units.read(spark, path, "manifest", "project_id string, value string")
+    docs = stored.select(F.from_json("value", _MANIFEST).alias("d")).where("d.manifestVersion = 1")
     of_video = W.partitionBy("projectId", "videoId")
     rows = docs.select("d.projectId", "d.pages", "d.video.*")
     whole = F.coalesce(F.count(F.lit(1)).over(of_video) == F.col("pages"), F.lit(True))
@@ -139,9 +144,15 @@ def delivery_metadata(results: DataFrame) -> DataFrame:
     return results.select("job_id", "clip_id", F.to_json(doc).alias("value"))
 
 
-def write_delivery_metadata(documents: DataFrame, path: str) -> None:
-    """Replace the documents of the jobs in ``documents``; other jobs stay."""
-    replace_partitions(documents.select("job_id", "value"), ["job_id"]).text(path)
+def write_delivery_metadata(documents: DataFrame, path: str, emptied: DataFrame | None = None) -> None:
+    """Replace the documents of the jobs in ``documents`` and clear those of ``emptied`` (``job_id``); others stay."""
+    change = units.Change(documents.select("job_id", "value"), ("job_id",), emptied)
+    units.commit(documents.sparkSession, path, {"documents": change})
+
+
+def read_delivery_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """``job_id`` and ``value`` of the stored documents."""
+    return units.read(spark, path, "documents", "job_id string, value string")
 
 
 LEVEL_NAMES = {"ok": "OK", "warning": "Warning", "error": "Error"}

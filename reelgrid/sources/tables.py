@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.numeric import round_half_up
 from ..operators import scale
+from . import units
 
 # Stored digits of each feature column.
 FEATURE_DIGITS = {
@@ -16,12 +17,60 @@ FEATURE_DIGITS = {
 }
 
 
-def read_catalog(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """The seven catalog tables with their fixed schemas."""
+def read_catalog(
+    spark: SparkSession, path: str, names: list[str] | None = None, version: int | None = None
+) -> dict[str, DataFrame]:
+    """The seven catalog tables with their fixed schemas, all of one version (the newest by default).
+
+    A table that was never stored is empty.
+    """
+    if version is None:
+        version = (units.versions(spark, path) or [None])[-1]
+    return {name: units.read(spark, path, name, schemas.CATALOG[name], version) for name in (names or list(schemas.CATALOG))}
+
+
+def write_catalog(catalog: dict[str, DataFrame], path: str, removed_projects: DataFrame | None = None) -> int:
+    """Store catalog tables in one step; the number of the new version.
+
+    Projects, videos and jobs are replaced project by project, segments by video, clips by job, other tables as a
+    whole. What is below ``removed_projects`` (``project_id``) is cleared unless it has rows again, so the result of
+    ``cascade_delete`` is stored as it is.
+    """
+    spark = next(iter(catalog.values())).sparkSession
+    gone = {} if removed_projects is None else _below(read_catalog(spark, path), removed_projects)
+    return units.commit(
+        spark, path, {n: units.Change(df, schemas.UNITS.get(n, ()), gone.get(n)) for n, df in catalog.items()}
+    )
+
+
+def delete_projects(spark: SparkSession, path: str, project_ids: DataFrame) -> int:
+    """Remove stored projects (``project_id``) with everything below them in one step; the number of the new version.
+
+    Nothing is rewritten but the projects that have a video whose ``duplicate_of_id`` names a removed one: there it
+    becomes null.
+    """
+    stored, known = read_catalog(spark, path), set(units.tables(spark, path))
+    gone = _below(stored, project_ids)
+    removed = gone["segments"].select(F.col("video_id").alias("duplicate_of_id")).distinct()
+    left = stored["videos"].join(gone["videos"], "project_id", "left_anti")
+    touched = left.join(removed, "duplicate_of_id", "left_semi").select("project_id").distinct()
+    affected = left.join(touched, "project_id", "left_semi").join(removed.withColumn("_lost", F.lit(True)), "duplicate_of_id", "left")
+    pointer = F.when(F.col("_lost").isNull(), F.col("duplicate_of_id"))
+    videos = affected.withColumn("duplicate_of_id", pointer).select(stored["videos"].columns)
+    changes = {n: units.Change(None, schemas.UNITS[n], gone[n]) for n in schemas.UNITS if n != "videos"}
+    changes["videos"] = units.Change(videos, schemas.UNITS["videos"], gone["videos"])
+    return units.commit(spark, path, {n: c for n, c in changes.items() if n in known})
+
+
+def _below(catalog: dict[str, DataFrame], project_ids: DataFrame) -> dict[str, DataFrame]:
+    """Units of each table that belong to projects."""
+    projects = project_ids.select("project_id").distinct()
+    videos = catalog["videos"].join(projects, "project_id", "left_semi").select(F.col("id").alias("video_id"))
+    jobs = catalog["export_jobs"].join(projects, "project_id", "left_semi").select(F.col("id").alias("job_id"))
     return {
-        name: spark.read.schema(schemas.CATALOG[name]).parquet(f"{path}/{name}")
-        for name in (names or list(schemas.CATALOG))
-    }
+        "projects": projects.select(F.col("project_id").alias("id")), "videos": projects, "segments": videos,
+        "export_jobs": projects, "export_clips": jobs,
+    }
 
 
 def replace_partitions(df: DataFrame, keys: list[str]):
@@ -29,12 +78,6 @@ def replace_partitions(df: DataFrame, keys: list[str]):
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
 
 
-def write_catalog(catalog: dict[str, DataFrame], path: str) -> None:
-    """Store catalog tables. Tables laid out by project are replaced project by project, others as a whole."""
-    for name, df in catalog.items():
-        replace_partitions(df, schemas.PARTITIONS.get(name, [])).parquet(f"{path}/{name}")
-
-
 def read_frame_features(spark: SparkSession, path: str) -> DataFrame:
     """One row per frame pair from per-video documents (<video id>/features.json).
 
@@ -65,17 +108,23 @@ def rounded_features(df: DataFrame) -> DataFrame:
     return df.withColumns({c: round_half_up(F.col(c), d) for c, d in FEATURE_DIGITS.items()})
 
 
-def write_frame_features(df: DataFrame, path: str, span: int = scale.SPAN) -> None:
+def write_frame_features(df: DataFrame, path: str, span: int = scale.SPAN, emptied: DataFrame | None = None) -> None:
     """Feature cache by fps and video, the unit of re-analysis; a second write keeps all other videos.
 
-    Rows are clustered by video span and sorted, so re-analysis reads in order.
+    Rows are clustered by video span and sorted, so re-analysis reads in order. ``emptied`` (``analysis_fps``,
+    ``video_id``) lists videos that lose their rows.
     """
     laid = (
         rounded_features(df)
         .repartition("video_id", F.floor(F.col("i") / span))
         .sortWithinPartitions("analysis_fps", "video_id", "i")
     )
-    replace_partitions(laid, ["analysis_fps", "video_id"]).parquet(path)
+    units.commit(df.sparkSession, path, {"features": units.Change(laid, ("analysis_fps", "video_id"), emptied)})
+
+
+def read_stored_features(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Rows of the feature cache, of its newest version by default."""
+    return units.read(spark, path, "features", version=version)
 
 
 def metric_pages(series: DataFrame, fps: float, page: int = scale.SPAN) -> DataFrame:
@@ -88,14 +137,17 @@ def metric_pages(series: DataFrame, fps: float, page: int = scale.SPAN) -> DataF
     return grouped.select("video_id", "page", F.lit(fps).alias("fps"), *map(pull, ("t", "speed", "smoothness", "motion")))
 
 
-def write_metrics(series: DataFrame, fps: float, path: str) -> None:
-    """Replace the stored series of the videos in ``series``; other videos stay."""
-    replace_partitions(metric_pages(series, fps), ["video_id"]).parquet(path)
+def write_metrics(
+    series: DataFrame, fps: float, path: str, page: int = scale.SPAN, emptied: DataFrame | None = None
+) -> None:
+    """Replace the stored series of the videos in ``series`` and clear those of ``emptied``; other videos stay."""
+    pages = metric_pages(series, fps, page)
+    units.commit(series.sparkSession, path, {"metrics": units.Change(pages, ("video_id",), emptied)})
 
 
 def read_metrics(spark: SparkSession, path: str, page: int = scale.SPAN) -> DataFrame:
     """Long form of stored metric pages."""
-    pages = spark.read.parquet(path)
+    pages = units.read(spark, path, "metrics")
     rows = pages.select("video_id", "page", F.posexplode(F.arrays_zip("t", "speed", "smoothness", "motion")).alias("k", "s"))
     return rows.select("video_id", (F.col("page") * page + F.col("k")).alias("i"), "s.*")
 

@@ -17,7 +17,7 @@ from ..operators import scale
 from ..operators.catalog import CLIP_STATUSES, VIDEO_STATUSES
 from ..operators.clips import job_progress
 from ..session import written_once
-from ..sources.tables import replace_partitions
+from ..sources import units
 
 # Event types with their required payload fields.
 EVENT_FIELDS = {
@@ -267,8 +267,9 @@ def incremental_analysis(
 
     Arrived samples are stored in ``out``/samples, once per batch id, so replays are idempotent and a video
     that is split over batches, or arrives again, is analysed with all its samples, each counted once.
-    ``out``/segments holds the latest segments, replaced video by video; ``reconcile(current, fresh)`` decides
-    what stays of the current ones (C5), by default nothing. The stream itself keeps no state.
+    ``out``/segments holds the latest segments, replaced video by video, also when a video has none any more (see
+    ``analysed_segments``); ``reconcile(current, fresh)`` decides what stays of the current ones (C5), by default
+    nothing. The stream itself keeps no state.
     """
     bucket = F.pmod(F.xxhash64("video_id"), F.lit(SAMPLE_BUCKETS)).cast("int")
 
@@ -282,17 +283,14 @@ def incremental_analysis(
         videos = fresh.select("video_id").distinct()
         whole = stored.where(F.col("bucket").isin(touched)).join(videos, "video_id", "left_semi")
         found = analyse(whole.drop("batch", "bucket").dropDuplicates(["video_id", "i"]))
-        current = _stored(spark, f"{out}/segments") if reconcile else None
-        if current is not None:
-            current = current.withColumn("video_id", F.col("video_id").cast(found.schema["video_id"].dataType))
+        if reconcile and units.versions(spark, f"{out}/segments"):
+            current = units.read(spark, f"{out}/segments", "segments", found.schema)
             found = written_once(reconcile(current.join(videos, "video_id", "left_semi"), found))
-        replace_partitions(found, ["video_id"]).parquet(f"{out}/segments")
+        units.commit(spark, f"{out}/segments", {"segments": units.Change(found, ("video_id",), videos)})
 
     return features.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table, or None before its first write."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.parquet(path) if exists else None
+def analysed_segments(spark: SparkSession, out: str, version: int | None = None) -> DataFrame:
+    """Segments that ``incremental_analysis`` keeps in ``out``."""
+    return units.read(spark, f"{out}/segments", "segments", version=version)

@@ -11,6 +11,7 @@ from reelgrid.sources import delivery as SD
 from reelgrid.sources import files as SF
 from reelgrid.sources import media as SM
 from reelgrid.sources import tables as ST
+from reelgrid.sources import units
 
 
 def test_probe(spark):
@@ -74,7 +75,7 @@ def test_feature_documents_round_trip(spark, tmp_path):
     df = ST.read_frame_features(spark, str(tmp_path / "in"))
     assert sorted((r.video_id, r.i) for r in df.collect()) == [("good", 0), ("good", 1)]
     ST.write_frame_features(df, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out")).orderBy("i").first()
+    back = ST.read_stored_features(spark, str(tmp_path / "out")).orderBy("i").first()
     assert (back.t, back.dx, back.mag_var, back.sharpness, back.analysis_fps) == (0.1235, 0.12346, 0.12345679, 0.12, 5.0)
 
 
@@ -86,7 +87,7 @@ def test_second_writes_keep_other_units(spark, tmp_path):
     path = str(tmp_path / "features")
     for video, fps, n in (("v1", 5.0, 3), ("v2", 5.0, 2), ("v1", 10.0, 6), ("v2", 5.0, 4)):
         ST.write_frame_features(features(video, fps, n), path)
-    stored = spark.read.parquet(path).groupBy("video_id", "analysis_fps").count().collect()
+    stored = ST.read_stored_features(spark, path).groupBy("video_id", "analysis_fps").count().collect()
     assert {tuple(r) for r in stored} == {("v1", 5.0, 3), ("v2", 5.0, 4), ("v1", 10.0, 6)}
     series = lambda video, n: spark.createDataFrame([(video, k, k / 5, 0.5, 0.9, "static") for k in range(n)], "video_id string, i bigint, t double, speed double, smoothness double, motion string")
     for video, n in (("v1", 3), ("v2", 2), ("v1", 5)):
@@ -98,20 +99,20 @@ def test_second_writes_keep_other_units(spark, tmp_path):
     for job, values in (("j1", "ab"), ("j2", "c"), ("j1", "xyz")):
         SD.write_delivery_metadata(documents(job, *values), str(tmp_path / "documents"))
         SD.write_report(lines(job, *values), str(tmp_path / "report"))
-    for folder in ("documents", "report"):
-        found = spark.read.text(str(tmp_path / folder)).select("job_id", "value").collect()
+    for stored in (SD.read_delivery_metadata(spark, str(tmp_path / "documents")), spark.read.text(str(tmp_path / "report"))):
+        found = stored.select("job_id", "value").collect()
         assert {tuple(r) for r in found} == {("j1", "x"), ("j1", "y"), ("j1", "z"), ("j2", "c")}
     video = lambda project, n: spark.createDataFrame([(f"v{k}", project) for k in range(n)], "id string, project_id string")
     for project, n in (("p1", 3), ("p2", 2), ("p1", 1)):
         ST.write_catalog({"videos": video(project, n)}, str(tmp_path / "catalog"))
-    stored = spark.read.parquet(str(tmp_path / "catalog" / "videos")).groupBy("project_id").count().collect()
+    stored = ST.read_catalog(spark, str(tmp_path / "catalog"), ["videos"])["videos"].groupBy("project_id").count().collect()
     assert {tuple(r) for r in stored} == {("p1", 1), ("p2", 2)}
 
 
 def test_metrics_round_trip(spark, tmp_path):
     series = spark.createDataFrame([("v", i, i / 5, 0.5, 0.9, "static") for i in range(70)], "video_id string, i bigint, t double, speed double, smoothness double, motion string")
-    ST.metric_pages(series, 5.0, 32).write.parquet(str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 3
+    assert ST.metric_pages(series, 5.0, 32).count() == 3
+    ST.write_metrics(series, 5.0, str(tmp_path / "m"), page=32)
     assert sorted(map(tuple, ST.read_metrics(spark, str(tmp_path / "m"), 32).collect())) == sorted(map(tuple, series.collect()))
 
 
@@ -160,7 +161,8 @@ def test_manifest_round_trip(spark, tmp_path):
 def test_missing_manifest_pages_are_noticed(spark, tmp_path):
     pages = [json.dumps({"manifestVersion": 1, "projectId": "p", "page": k, "pages": 3, "video": {"videoId": "v", "segments": [{"segmentId": str(k)}]}}) for k in range(3)]
     for n, fine in ((3, True), (2, False)):
-        spark.createDataFrame([(x,) for x in pages[:n]], "value string").write.text(str(tmp_path / str(n)))
+        stored = spark.createDataFrame([("p", x) for x in pages[:n]], "project_id string, value string")
+        units.commit(spark, str(tmp_path / str(n)), {"manifest": units.Change(stored, ("project_id",))})
         read = SD.read_manifest(spark, str(tmp_path / str(n)))
         if fine:
             assert read.count() == 3

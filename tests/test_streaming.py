@@ -109,7 +109,7 @@ def test_incremental_analysis_sees_each_video_once(spark, tmp_path):
     seen = []
     keep_all = lambda current, fresh: seen.append({r.video_id for r in current.collect()}) or fresh
     SE.incremental_analysis(stream, analyse, str(tmp_path / "out"), str(tmp_path / "cp"), keep_all).trigger(availableNow=True).start().awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out" / "segments"))
+    got = SE.analysed_segments(spark, str(tmp_path / "out"))
     whole = spark.createDataFrame([{**r} for r in rows], schema.replace("arrived_at timestamp", "arrived_at string")).drop("arrived_at")
     want = analyse(whole)
     columns = ["video_id", "start_sec", "end_sec", "motion_type"]
