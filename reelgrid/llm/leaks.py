@@ -38,6 +38,8 @@ TRIALS, TRIED_KEYS = 200, 256
 PREFIX, RUN = 24, 16
 #: Characters of items that one pass looks for.
 ITEM_BLOCK = 1 << 20
+#: Candidates whose edits are counted together.
+TOGETHER = 2048
 _FILTER_BITS = 18
 _MOVES = (mixed(np.arange(STEPS * 256)) & np.uint64(1)).astype(np.uint8).reshape(STEPS, 256)
 _SPACE = ord(" ")
@@ -196,6 +198,7 @@ class _Index:
         return [(row, self.items[item][0], *found) for (row, item), found in sorted(best.items())]
 
     def _candidates(self, texts, best, seen, keys: _Keys, walks, at, of) -> None:
+        places: list[tuple[int, int, int]] = []
         for r, steps in enumerate(keys.samples):
             key = _key(walks, steps)
             hits = np.flatnonzero(keys.filters[r][key >> np.uint64(64 - _FILTER_BITS)])
@@ -211,9 +214,9 @@ class _Index:
                 or [np.zeros(0, bool)]
             )
             window, other = window[near], other[near]
-            places = at[window] - keys.offset[other]
-            for row, item, place in zip(of[window].tolist(), keys.item[other].tolist(), places.tolist(), strict=True):
-                self._verify(texts, best, seen, row, item, place)
+            start = at[window] - keys.offset[other]
+            places += zip(of[window].tolist(), keys.item[other].tolist(), start.tolist(), strict=True)
+        self._verify(texts, best, seen, places)
 
     def _copies(self, texts, best, buffer, starts) -> None:
         """Exact copies of the items that are not short, at any place."""
@@ -240,28 +243,27 @@ class _Index:
                 _, length = nearest_passage(wanted[::-1], text[:end][::-1], anchored=True)
                 best[row, item] = (end - length, end, edits)
 
-    def _verify(self, texts, best, seen, row: int, item: int, start: int) -> None:
-        """``start`` counts bytes; the passage is looked for with room for that and for the edits."""
-        if (row, item) in best and best[row, item][2] == 0:
-            return
-        wanted = self.items[item][1]
-        allowed = int(self.edit_share * len(wanted))
-        place = (row, item, start // (allowed + 8))
-        if place in seen:
-            return
-        seen.add(place)
-        text = texts[row]
-        first = len(text.encode()[: max(0, start)].decode("utf-8", "ignore")) if not text.isascii() else max(0, start)
-        lo = max(0, first - 2 * allowed - 8)
-        region = text[lo : first + len(wanted) + 2 * allowed + 8]
-        exact = region.find(wanted)
-        if exact >= 0:
-            best[row, item] = (lo + exact, lo + exact + len(wanted), 0)
-            return
-        edits, end = nearest_passage(wanted, region)
-        if edits <= allowed and (row, item) not in best or (row, item) in best and edits < best[row, item][2]:
-            _, length = nearest_passage(wanted[::-1], region[:end][::-1], anchored=True)
-            best[row, item] = (lo + end - length, lo + end, edits)
+    def _verify(self, texts, best, seen, places: list[tuple[int, int, int]]) -> None:
+        """Look for items around places (row, item, byte), with room for that and for the edits."""
+        regions: list[tuple[int, int, int, str]] = []
+        for row, item, start in places:
+            if (row, item) in best and best[row, item][2] == 0:
+                continue
+            wanted, text = self.items[item][1], texts[row]
+            allowed = int(self.edit_share * len(wanted))
+            place = (row, item, start // (allowed + 8))
+            if place in seen:
+                continue
+            seen.add(place)
+            first = len(text.encode()[: max(0, start)].decode("utf-8", "ignore")) if not text.isascii() else max(0, start)
+            lo = max(0, first - 2 * allowed - 8)
+            regions.append((row, item, lo, text[lo : first + len(wanted) + 2 * allowed + 8]))
+        found = nearest_passages([(self.items[item][1], region) for _, item, _, region in regions])
+        for (row, item, lo, region), (edits, end) in zip(regions, found, strict=True):
+            wanted = self.items[item][1]
+            if edits <= int(self.edit_share * len(wanted)) and ((row, item) not in best or edits < best[row, item][2]):
+                _, length = nearest_passage(wanted[::-1], region[:end][::-1], anchored=True)
+                best[row, item] = (lo + end - length, lo + end, edits)
 
     def _search(self, texts, best, item: int) -> None:
         wanted = self.items[item][1]
@@ -310,6 +312,75 @@ def nearest_passage(wanted: str, region: str, anchored: bool = False) -> tuple[i
     return best, end
 
 
+def nearest_passages(pairs: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """``nearest_passage`` of many (wanted, region) pairs.
+
+    Pairs whose items have equally many words of 64 bits go through their columns together, as arrays with an entry
+    per pair. Where a group is too small for that to pay, its pairs are compared one by one, with the same results.
+    """
+    out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (wanted, region) in enumerate(pairs):
+        groups.setdefault((-(-len(wanted) // 64), len(region).bit_length()), []).append(k)
+    for (words, _), members in groups.items():
+        for i in range(0, len(members), TOGETHER):
+            part = members[i : i + TOGETHER]
+            if len(part) < 24 * words:
+                for k in part:
+                    out[k] = nearest_passage(*pairs[k])
+            else:
+                edits, ends = _columns([pairs[k] for k in part], words)
+                for k, *found in zip(part, edits.tolist(), ends.tolist(), strict=True):
+                    out[k] = tuple(found)
+    return out
+
+
+def _columns(pairs: list[tuple[str, str]], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits and ends of passages: the columns of all pairs' tables at once, in words of 64 rows."""
+    items = {wanted: k for k, wanted in enumerate(dict.fromkeys(w for w, _ in pairs))}
+    letters = np.unique(_points("".join(items)))
+    number = np.zeros(int(letters[-1]) + 2, np.int32)  # 0: a character of no item
+    number[letters] = np.arange(1, len(letters) + 1)
+    rows = np.zeros((len(letters) + 1, len(items), words), np.uint64)
+    for wanted, k in items.items():
+        at = np.arange(len(wanted))
+        np.bitwise_or.at(rows, (number[_points(wanted)], k, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    item = np.array([items[w] for w, _ in pairs])
+    length = max(len(r) for _, r in pairs)
+    text = np.zeros((length, len(pairs)), np.int32)
+    for k, (_, region) in enumerate(pairs):
+        text[: len(region), k] = number[np.minimum(_points(region), len(number) - 1)]
+    sizes = np.array([len(w) for w, _ in pairs])
+    score = sizes.copy()
+    best, end = score.copy(), np.zeros(len(pairs), np.int64)
+    one, high = np.uint64(1), np.uint64(63)
+    last = ((sizes - 1) & 63).astype(np.uint64)
+    up = np.full((words, len(pairs)), ~np.uint64(0))
+    down = np.zeros((words, len(pairs)), np.uint64)
+    for j in range(length):
+        of_column = rows[text[j], item]
+        more = less = np.zeros(len(pairs), np.uint64)  # whether the row above rises or falls into this column
+        for w in range(words):
+            p, m, equal = up[w], down[w], of_column[:, w]
+            steady = equal | m
+            equal = equal | less
+            across = (((equal & p) + p) ^ p) | equal
+            rise, fall = m | ~(across | p), p & across
+            top = last if w == words - 1 else high
+            rising, falling = (rise >> top) & one, (fall >> top) & one
+            rise, fall = (rise << one) | more, (fall << one) | less
+            up[w], down[w] = fall | ~(steady | rise), rise & steady
+            more, less = rising, falling
+        score += more.astype(np.int64) - less.astype(np.int64)
+        better = score < best
+        best[better], end[better] = score[better], j + 1
+    return best, end
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts in one byte buffer with room for a walk after each, their starts, and their sizes."""
     raw = [x.encode() for x in texts]
