@@ -15,7 +15,7 @@ from ..functions import geo as G
 from ..functions.media import parse_coordinates
 from ..functions.numeric import half_up, round_half_up
 from ..functions.text import collapse, norm_name
-from . import scale
+from . import folds, scale
 
 #: Seconds of track handled by one window partition.
 TRACK_SPAN = 600.0
@@ -92,45 +92,17 @@ def valid_fix() -> Column:
     return (lat <= 90) & (lon <= 180) & ~((lat < 1e-6) & (lon < 1e-6))
 
 
-def sample_track(points: DataFrame, step: float = 0.5) -> DataFrame:
-    """Thin a track: keep a valid fix once ``step`` seconds passed since the last kept one."""
-    names = points.columns
-    at_video, at_t = names.index("video_id"), names.index("t")
+def sample_track(points: DataFrame, step: float = 0.5, piece: int = scale.SPAN) -> DataFrame:
+    """Thin a track: keep a valid fix once ``step`` seconds passed since the last kept one; long tracks in pieces."""
+    return folds.thinned(points.where(valid_fix()), "video_id", ["t"], "t", folds.Advance(step), piece)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, last = None, -math.inf
-        for batch in batches:
-            kept = []
-            for k, (v, t) in enumerate(zip(batch.iloc[:, at_video], batch.iloc[:, at_t])):
-                if v != video:
-                    video, last = v, -math.inf
-                if t - last >= step:
-                    kept.append(k)
-                    last = t
-            yield batch.iloc[kept]
 
-    return scale.ordered_fold(points.where(valid_fix()), ["video_id"], ["t"], fold, points.schema)
-
-
-def progress_throttle(events: DataFrame, key: str, order: list[str], step: float = 0.01) -> DataFrame:
+def progress_throttle(
+    events: DataFrame, key: str, order: list[str], step: float = 0.01, piece: int = scale.SPAN
+) -> DataFrame:
     """Keep a value once it moved by ``step`` since the last kept one; exactly 1 always passes."""
     clipped = events.withColumn("progress", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("progress"))))
-    names = clipped.columns
-    at_key, at_value = names.index(key), names.index("progress")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, -1.0
-        for batch in batches:
-            kept = []
-            for k, (name, value) in enumerate(zip(batch.iloc[:, at_key], batch.iloc[:, at_value])):
-                if name != current:
-                    current, last = name, -1.0
-                if abs(value - last) >= step or value == 1:
-                    kept.append(k)
-                    last = value
-            yield batch.iloc[kept]
-
-    return scale.ordered_fold(clipped, [key], order, fold, clipped.schema)
+    return folds.thinned(clipped, key, order, "progress", folds.Move(step), piece)
 
 
 # ---- landmarks --------------------------------------------------------------------------------

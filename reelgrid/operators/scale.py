@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import written_once
+
 #: Rows of one key handled by one window partition.
 SPAN = 16384
 #: Largest table (rows) that is broadcast; beyond it joins shuffle.
@@ -102,6 +104,31 @@ def dense_rank_in_order(
     )
 
 
+def in_pieces(df: DataFrame, key: Sequence[str], order: Sequence[str], rows: int = SPAN) -> DataFrame:
+    """The rows sorted by key and order and cut into pieces of at most ``rows``: adds ``_piece`` and ``_at``.
+
+    A sample sort: ranges of the full order, so a key of any size is spread over many tasks; piece numbers and the
+    places in them rise with the order. The result is written, as later passes must see the same cuts.
+    """
+    laid = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    place = laid.withColumn("_id", F.monotonically_increasing_id())
+    inside = F.col("_id").bitwiseAND((1 << 33) - 1)
+    piece = F.shiftleft(F.shiftright("_id", 33), 33) + F.floor(inside / rows)
+    return written_once(place.withColumns({"_piece": piece, "_at": inside}).drop("_id"))
+
+
+def ranks_in_pieces(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "i", rows: int = SPAN
+) -> DataFrame:
+    """Zero-based position of each row inside its key, whatever the size of the key or of any bucket of it.
+
+    ``order`` should leave no large group of ties: rows of equal order lie in one range.
+    """
+    laid = in_pieces(df, key, order, rows)
+    ranked = dense_rank_in_order(laid, key, ["_at"], F.col("_piece"), out)
+    return ranked.drop("_piece", "_at")
+
+
 def group_profile(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
     """(number of groups, rows of the largest group): one aggregated row to the driver."""
     row = (
