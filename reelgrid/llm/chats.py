@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .batches import slices
 
 HEAD, MIDDLE, TAIL = b"### ", b"\n", b"</turn>\n"
+#: Characters of role and content by which turns of one number are dealt out.
+PREFIX = 32
 LEARNED_ROLE = "assistant"
 _ESCAPED, _ESCAPED_IN_ROLES = b"\\<#", b"\\<#\n"
 _TURN = re.compile(r"### ((?:[^\\\n]+|\\.)*)\n((?:[^\\<]+|\\.)*)</turn>\n", re.DOTALL)
@@ -51,7 +53,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
             page += out.num_rows
             yield out
 
-    laid = source.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Ranges are sampled by short prefixes, so that no whole content reaches the driver.
+    short = (F.substring(c, 1, PREFIX) for c in order[2:])
+    laid = source.repartitionByRange("clip_id", "turn", *short).sortWithinPartitions(*order)
     return laid.mapInArrow(run, f"clip_id {kind}, {PAGES}")
 
 

@@ -27,7 +27,8 @@ def drop_shared_lines(
     in the text with the largest key. Other lines keep their order, joined by line feeds.
 
     Null and empty texts are one empty line (a null text becomes empty). Rows with the same key count as
-    one text for ``min_texts``; a null key is a key of its own, smaller than all others. Other columns stay.
+    one text for ``min_texts``; a null key is a key of its own, smaller than all others. Other columns stay, but
+    for an input column named ``n_lines`` or ``n_dropped``, whose place the measure takes.
     Lines are compared by two independent 64-bit hashes, counted first per key and then per line, so a line
     that a third of all texts share stays a partial sum. A text moves once, to meet its dropped positions.
     """
@@ -62,7 +63,7 @@ def drop_shared_lines(
     rest = F.transform(F.array(parts), lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n"))[0]
     freed = F.when(F.col("dropped").isNull(), F.col("whole")).otherwise(rest)
     return source.join(dropped, same, "left").select(
-        *(freed.alias(c) if c == text else F.col("row")[c].alias(c) for c in texts.columns),
+        *(freed.alias(c) if c == text else F.col("row")[c].alias(c) for c in texts.columns if c not in ("n_lines", "n_dropped")),
         F.size(parts).cast("bigint").alias("n_lines"),
         F.coalesce(F.array_size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )

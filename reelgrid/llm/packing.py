@@ -68,13 +68,14 @@ def pack(pieces: DataFrame, max_len: int, key: str = "clip_id") -> DataFrame:
     Every row gets a place, also rows that repeat others or have a null key; lengths lie in 1..``max_len``.
     Empty input gives an empty table. The plan on the driver grows with ``max_len`` only.
     """
-    pieces = written_once(pieces)
+    names = pieces.columns
+    pieces = written_once(pieces.withColumn("_nr", F.monotonically_increasing_id()))  # tells repeated rows apart
     histogram = np.zeros(max_len + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # max_len rows at most
         histogram[length] = n
     plan = pieces.sparkSession.sparkContext.broadcast(make_plan(histogram, max_len))
     salts = 1 + int(histogram.max()) // RANKED
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "_nr"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         salted.groupBy("length", "_salt")
@@ -86,7 +87,7 @@ def pack(pieces: DataFrame, max_len: int, key: str = "clip_id") -> DataFrame:
         salted.withColumn("_row", F.row_number().over(inside) - 1)
         .join(bases, ["length", "_salt"])
         .withColumn("_rank", (F.col("_base") + F.col("_row")).cast("bigint"))
-        .select(*pieces.columns, "_rank")
+        .select(*names, "_rank")
     )
 
     def run(batches):
@@ -99,7 +100,7 @@ def pack(pieces: DataFrame, max_len: int, key: str = "clip_id") -> DataFrame:
                 [*batch.schema.names[:-1], "sequence_id", "offset"],
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
+    fields = [f"`{n}` {pieces.schema[n].dataType.simpleString()}" for n in names]
     return ranked.mapInArrow(run, ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
 
 

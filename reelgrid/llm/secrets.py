@@ -7,7 +7,6 @@ pairs have been scanned, so a later run scans only what is new.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from typing import NamedTuple
 
@@ -63,14 +62,16 @@ def scan_files(files: DataFrame, ledger: DataFrame | None = None) -> Scan:
     empty tables. Texts move once, to meet the chosen row of their blob; ledger, keys and findings are small.
     """
     source = files.select("path", "version", F.coalesce("content", F.lit("")).alias("content"))
-    keys = written_once(source.select("path", "version", F.unhex(F.sha2("content", 256)).alias("blob")))
+    source = source.withColumn("blob", F.unhex(F.sha2("content", 256)))
+    keys = written_once(source.select("path", "version", "blob"))
     seen = None if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION)
     blobs = keys.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
     if seen is not None:
         blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
-    chosen = blobs.select(F.col("at.path").alias("_path"), F.col("at.version").alias("_version"), "blob")
+    chosen = blobs.select(F.col("at.path").alias("_path"), F.col("at.version").alias("_version"), F.col("blob").alias("_blob"))
+    # By blob as well: contents that share a path and version are not paired with each other.
     same = F.col("path").eqNullSafe(F.col("_path")) & F.col("version").eqNullSafe(F.col("_version"))
-    unseen = source.join(chosen, same).select("blob", "content")
+    unseen = source.join(chosen, same & (F.col("blob") == F.col("_blob"))).select("blob", "content")
     scanned = written_once(unseen.mapInArrow(_scan, f"blob binary, rule_version string, findings {FINDINGS}"))
     new = scanned.dropDuplicates(["blob"])  # rows that repeat path, version and content
     known = new if seen is None else new.unionByName(seen.select(*new.columns))
@@ -94,8 +95,7 @@ def _scan(batches):
     for batch in slices(batches, 1):
         rows = []
         for blob, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            if hashlib.sha256(text.encode()).digest() == blob:  # not another content under the same path and version
-                rows.append({"blob": blob, "rule_version": RULE_VERSION, "findings": _findings(text)})
+            rows.append({"blob": blob, "rule_version": RULE_VERSION, "findings": _findings(text)})
         yield pa.RecordBatch.from_pylist(rows, _LEDGER)
 
 

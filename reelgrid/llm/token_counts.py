@@ -22,6 +22,8 @@ from .pretokens import byte_level, load, special_tokens
 FLUSH = 300_000
 #: Most pre-tokens, the most frequent ones, whose counts every worker holds; others meet theirs in a join.
 HOT = 1 << 18
+#: Longest of them in bytes, which bounds what is broadcast, and rows that one list of repeated texts holds.
+HOT_BYTES, COPIES = 64, 4096
 
 
 def count_tokens(
@@ -58,7 +60,8 @@ def count_tokens(
 
     seen = source.mapInArrow(distinct, "piece string, seen bigint").groupBy("piece").agg(F.sum("seen").alias("seen"))
     counted = written_once(seen.mapInArrow(pieces, "piece string, seen bigint, n bigint"))
-    hot_rows = counted.where(F.col("seen") >= _hot_from(counted)).select("piece", "n")
+    frequent = counted.where(F.octet_length("piece") <= HOT_BYTES)
+    hot_rows = frequent.where(F.col("seen") >= _hot_from(frequent)).select("piece", "n")
     hot = spark.sparkContext.broadcast(dict(zip(*hot_rows.toArrow().to_pydict().values(), strict=True)))
 
     def per_text(batches):
@@ -111,7 +114,10 @@ def count_tokens(
         .groupBy("_key", "content")
         .agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
     )
-    each = F.explode(F.array_repeat(F.struct("n_bytes", (F.col("n") / F.col("copies")).cast("bigint").alias("n")), F.col("copies").cast("int")))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES)))
+    totals = totals.withColumn("_block", blocks)  # no long list, however many copies
+    left = F.least(F.lit(COPIES), F.col("copies") - F.col("_block") * COPIES).cast("int")
+    each = F.explode(F.array_repeat(F.struct("n_bytes", (F.col("n") / F.col("copies")).cast("bigint").alias("n")), left))
     return totals.select("_key", each.alias("t")).select(
         F.col("_key").alias(key),
         F.col("t.n_bytes").alias("n_bytes"),
