@@ -6,14 +6,15 @@ Streaming, with checkpoints and bounded state.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import scale
+from ..operators import folds, scale
 from ..operators.catalog import CLIP_STATUSES, VIDEO_STATUSES
 from ..operators.clips import job_progress
 from ..session import written_once
@@ -38,6 +39,10 @@ EVENT = (
     f"video:{ENTITY},project:{ENTITY},job:{ENTITY},clip:{ENTITY}>"
 )
 WATERMARK = "10 minutes"
+FULL_UPDATES = ("video.updated", "export.clip.updated", "export.updated", "project.updated")
+REMOVALS = ("video.deleted", "project.deleted", "export.reset")
+#: Statuses after which an entity is not expected to change.
+FINAL_STATUSES = ("ready", "failed", "done")
 
 
 def parse_events(raw: DataFrame, document: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -87,11 +92,11 @@ def entity_kind(kind: Column) -> Column:
 
 
 def is_full(kind: Column) -> Column:
-    return kind.isin("video.updated", "export.clip.updated", "export.updated", "project.updated")
+    return kind.isin(*FULL_UPDATES)
 
 
 def is_removal(kind: Column) -> Column:
-    return kind.isin("video.deleted", "project.deleted", "export.reset")
+    return kind.isin(*REMOVALS)
 
 
 def event_summary(events: DataFrame, order: list[str]) -> DataFrame:
@@ -159,66 +164,216 @@ def latest_state(events: DataFrame, order: list[str]) -> DataFrame:
     return state_of(event_summary(events, order))
 
 
-def stream_latest_state(events: DataFrame, order: list[str], table: str, checkpoint: str):
-    """Keep the event summary of a stream in ``table`` (a folder of versions).
+def stream_latest_state(
+    events: DataFrame, order: list[str], table: str, checkpoint: str,
+    event_time: str | None = None, watermark: str = WATERMARK, ttl_ms: int | None = None,
+):
+    """Keep the event summary of a stream in ``table`` (a store of units, see ``stored_state``).
 
-    Each micro-batch writes a new version named by its batch id, so a replayed batch rewrites the same
-    version and a lost executor costs nothing but the retry.
+    Each entity is a keyed state that late and repeated events reach in any order; a micro-batch writes the entities
+    that it touched and nothing else. With ``event_time``, rows later than the watermark are dropped, so the state of
+    a deleted video ends when the watermark passes the deletion, and with ``ttl_ms`` also that of an entity that was
+    silent for so long since a final status: its stored row stays, and its next full update starts anew. Deleted
+    videos leave the table as well; deleted projects and resets stay, as they reach rows of others.
     """
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        fresh = event_summary(batch, order)
-        previous = _version(batch.sparkSession, table, batch_id - 1)
-        merged = fresh if previous is None else merge_summaries(previous, fresh)
-        merged.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+    def store(batch: DataFrame, batch_id: int) -> None:
+        changed = written_once(_summaries(batch, order))
+        gone = (F.col("entity") == "video") & F.coalesce(F.col("removed.at") > F.col("full.at"), F.col("full").isNull())
+        keys = ("entity", "entity_id")
+        units.commit(batch.sparkSession, table, {"state": units.Change(changed.where(~gone), keys, changed.select(*keys))})
+        units.remove_unused(batch.sparkSession, table, keep=2)
 
-    return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    states = entity_states(events, order, event_time, watermark, ttl_ms)
+    return states.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", checkpoint)
 
 
-def _version(spark, table: str, version: int) -> DataFrame | None:
-    if version < 0:
-        return None
-    return spark.read.parquet(f"{table}/v={version}")
+def stored_state(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
+    """Current rows of the entities in the table of ``stream_latest_state``."""
+    return state_of(units.read(spark, table, "state", version=version))
 
 
-def throttle_stream(
-    events: DataFrame, key: str, step: float, key_type: str = "bigint", order: str = "event_id", ttl_ms: int | None = None
+def entity_states(
+    events: DataFrame, order: list[str], event_time: str | None = None, watermark: str = WATERMARK, ttl_ms: int | None = None
 ) -> DataFrame:
-    """Streaming throttle: state is the last passed value of each key.
+    """The changed summary of each entity per micro-batch, flat: the columns that ``_summaries`` puts together.
 
-    ``events``: key, ``order`` (bigint), progress. ``ttl_ms`` drops the state of keys that were silent
-    for so long; it needs a continuously triggered query (a run-once query would wait for the timeouts).
+    A summary appears once a full update or a removal is known; until then progress waits in the state.
     """
+    use_state_store(events.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    values = {"status": "string", "progress": "double", "excluded": "boolean"}
+    fields = {}
+    for part in ("removed", "full", "partial", "project", "job"):
+        known = {"id": "string"} if part in ("project", "job") else values
+        fields |= {f"{part}_{n}": k for n, k in ({f"at_{o}": kinds[o] for o in order} | known).items()}
+    state = ", ".join(f"{n} {k}" for n, k in fields.items())
+    source = events.withColumn("entity", entity_kind(F.col("type"))).where(F.col("entity").isNotNull())
+    if event_time:
+        source = source.withWatermark(event_time, watermark)
+    processor = EntitySummary(tuple(order), tuple(fields), state, event_time, ttl_ms)
+    columns = ["entity", "entity_id", "type", *dict.fromkeys([*order, *([event_time] if event_time else [])]), *values, "project_ref", "job_ref"]
+    return (
+        source.select(*columns)
+        .groupBy("entity", "entity_id")
+        .transformWithState(
+            processor, f"entity string, entity_id string, {state}", "Update", "EventTime" if event_time else "None"
+        )
+    )
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed state needs the state store on disk; a provider that the session sets itself is kept if it is one."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name, ""):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _summaries(states: DataFrame, order: list[str]) -> DataFrame:
+    """Flat states in the form of ``event_summary``."""
+
+    def part(name: str, *values: str) -> Column:
+        at = F.struct(*(F.col(f"{name}_at_{o}").alias(o) for o in order)).alias("at")
+        known = F.coalesce(*(F.col(f"{name}_at_{o}").isNotNull() for o in order))
+        return F.when(known, F.struct(at, *(F.col(f"{name}_{v}").alias(v) for v in values))).alias(name)
+
+    full = [part(n, "status", "progress", "excluded") for n in ("removed", "full", "partial")]
+    return states.select("entity", "entity_id", *full, part("project", "id"), part("job", "id"))
+
+
+class EntitySummary(StatefulProcessor):
+    """The last removal, full update, progress, project and job of an entity, each a maximum by order."""
+
+    def __init__(self, order: tuple[str, ...], fields: tuple[str, ...], schema: str, event_time: str | None, ttl_ms: int | None):
+        self.order, self.fields, self.schema = order, fields, schema
+        self.event_time, self.ttl_ms = event_time, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.summary = handle.getValueState("summary", self.schema)
+        self.expiry = handle.getValueState("expiry", "at_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = dict(zip(self.fields, self.summary.get(), strict=True)) if self.summary.exists() else dict.fromkeys(self.fields)
+        latest = 0
+        for row in rows:
+            at = tuple(row[o] for o in self.order)
+            values = {"status": row["status"], "progress": row["progress"], "excluded": row["excluded"]}
+            kind = row["type"]
+            if kind in REMOVALS:
+                self._newer(known, "removed", at, values)
+            elif kind in FULL_UPDATES:
+                self._newer(known, "full", at, values)
+            elif kind.endswith(".progress"):
+                self._newer(known, "partial", at, values)
+            for part, ref in (("project", row["project_ref"]), ("job", row["job_ref"])):
+                if ref is not None:
+                    self._newer(known, part, at, {"id": ref})
+            if self.event_time and row[self.event_time] is not None:
+                latest = max(latest, int(row[self.event_time].timestamp() * 1000))
+        self.summary.update(tuple(known[f] for f in self.fields))
+        if self.event_time:
+            self._plan_end(key, known, latest)
+        if known[f"full_at_{self.order[0]}"] is not None or known[f"removed_at_{self.order[0]}"] is not None:
+            yield Row(**{"entity": key[0], "entity_id": key[1], **known})
+
+    def _newer(self, known: dict, part: str, at: tuple, values: dict) -> None:
+        old = tuple(known[f"{part}_at_{o}"] for o in self.order)
+        if old[0] is None or at > old:
+            known.update({f"{part}_at_{o}": x for o, x in zip(self.order, at, strict=True)})
+            known.update({f"{part}_{n}": x for n, x in values.items()})
+
+    def _plan_end(self, key, known: dict, latest: int) -> None:
+        """A timer for the end of a deleted video, or of a final entity that stays silent; one is valid at a time."""
+        moment = lambda part: tuple(known[f"{part}_at_{o}"] for o in self.order)
+        removed, full, partial = moment("removed"), moment("full"), moment("partial")
+        gone = removed[0] is not None and (full[0] is None or removed > full)
+        last = "partial" if partial[0] is not None and full[0] is not None and partial > full else "full"
+        end = None
+        if gone and key[0] == "video":
+            end = latest
+        elif not gone and self.ttl_ms and known[f"{last}_status"] in FINAL_STATUSES:
+            end = latest + self.ttl_ms
+        if end is None:
+            self.expiry.clear()
+        else:
+            self.expiry.update((end,))
+            self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        if self.expiry.exists() and self.expiry.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.summary.clear()
+            self.expiry.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
-    def fold(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else -1.0
-        rows = pd.concat(list(batches)).sort_values(order)  # one key's rows of one micro-batch
-        kept = []
-        for at, value in zip(rows[order], rows["progress"].clip(0.0, 1.0)):
-            if abs(value - last) >= step or value == 1:
-                kept.append((keys[0], at, value))
-                last = value
-        state.update((last,))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(kept, columns=[key, order, "progress"])
 
+def throttle_stream(
+    events: DataFrame, key: str, step: float, key_type: str = "bigint", order: str = "event_id", ttl_ms: int | None = None,
+    with_late: bool = False,
+) -> DataFrame:
+    """Streaming throttle: the state of a key is its last passed value and the last order that it has seen.
+
+    ``events``: key, ``order`` (bigint), progress. What was passed on can't be taken back, so a row at or before an
+    order that an earlier micro-batch brought is late: it is left out, or kept apart in rows with ``late``, if asked
+    for; so are repetitions. A silent key's state ends after ``ttl_ms`` of processing time, which needs a query that is
+    triggered continuously (a run-once query would wait for the ends).
+    """
+    use_state_store(events.sparkSession)
+    late = ", late boolean" if with_late else ""
     return (
         events.select(key, order, "progress")
         .groupBy(key)
-        .applyInPandasWithState(
-            fold,
-            f"{key} {key_type}, {order} bigint, progress double",
-            "last double",
-            "append",
-            GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout,
+        .transformWithState(
+            Throttle(key, order, step, ttl_ms, with_late),
+            f"{key} {key_type}, {order} bigint, progress double{late}",
+            "Append",
+            "ProcessingTime" if ttl_ms else "None",
         )
     )
 
 
+class Throttle(StatefulProcessor):
+    """Rows of a key that differ enough from the last one passed on; a micro-batch is taken in order."""
+
+    def __init__(self, key: str, order: str, step: float, ttl_ms: int | None, with_late: bool):
+        self.key, self.order, self.rule, self.ttl_ms, self.with_late = key, order, folds.Move(step), ttl_ms, with_late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "value double, seen bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        value, seen = self.last.get() if self.last.exists() else (self.rule.start, None)
+        at, values = array("q"), array("d")
+        for row in rows:
+            if seen is not None and row[self.order] <= seen:
+                if self.with_late:
+                    yield self._row(key, row[self.order], row["progress"], True)
+                continue
+            at.append(row[self.order])
+            values.append(float("nan") if row["progress"] is None else min(1.0, max(0.0, row["progress"])))
+        if not at:
+            return
+        places, first = np.unique(np.frombuffer(at, np.int64), return_index=True)
+        v = np.frombuffer(values, np.float64)[first]
+        to = self.rule.following(v, np.full(len(v), len(v)))
+        k = self.rule.first(v, value)
+        while k < len(v):
+            value = float(v[k])
+            yield self._row(key, int(places[k]), value, False)
+            k = int(to[k])
+        self.last.update((value, int(places[-1])))
+
+    def _row(self, key, at: int, value: float, late: bool) -> Row:
+        found = {self.key: key[0], self.order: at, "progress": value}
+        return Row(**(found | {"late": late} if self.with_late else found))
+
+    def close(self) -> None:
+        pass
+
+
 def live_jobs(state: DataFrame) -> DataFrame:
     """Totals, status counts, weighted progress and build gate of every job, from the clips in ``latest_state``."""
     clips = state.where("entity = 'clip' AND job_id IS NOT NULL")
