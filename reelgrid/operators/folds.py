@@ -24,8 +24,18 @@ _RECORD = "_piece bigint, head boolean, thresholds array<double>, falls array<bo
 _NAMES = ["_piece", "head", "thresholds", "falls", "exits", "state"]
 
 
+class _Plain:
+    """Rules whose state is the last kept value."""
+
+    def value(self, v: np.ndarray) -> np.ndarray:
+        return v
+
+    def after(self, v: np.ndarray) -> np.ndarray:
+        return v
+
+
 @dataclass(frozen=True)
-class Advance:
+class Advance(_Plain):
     """Keep a value that lies ``step`` or more above the last kept one; values of a key rise."""
 
     step: float
@@ -58,7 +68,7 @@ class Advance:
 
 
 @dataclass(frozen=True)
-class Move:
+class Move(_Plain):
     """Keep a value that differs by ``step`` or more from the last kept one, and always ``full``, the greatest."""
 
     step: float
@@ -109,9 +119,42 @@ class Move:
         return (state - threshold if fall else threshold - state) >= self.step or (threshold == self.full and not fall)
 
 
+@dataclass(frozen=True)
+class Reach:
+    """Keep a value at or above what the last kept row reached; values of a key rise. Rows are (value, reach)."""
+
+    start = -np.inf
+
+    def value(self, v: np.ndarray) -> np.ndarray:
+        return v[:, 0]
+
+    def after(self, v: np.ndarray) -> np.ndarray:
+        return v[:, 1]
+
+    def following(self, v: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        low, high = np.arange(1, len(v) + 1), ends.copy()
+        while (open_ := low < high).any():
+            mid = np.where(open_, (low + high) // 2, 0)
+            free = v[mid, 0] >= v[:, 1]
+            high = np.where(open_ & free, mid, high)
+            low = np.where(open_ & ~free, mid + 1, low)
+        return high
+
+    def first(self, v: np.ndarray, state: float) -> int:
+        hit = v[:, 0] >= state
+        return int(hit.argmax()) if hit.any() else len(v)
+
+    def entries(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(v)), np.zeros(len(v), bool)
+
+    def hits(self, threshold: float, fall: bool, state: float) -> bool:
+        return threshold >= state
+
+
 def thinned(
-    rows: DataFrame, key: str, order: list[str], value: str, rule: Advance | Move, piece: int = scale.SPAN
-) -> DataFrame:
+    rows: DataFrame, key: str, order: list[str], value: str, rule: Advance | Move | Reach, piece: int = scale.SPAN,
+    reach: str | None = None,
+) -> DataFrame:
     """Rows that the rule keeps, each key's rows taken by ``order``. Rows without a value are never kept.
 
     Rows are sorted once into pieces of ``piece`` rows at most and written; a task holds one piece. Per key only the
@@ -119,14 +162,15 @@ def thinned(
     """
     laid = scale.in_pieces(rows, [key], order, piece)
     kind = laid.schema[key].dataType.simpleString()
-    records = _by_piece(laid.select(key, value, "_piece", "_at")).mapInArrow(
-        lambda b: _maps(b, rule), f"`{key}` {kind}, {_RECORD}"
+    columns = [value, *([reach] if reach else [])]
+    records = _by_piece(laid.select(key, *columns, "_piece", "_at")).mapInArrow(
+        lambda b: _maps(b, rule, len(columns)), f"`{key}` {kind}, {_RECORD}"
     )
     chained = records.repartition(key).sortWithinPartitions(key, "_piece", "head")
     entries = written_once(chained.mapInArrow(lambda b: _chain(b, rule), "_piece bigint, _entry double"))
     joined = _by_piece(laid.join(entries, "_piece", "left"))
-    at = [joined.columns.index(c) for c in (key, value)]
-    return joined.mapInArrow(lambda b: _kept(b, rule, *at), joined.schema).select(*rows.columns)
+    at = [joined.columns.index(c) for c in (key, *columns)]
+    return joined.mapInArrow(lambda b: _kept(b, rule, at), joined.schema).select(*rows.columns)
 
 
 def _by_piece(df: DataFrame) -> DataFrame:
@@ -157,14 +201,16 @@ def _keys(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]])
 
 
-def _values(column: pa.ChunkedArray) -> np.ndarray:
-    return np.asarray(column.cast(pa.float64()).combine_chunks().fill_null(np.nan), np.float64)
+def _values(table: pa.Table, columns: list[int]) -> np.ndarray:
+    """One column as an array, two as an array of pairs."""
+    found = [np.asarray(table.column(c).cast(pa.float64()).combine_chunks().fill_null(np.nan), np.float64) for c in columns]
+    return found[0] if len(found) == 1 else np.stack(found, axis=1)
 
 
-def _maps(batches, rule) -> Iterator[pa.RecordBatch]:
+def _maps(batches, rule, n_columns: int) -> Iterator[pa.RecordBatch]:
     """Per piece: the map of its first key, and the state in which its last key is left if it began here."""
     for table in _pieces(batches):
-        starts, v = _keys(table.column(0)), _values(table.column(1))
+        starts, v = _keys(table.column(0)), _values(table, list(range(1, n_columns + 1)))
         piece, names = table.column("_piece")[0].as_py(), table.column(0)
         head = v[: starts[1]]
         out = [(names[0], piece, True, *_map(head, rule), None)]
@@ -192,7 +238,7 @@ def _exits(v: np.ndarray, rule) -> np.ndarray:
     while (to[:n] < n).any():
         last = np.where(to < n, last[np.minimum(to, n - 1)], last)
         to = to[to]
-    return v[last[:n]]
+    return rule.after(v)[last[:n]]
 
 
 def _map(v: np.ndarray, rule) -> tuple[list, list, list]:
@@ -201,11 +247,12 @@ def _map(v: np.ndarray, rule) -> tuple[list, list, list]:
         return [], [], []
     rows, fall = rule.entries(v)
     exits = _exits(v, rule)[rows]
-    good = ~np.isnan(v[rows])
+    value = rule.value(v)
+    good = ~np.isnan(value[rows])
     rows, fall, exits = rows[good], fall[good], exits[good]
     # of neighbours of one kind and one outcome the last decides
     final = np.append((np.diff(exits) != 0) | (fall[1:] != fall[:-1]), True) if len(rows) else np.zeros(0, bool)
-    return v[rows[final]].tolist(), fall[final].tolist(), exits[final].tolist()
+    return value[rows[final]].tolist(), fall[final].tolist(), exits[final].tolist()
 
 
 def _chain(batches, rule) -> Iterator[pa.RecordBatch]:
@@ -231,9 +278,9 @@ def _chain(batches, rule) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _kept(batches, rule, key: int, value: int) -> Iterator[pa.RecordBatch]:
+def _kept(batches, rule, columns: list[int]) -> Iterator[pa.RecordBatch]:
     for table in _pieces(batches):
-        starts, v = _keys(table.column(key)), _values(table.column(value))
+        starts, v = _keys(table.column(columns[0])), _values(table, columns[1:])
         to = rule.following(v, np.repeat(starts[1:], np.diff(starts)))
         entry = table.column("_entry")[0].as_py()
         at = [rule.first(v[lo:hi], rule.start if k or entry is None else entry) + lo for k, (lo, hi) in enumerate(zip(starts, starts[1:], strict=False))]

@@ -17,7 +17,7 @@ from ..functions import motion as M
 from ..functions.numeric import clamp01, compact, half_up, literal_map
 from ..functions.numeric import round_half_up as round_digits
 from ..functions.timecode import format_short_time
-from . import scale
+from . import folds, scale
 from .motion import KEY, Layout, layout_of, motion_runs, stored_signals
 
 RUN_SCHEMA = (
@@ -25,12 +25,15 @@ RUN_SCHEMA = (
 )
 
 
-def merge_runs(runs: DataFrame, max_gap: int) -> DataFrame:
+def merge_runs(runs: DataFrame, max_gap: int, span: int | None = None) -> DataFrame:
     """Join same-class runs across short label flicker, left to right.
 
     Merging never crosses a bad sample or a jump, so each (video, hard_start) stretch is independent.
-    Rows stream through sorted; the state is one open run and at most ``max_gap`` undecided ones.
+    Rows stream through sorted; the state is one open run and at most ``max_gap`` undecided ones. With ``span``
+    (videos longer than one span) the stretches are cut into pieces as well, see ``_merge_in_spans``.
     """
+    if span:
+        return _merge_in_spans(runs, max_gap, span)
     key_type = dict(runs.dtypes)[KEY]
 
     # A run is a list: video_id, hard_start, run_start, run_end, label, t_first, t_last.
@@ -80,6 +83,30 @@ def merge_runs(runs: DataFrame, max_gap: int) -> DataFrame:
     return ordered.mapInPandas(fold, RUN_SCHEMA.format(key=key_type))
 
 
+def _merge_in_spans(runs: DataFrame, max_gap: int, span: int) -> DataFrame:
+    """The same runs without a task per stretch.
+
+    A run takes up the next run of its class if at most ``max_gap`` samples lie between them, so a merged run that
+    begins with it ends where such links end: an island of linked runs. The next merged run begins right behind that
+    end, whatever was skipped, which leaves a chain of jumps from start to start, followed in pieces.
+    """
+    stretch = [KEY, "hard_start", "label"]
+    columns = [KEY, "hard_start", "run_start", "run_end", "label", "t_first", "t_last"]
+    linked = scale.with_neighbours(
+        runs.select(*columns), stretch, ["run_start"], F.floor(F.col("run_start") / span), ["run_start"]
+    )
+    ends = F.coalesce(F.col("next.run_start") - F.col("run_end") > max_gap, F.lit(True))
+    linked = linked.withColumn("_back", -F.col("run_start"))
+    islands = scale.running_last(
+        linked, stretch, "_back", {"_last": F.when(ends, F.struct("run_end", "t_last"))}, span
+    ).withColumn("_reach", F.col("_last.run_end"))
+    rows = islands.select(*columns, "_last", "_reach")
+    starts = folds.thinned(rows, KEY, ["run_start"], "run_start", folds.Reach(), span, "_reach")
+    return starts.select(
+        KEY, "run_start", F.col("_last.run_end").alias("run_end"), "label", "t_first", F.col("_last.t_last").alias("t_last")
+    )
+
+
 def trim_runs(
     runs: DataFrame, settings: AnalysisSettings, cfg: AnalysisConfig = AnalysisConfig()
 ) -> DataFrame:
@@ -331,7 +358,8 @@ def segment_signals(
     cfg: AnalysisConfig = AnalysisConfig(),
 ) -> DataFrame:
     """Stored signals -> scored segment proposals."""
-    merged = merge_runs(motion_runs(signals), round_half_up(cfg.segment.merge_gap_sec * settings.analysis_fps))
+    gap = round_half_up(cfg.segment.merge_gap_sec * settings.analysis_fps)
+    merged = merge_runs(motion_runs(signals), gap, layout.span if layout.chunked else None)
     trimmed = trim_runs(merged, settings, cfg)
     pieces = split_runs(trimmed, signals, settings, cfg, layout.span)
     return score_segments(pieces, signals, settings, cfg, layout.span)

@@ -39,7 +39,11 @@ def features_layout(spark: SparkSession, sf_dir: str) -> Layout:
 
 
 def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regime = "(floor(i / 24) * 5 + video_id) % 12"
+    # A fifth of the videos keeps one class throughout, a fifth changes half as often; both flicker.
+    regime = (
+        "(CASE video_id % 5 WHEN 0 THEN 0 WHEN 1 THEN floor(i / 48) ELSE floor(i / 24) END * 5 + video_id"
+        " + CASE WHEN video_id % 5 < 2 AND i % 24 BETWEEN 12 AND 16 THEN 3 ELSE 0 END) % 12"
+    )
     noise = "((event_id * 37) % 101 - 50) * 1e-5D"
     return (
         _positions(spark, sf_dir)
@@ -52,7 +56,7 @@ def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"CASE WHEN k = 2 THEN 5e-2D WHEN k = 3 THEN -5e-2D WHEN k = 11 THEN 3e-2D WHEN k IN (6, 7) THEN 2e-3D ELSE 0e0D END + {noise} AS dx",
             "CASE WHEN k IN (4, 8) THEN 5e-2D WHEN k IN (5, 9) THEN -5e-2D WHEN k = 11 THEN -2e-2D ELSE 0e0D END AS dy",
             "CASE WHEN k = 0 THEN 8e-2D WHEN k = 1 THEN -8e-2D ELSE 0e0D END AS div",
-            "0e0D AS rot",
+            "CASE WHEN k = 10 AND video_id % 3 = 0 THEN 9e-2D WHEN k = 10 AND video_id % 3 = 1 THEN -9e-2D ELSE 0e0D END AS rot",
             "CASE WHEN k = 6 THEN -5e-2D WHEN k = 7 THEN 5e-2D ELSE 0e0D END AS px",
             "CASE WHEN k IN (8, 9) THEN 4e-2D ELSE 0e0D END AS py",
             "CASE WHEN k = 11 THEN 1e-1D ELSE 95e-2D - (event_id % 7) * 1e-2D END AS fit",
@@ -266,14 +270,15 @@ WITH e AS (
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i
   FROM events),
 r AS (
-  SELECT *, CAST((CAST(floor(i / 24) AS BIGINT) * 5 + video_id) % 12 AS BIGINT) AS k,
+  SELECT *, CAST((CAST(CASE video_id % 5 WHEN 0 THEN 0 WHEN 1 THEN floor(i / 48) ELSE floor(i / 24) END AS BIGINT) * 5 + video_id
+           + CASE WHEN video_id % 5 < 2 AND i % 24 BETWEEN 12 AND 16 THEN 3 ELSE 0 END) % 12 AS BIGINT) AS k,
          ((event_id * 37) % 101 - 50) * 1e-5 AS n
   FROM e)
 SELECT video_id, i, event_id, i / 5e0 AS t,
   CASE WHEN k = 2 THEN 5e-2 WHEN k = 3 THEN -5e-2 WHEN k = 11 THEN 3e-2 WHEN k IN (6, 7) THEN 2e-3 ELSE 0e0 END + n AS dx,
   CASE WHEN k IN (4, 8) THEN 5e-2 WHEN k IN (5, 9) THEN -5e-2 WHEN k = 11 THEN -2e-2 ELSE 0e0 END AS dy,
   CASE WHEN k = 0 THEN 8e-2 WHEN k = 1 THEN -8e-2 ELSE 0e0 END AS div,
-  0e0 AS rot,
+  CASE WHEN k = 10 AND video_id % 3 = 0 THEN 9e-2 WHEN k = 10 AND video_id % 3 = 1 THEN -9e-2 ELSE 0e0 END AS rot,
   CASE WHEN k = 6 THEN -5e-2 WHEN k = 7 THEN 5e-2 ELSE 0e0 END AS px,
   CASE WHEN k IN (8, 9) THEN 4e-2 ELSE 0e0 END AS py,
   CASE WHEN k = 11 THEN 1e-1 ELSE 95e-2 - (event_id % 7) * 1e-2 END AS fit,

@@ -203,6 +203,65 @@ runs AS (
     arg_min(break_before, i) AS break_before, min(t) AS t_first, max(t) AS t_last, avg(raw_speed) AS mean_speed
   FROM island WHERE NOT bad GROUP BY video_id, run_no)"""
 
+#: Samples around the ideal place of a cut among which the calmest is chosen: 4 s at 5 samples a second.
+SEARCH = 20
+# A merged run ends where links between runs of its class end; the next one begins behind it.
+_MERGED = f"""{_RUNS},
+stretches AS (
+  SELECT *, count(*) FILTER (WHERE break_before <> 'label') OVER (PARTITION BY video_id ORDER BY run_start) AS stretch FROM runs),
+links AS (
+  SELECT *, coalesce(lead(run_start) OVER (PARTITION BY video_id, stretch, label ORDER BY run_start) - run_end > 6, true) AS ends FROM stretches),
+reaches AS (
+  SELECT *, min(CASE WHEN ends THEN run_end END) OVER w AS reach, min(CASE WHEN ends THEN t_last END) OVER w AS t_reach
+  FROM links WINDOW w AS (PARTITION BY video_id, stretch, label ORDER BY run_start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+merged AS (
+  SELECT * FROM reaches WHERE break_before <> 'label'
+  UNION ALL SELECT r.* FROM merged m JOIN reaches r ON r.video_id = m.video_id AND r.stretch = m.stretch AND r.run_start = m.reach)"""
+
+# Cuts of a run depend on each other: each is the calmest sample that leaves room for the others (20 samples around the ideal).
+_SEGMENTS = f"""{_MERGED},
+trimmed AS (
+  SELECT video_id, label, run_start + 3 AS run_a, reach - 3 AS run_b, t_first + 5e-1 AS start_sec, t_reach + 2e-1 - 5e-1 AS end_sec
+  FROM merged WHERE label NOT IN ('erratic', 'static') AND (t_reach + 2e-1 - 5e-1) - (t_first + 5e-1) >= 2),
+planned AS (
+  SELECT *, CAST(CASE WHEN run_b - run_a <= 30 THEN 1
+      ELSE greatest(ceil((run_b - run_a) / 3e1), least(floor((run_b - run_a) / 1e1), floor((run_b - run_a) / 2e1 + 5e-1))) END AS BIGINT) AS n
+  FROM trimmed),
+cuts AS (
+  SELECT *, CAST(0 AS BIGINT) AS k, run_a AS cut FROM planned
+  UNION ALL
+  SELECT c.video_id, c.label, c.run_a, c.run_b, c.start_sec, c.end_sec, c.n, c.k + 1, x.cut
+  FROM cuts c JOIN LATERAL (
+    WITH lim AS (
+      SELECT CAST(floor(c.run_a + (c.k + 1) * (c.run_b - c.run_a) / CAST(c.n AS DOUBLE) + 5e-1) AS BIGINT) AS ideal),
+    room AS (
+      SELECT ideal, greatest(c.cut + 10, c.run_b - (c.n - c.k - 1) * 30, ideal - {SEARCH}) AS lo,
+        least(c.cut + 30, c.run_b - (c.n - c.k - 1) * 10, ideal + {SEARCH}) AS hi FROM lim)
+    SELECT CASE WHEN lo <= hi THEN (
+        SELECT arg_min(g.i, (instability + abs(g.i - ideal) / {SEARCH}e0 * 1e-3, g.i)) FROM g
+        WHERE g.video_id = c.video_id AND g.i BETWEEN lo AND hi)
+      ELSE greatest(least(ideal, hi), lo) END AS cut FROM room) x ON true
+  WHERE c.k + 1 < c.n),
+pieces AS (
+  SELECT *, cut AS a, coalesce(lead(cut) OVER (PARTITION BY video_id, run_a ORDER BY k), run_b) AS b FROM cuts),
+rated AS (
+  SELECT p.video_id, p.label, p.run_a, p.k, p.n, p.start_sec, p.end_sec,
+    min(t) FILTER (WHERE i = a) AS t_a, min(t) FILTER (WHERE i = b) AS t_b,
+    least(1e0, greatest(0e0, avg(smooth_fit) FILTER (WHERE i < b))) AS smoothness,
+    avg(speed) FILTER (WHERE i < b) AS mean_speed, stddev_pop(speed) FILTER (WHERE i < b) AS sd_speed,
+    quantile_cont(sharpness, 5e-1) FILTER (WHERE i < b) AS sharp_mid, max(sharpness_ref) AS sharp_ref,
+    least(1e0, greatest(0e0, avg(exposure) FILTER (WHERE i < b))) AS light,
+    coalesce(list(t + 1e-1 ORDER BY i) FILTER (WHERE i < b AND jerk_onset), []) AS jerks,
+    arg_max(t + 1e-1, (overexposed, -i)) FILTER (WHERE i < b) AS worst_t, max(overexposed) FILTER (WHERE i < b) AS worst
+  FROM pieces p JOIN g ON g.video_id = p.video_id AND g.i BETWEEN p.a AND p.b GROUP BY ALL),
+scored AS (
+  SELECT *, CASE WHEN k = 0 THEN start_sec ELSE t_a END AS seg_start, CASE WHEN k = n - 1 THEN end_sec ELSE t_b END AS seg_end,
+    least(1e0, greatest(0e0, 1 - CASE WHEN mean_speed > 6e-3 THEN sd_speed / mean_speed ELSE 0e0 END / 6e-1)) AS steady,
+    CASE WHEN sharp_ref > 0 THEN least(1e0, greatest(0e0, sharp_mid / sharp_ref)) ELSE 1e0 END AS sharp FROM rated),
+mmss AS (SELECT *, list_transform(jerks, lambda s: printf('%02d:%02d', CAST(floor(s + 5e-1) AS BIGINT) // 60, CAST(floor(s + 5e-1) AS BIGINT) % 60)) AS marks,
+    printf('%02d:%02d', CAST(floor(worst_t + 5e-1) AS BIGINT) // 60, CAST(floor(worst_t + 5e-1) AS BIGINT) % 60) AS worst_mark FROM scored
+  WHERE seg_end - seg_start >= 2 - 1e-6)"""
+
 _FLOW = f"""WITH {duck("flow_samples")},
 ctr AS (SELECT pair_id, avg(x) AS cx, avg(y) AS cy FROM flow_samples GROUP BY 1),
 rel AS (SELECT f.*, x - cx AS rx, y - cy AS ry FROM flow_samples f JOIN ctr USING (pair_id)),
@@ -247,6 +306,21 @@ SELECT video_id, run_start, run_end, label, break_before, {duck_six("t_first")}
 SELECT video_id, label, run_start + 3 AS a, run_end - 3 AS b, {duck_six("t_first + 5e-1")} AS start_sec,
   {duck_six("t_last + 2e-1 - 5e-1")} AS end_sec
 FROM runs WHERE label NOT IN ('erratic', 'static') AND (t_last + 2e-1 - 5e-1) - (t_first + 5e-1) >= 2""",
+    "merged_runs": f"""WITH RECURSIVE {_MERGED}
+SELECT video_id, run_start, reach AS run_end, label FROM merged""",
+    "video_segments": f"""WITH RECURSIVE {_SEGMENTS}
+SELECT video_id, {duck_six("seg_start")} AS start_sec, {duck_six("seg_end")} AS end_sec, label AS motion_type,
+  floor(least(1e0, greatest(0e0, smoothness * 35e-2 + steady * 25e-2 + sharp * 2e-1 + light * 2e-1 - len(jerks) * 6e-2)) * 100 + 5e-1) / 100 AS score,
+  array_to_string(list_filter([
+    CASE WHEN smoothness >= 8e-1 THEN 'Smooth motion: ' WHEN smoothness >= 6e-1 THEN 'Fairly smooth motion: ' ELSE 'Uneven motion: ' END
+      || CASE label {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in M.REASON_PHRASES.items())} END,
+    CASE WHEN steady >= 8e-1 THEN 'Steady speed' WHEN steady < 5e-1 THEN 'Speed varies noticeably' END,
+    CASE WHEN len(marks) > 0 THEN 'Slight jerk at ' || marks[1] END, CASE WHEN len(marks) > 1 THEN 'Slight jerk at ' || marks[2] END,
+    CASE WHEN len(marks) > 2 THEN 'Slight jerk at ' || marks[3] END,
+    CASE WHEN len(marks) > 3 THEN 'More jerks: ' || (len(marks) - 3) END,
+    CASE WHEN sharp < 6e-1 THEN 'Softer than usual (possible blur)' END,
+    CASE WHEN light < 7e-1 THEN CASE WHEN worst > 6e-2 THEN 'Overexposure at ' || worst_mark ELSE 'Imperfect exposure' END END],
+    lambda r: r IS NOT NULL), '; ') AS reasons FROM mmss""",
     "motion_series": f"""WITH {_SMOOTHED}
 SELECT video_id, i, floor((t + 1e-1) * 1000 + 5e-1) / 1000 AS t,
   floor(least(1e0, greatest(0e0, speed / 1e-1)) * 1000 + 5e-1) / 1000 AS speed,
