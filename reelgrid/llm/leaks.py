@@ -9,6 +9,7 @@ texts and items that agree on a key are candidates, and a candidate is verified
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,10 +39,13 @@ TRIALS, TRIED_KEYS = 200, 256
 PREFIX, RUN = 24, 16
 #: Characters of items that one pass looks for.
 ITEM_BLOCK = 1 << 20
+#: Windows of a slice that are walked and looked up at a time, so that their arrays stay in a core's cache.
+WINDOWS = 16_384
 #: Candidates whose edits are counted together.
 TOGETHER = 2048
 _FILTER_BITS = 18
 _MOVES = (mixed(np.arange(STEPS * 256)) & np.uint64(1)).astype(np.uint8).reshape(STEPS, 256)
+_FACTORS = mixed(np.arange(1, STEPS // 8 + 1)) | np.uint64(1)
 _SPACE = ord(" ")
 #: Thai and Lao, Myanmar, Khmer, CJK and kana, compatibility and half-width forms, further planes of CJK.
 _UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
@@ -126,6 +130,7 @@ class _Keys:
 
     steps: int
     samples: np.ndarray  # (repeats, sampled) steps
+    masks: list[list[tuple[int, np.uint64]]]  # the same for words of eight steps
     walks: np.ndarray  # per item window
     keys: list[np.ndarray]  # per repeat: sorted keys
     windows: list[np.ndarray]  # per repeat: item windows in that order
@@ -136,16 +141,16 @@ class _Keys:
     @classmethod
     def of(cls, items, chosen: list[int], steps: int, samples: np.ndarray) -> _Keys:
         walks, offset, of = _item_windows([items[i][1] for i in chosen], steps)
-        keys, windows, filters = [], [], []
+        words, keys, windows, filters = _words(walks), [], [], []
         for sample in samples:
-            key = _key(walks, sample)
+            key = _key(words, _masks(sample))
             order = np.argsort(key, kind="stable")
             present = np.zeros(1 << _FILTER_BITS, bool)
             present[key >> np.uint64(64 - _FILTER_BITS)] = True
             keys.append(key[order])
             windows.append(order)
             filters.append(present)
-        return cls(steps, samples, walks, keys, windows, filters, np.array(chosen, np.int64)[of], offset)
+        return cls(steps, samples, [_masks(x) for x in samples], walks, keys, windows, filters, np.array(chosen, np.int64)[of], offset)
 
 
 @dataclass
@@ -187,37 +192,25 @@ class _Index:
         buffer, starts, owner = _buffer(texts)
         self._copies(texts, best, buffer, starts)
         at, of = _word_starts(buffer, starts, owner)
-        walks = _walk(buffer, at)[0] if self.classes else None
+        near: list[list[list[np.ndarray]]] = [[[] for _ in keys.samples] for keys in self.classes]
+        for lo in range(0, len(at) if self.classes else 0, WINDOWS):
+            walks, _ = _walk(buffer, at[lo : lo + WINDOWS])
+            words = _words(walks)
+            for keys, of_class in zip(self.classes, near, strict=True):
+                for masks, filters, known, windows, out in zip(keys.masks, keys.filters, keys.keys, keys.windows, of_class, strict=True):
+                    out.append(_near(walks[: keys.steps], _key(words, masks), filters, known, windows, keys.walks) + np.array([[lo], [0]]))
         seen: set[tuple[int, int, int]] = set()
-        for keys in self.classes:
-            self._candidates(texts, best, seen, keys, walks[: keys.steps], at - starts[of], of)
+        for keys, of_class in zip(self.classes, near, strict=True):
+            window, other = np.concatenate([x for out in of_class for x in out] or [np.zeros((2, 0), np.int64)], axis=1)
+            row = of[window]
+            start = at[window] - starts[row] - keys.offset[other]
+            self._verify(texts, best, seen, zip(row.tolist(), keys.item[other].tolist(), start.tolist(), strict=True))
         for item in self.scanned:
             self._scan(texts, best, item)
         for item in self.short:
             self._search(texts, best, item)
         return [(row, self.items[item][0], *found) for (row, item), found in sorted(best.items())]
 
-    def _candidates(self, texts, best, seen, keys: _Keys, walks, at, of) -> None:
-        places: list[tuple[int, int, int]] = []
-        for r, steps in enumerate(keys.samples):
-            key = _key(walks, steps)
-            hits = np.flatnonzero(keys.filters[r][key >> np.uint64(64 - _FILTER_BITS)])
-            lo, hi = (np.searchsorted(keys.keys[r], key[hits], side) for side in ("left", "right"))
-            window = np.repeat(hits, hi - lo)
-            inside = np.arange(len(window)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-            other = keys.windows[r][np.repeat(lo, hi - lo) + inside]
-            near = np.concatenate(
-                [
-                    (walks[:, window[i : i + 4096]] == keys.walks[:, other[i : i + 4096]]).mean(0) >= NEAR
-                    for i in range(0, len(window), 4096)
-                ]
-                or [np.zeros(0, bool)]
-            )
-            window, other = window[near], other[near]
-            start = at[window] - keys.offset[other]
-            places += zip(of[window].tolist(), keys.item[other].tolist(), start.tolist(), strict=True)
-        self._verify(texts, best, seen, places)
-
     def _copies(self, texts, best, buffer, starts) -> None:
         """Exact copies of the items that are not short, at any place."""
         if not len(self.prefixes):
@@ -243,7 +236,7 @@ class _Index:
                 _, length = nearest_passage(wanted[::-1], text[:end][::-1], anchored=True)
                 best[row, item] = (end - length, end, edits)
 
-    def _verify(self, texts, best, seen, places: list[tuple[int, int, int]]) -> None:
+    def _verify(self, texts, best, seen, places: Iterable[tuple[int, int, int]]) -> None:
         """Look for items around places (row, item, byte), with room for that and for the edits."""
         regions: list[tuple[int, int, int, str]] = []
         for row, item, start in places:
@@ -437,18 +430,54 @@ def _walk(buffer: np.ndarray, at: np.ndarray, steps: int = STEPS) -> tuple[np.nd
     """Characters emitted at each step by the walks from ``at``, and where the walks end."""
     walks, at = np.empty((steps, len(at)), np.uint8), at.copy()
     for step in range(steps):
-        emitted = buffer[at]
+        emitted = buffer.take(at)
         walks[step] = emitted
-        at += _MOVES[step][emitted]
+        at += _MOVES[step].take(emitted)
     return walks, at
 
 
-def _key(walks: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    key = np.zeros(walks.shape[1], np.uint64)
-    for step in steps:
-        key *= np.uint64(0x9E3779B97F4A7C15)
-        key ^= walks[step]
-    return mixed(key)
+def _words(walks: np.ndarray) -> np.ndarray:
+    """Walks (columns) as words of eight steps each."""
+    words = np.zeros((len(walks) // 8, walks.shape[1]), np.uint64)
+    for step, emitted in enumerate(walks):
+        words[step // 8] |= emitted.astype(np.uint64) << np.uint64(8 * (step % 8))
+    return words
+
+
+def _masks(steps: np.ndarray) -> list[tuple[int, np.uint64]]:
+    """Words with sampled steps, and the bytes of these steps in them."""
+    taken: dict[int, int] = {}
+    for s in steps.tolist():
+        taken[s // 8] = taken.get(s // 8, 0) | 0xFF << (8 * (s % 8))
+    return [(word, np.uint64(mask)) for word, mask in taken.items()]
+
+
+def _key(words: np.ndarray, masks: list[tuple[int, np.uint64]]) -> np.ndarray:
+    """Hash of the sampled steps of each walk."""
+    key = np.zeros(words.shape[1], np.uint64)
+    for word, mask in masks:
+        part = words[word] & mask
+        part *= _FACTORS[word]
+        key += part
+    return key ^ (key >> np.uint64(31))
+
+
+def _near(
+    walks: np.ndarray, key: np.ndarray, filters: np.ndarray, known: np.ndarray, windows: np.ndarray, item_walks: np.ndarray
+) -> np.ndarray:
+    """Windows and item windows (two rows) that agree on a key and on NEAR of all steps."""
+    hits = np.flatnonzero(filters[(key >> np.uint64(64 - _FILTER_BITS)).view(np.int64)])
+    key = key[hits]
+    lo, hi = (np.searchsorted(known, key, side) for side in ("left", "right"))
+    window = np.repeat(hits, hi - lo)
+    inside = np.arange(len(window)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+    other = windows[np.repeat(lo, hi - lo) + inside]
+    near = [
+        (walks[:, window[i : i + 4096]] == item_walks[:, other[i : i + 4096]]).mean(0) >= NEAR
+        for i in range(0, len(window), 4096)
+    ]
+    near = np.concatenate(near) if near else np.zeros(0, bool)
+    return np.stack([window[near], other[near]])
 
 
 def _samples(items: list[str], steps: int, sampled: int, edit_share: float) -> np.ndarray | None:
