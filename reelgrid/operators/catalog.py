@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import compact
+from ..session import written_once
 from . import scale
 
 # Contract enums.
@@ -16,6 +23,8 @@ CLIP_STEPS = ["frames", "geo", "tech", "llm", "cut"]
 PREVIEW_LIMIT = 4
 DURATION_TOLERANCE = 0.05
 FPS_TOLERANCE = 0.01
+#: Variants of one content that are paired; more are swept, in stretches of so many tolerances of duration.
+PAIRED_VARIANTS, SWEPT_STEPS = 64, 200
 
 
 def is_settled(status: Column) -> Column:
@@ -216,14 +225,20 @@ def list_upload_matches(files: DataFrame, videos: DataFrame, projects: DataFrame
 def find_earlier_duplicate(videos: DataFrame) -> DataFrame:
     """Earliest video with equal content and matching metadata, strictly earlier by (created_at, id).
 
-    Works on distinct metadata variants: each keeps its earliest upload, compatible variants are
-    paired, and a video's answer is the earliest upload of its compatible variants.
+    Works on distinct metadata variants: each keeps its earliest upload, and a video's answer is the earliest
+    upload of its compatible variants. Few variants of one content are paired; of more than ``PAIRED_VARIANTS`` each
+    finds its answer in a sweep of its neighbourhood, see ``_sweep``.
     """
     exact = ["content_hash", "size_bytes", "width", "height", "codec", "creation_time"]
     loose = ["duration_sec", "fps"]
     hashed = videos.where(F.col("content_hash").isNotNull())
     variants = hashed.groupBy(*exact, *loose).agg(F.min(F.struct("created_at", "id")).alias("first"))
-    a, b = variants.alias("a"), variants.alias("b")
+    content = F.sha2(F.to_json(F.struct(*exact), {"ignoreNullFields": "false"}), 256)
+    variants = written_once(variants.withColumn("_content", content))
+    sizes = variants.groupBy("_content").agg(F.count(F.lit(1)).alias("_n"))
+    many = sizes.where(F.col("_n") > PAIRED_VARIANTS).select("_content")
+    few = variants.join(many, "_content", "left_anti")
+    a, b = few.alias("a"), few.alias("b")
 
     def near(name: str, tolerance: float) -> Column:
         x, y = F.col(f"a.{name}"), F.col(f"b.{name}")
@@ -236,6 +251,8 @@ def find_earlier_duplicate(videos: DataFrame) -> DataFrame:
         .groupBy(*[F.col(f"a.{c}") for c in exact + loose])
         .agg(F.min("b.first").alias("first"))
     )
+    swept = _sweep(variants.join(many, "_content", "left_semi"))
+    earliest = earliest.unionByName(swept.select(*exact, *loose, "first"))
     v, e = hashed.alias("v"), earliest.alias("e")
     back = [F.col(f"v.{c}").eqNullSafe(F.col(f"e.{c}")) for c in exact + loose]
     return (
@@ -245,6 +262,94 @@ def find_earlier_duplicate(videos: DataFrame) -> DataFrame:
     )
 
 
+def _sweep(variants: DataFrame) -> DataFrame:
+    """Variants with the earliest upload (``first``) of those of the same content within both tolerances.
+
+    Variants are cut into stretches of duration, each with the candidates just outside; a task takes a stretch in the
+    order of uploads, so that every variant is settled by the first candidate that reaches it.
+    """
+    width, cell = DURATION_TOLERANCE * SWEPT_STEPS, F.col("duration_sec") / (DURATION_TOLERANCE * SWEPT_STEPS)
+    reach = F.lit(DURATION_TOLERANCE * 1.001 / width)
+    home = F.floor(cell)
+    around = F.array_distinct(F.array_compact(F.array(home, F.floor(cell - reach), F.floor(cell + reach))))
+    placed = variants.withColumn("_home", home).withColumn("_cell", F.explode_outer(around))
+    laid = placed.repartition("_content", "_cell").sortWithinPartitions("_content", "_cell", "first")
+    at = [laid.columns.index(c) for c in ("_content", "_cell", "_home", "duration_sec", "fps", "first")]
+    return laid.mapInArrow(lambda b: _settled(b, at), laid.schema).select(*variants.columns)
+
+
+def _settled(batches, at: list[int]) -> Iterator[pa.RecordBatch]:
+    content, cell, home, duration, fps, first = at
+    waiting: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        own = pc.fill_null(pc.equal(table.column(cell), table.column(home)), True)
+        values = [np.asarray(pc.cast(table.column(c), pa.float64()).combine_chunks().fill_null(np.nan)) for c in (duration, fps)]
+        found = table.column(first).take(pa.array(earliest_within(*values, DURATION_TOLERANCE, FPS_TOLERANCE)))
+        yield from table.set_column(first, table.schema.field(first), found).filter(own).to_batches()
+
+    for batch in batches:
+        names = list(zip(batch.column(content).to_pylist(), batch.column(cell).to_pylist(), strict=True))
+        lo = 0
+        for k in range(1, len(names) + 1):
+            if k == len(names) or names[k] != names[lo]:
+                if waiting and (waiting[-1].column(content)[-1].as_py(), waiting[-1].column(cell)[-1].as_py()) != names[lo]:
+                    yield from flush()
+                    waiting.clear()
+                waiting.append(batch.slice(lo, k - lo))
+                lo = k
+    if waiting:
+        yield from flush()
+
+
+def earliest_within(d: np.ndarray, f: np.ndarray, d_tolerance: float, f_tolerance: float) -> np.ndarray:
+    """For each entry the first one (in the given order, itself at the latest) within both tolerances; NaN equals NaN.
+
+    Entries lie in cells of ``f`` and are sorted by ``d`` there. Each entry in turn settles what it reaches and is not
+    settled yet; settled entries are skipped for good, so that an entry is settled once and rarely looked at again.
+    """
+    n = len(d)
+    answer = np.full(n, -1, np.int64)
+    cells: dict[int | None, tuple[list[int], list[float], list[int]]] = {}
+    of = [None if np.isnan(x) else int(np.floor(x / f_tolerance)) for x in f]
+    for k in np.argsort(d, kind="stable").tolist():  # NaN last
+        ids, values, _ = cells.setdefault(of[k], ([], [], []))
+        ids.append(k)
+        values.append(d[k])
+    for ids, _, following in cells.values():
+        following.extend(range(len(ids) + 1))
+
+    def open_from(following: list[int], i: int) -> int:
+        root = i
+        while following[root] != root:
+            root = following[root]
+        while following[i] != root:
+            following[i], i = root, following[i]
+        return root
+
+    for k in range(n):
+        x, y, c = d[k], f[k], of[k]
+        for near in (None,) if c is None else (c - 2, c - 1, c, c + 1, c + 2):
+            if near not in cells:
+                continue
+            ids, values, following = cells[near]
+            if np.isnan(x):
+                i = open_from(following, bisect.bisect_left(values, True, key=np.isnan))
+            else:
+                i = open_from(following, bisect.bisect_left(values, x - 1.001 * d_tolerance))
+            while i < len(ids):
+                other = ids[i]
+                if not np.isnan(x) and not values[i] - x <= d_tolerance:  # NaN ends the search too
+                    break
+                same_f = c is None or abs(f[other] - y) <= f_tolerance
+                if same_f and (np.isnan(x) or abs(values[i] - x) <= d_tolerance):
+                    answer[other] = k
+                    following[i] = i + 1
+                i = open_from(following, i + 1)
+    return answer
+
+
 def duplicate_ref(videos: DataFrame, projects: DataFrame) -> DataFrame:
     """Resolve duplicate_of_id to the target's project and file name; null when it is gone."""
     target = videos.join(
@@ -271,8 +376,11 @@ def review_queue(videos: DataFrame) -> DataFrame:
     return videos.where(is_ready(F.col("status")) & ~F.col("reviewed"))
 
 
-def next_video(videos: DataFrame, bucket: Column) -> DataFrame:
-    """Where "next" leads from each video: the first other unreviewed one, else the next ready one."""
+def next_video(videos: DataFrame) -> DataFrame:
+    """Where "next" leads from each video: the first other unreviewed one, else the next ready one.
+
+    Neighbours are found in pieces of the sorted videos, so a project of any size is the work of many tasks.
+    """
     rank = F.row_number().over(W.partitionBy("project_id").orderBy("created_at", "id"))
     heads = (
         review_queue(videos)
@@ -285,9 +393,11 @@ def next_video(videos: DataFrame, bucket: Column) -> DataFrame:
             F.max(F.when(F.col("rank") == 2, F.col("id"))).alias("second_id"),
         )
     )
-    ready = scale.with_neighbours(
-        videos.where(is_ready(F.col("status"))), ["project_id"], ["created_at", "id"], bucket, ["id"]
-    ).select("id", F.col("next.id").alias("following"))
+    sorted_ready = scale.in_pieces(
+        videos.where(is_ready(F.col("status"))).select("project_id", "created_at", "id"), ["project_id"], ["created_at", "id"]
+    )
+    ready = scale.with_neighbours(sorted_ready, ["project_id"], ["_at"], F.col("_piece"), ["id"])
+    ready = ready.select("id", F.col("next.id").alias("following"))
     other = F.when(F.col("first_id") != F.col("id"), F.col("first_id")).otherwise(F.col("second_id"))
     return (
         videos.join(heads, "project_id", "left")

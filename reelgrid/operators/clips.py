@@ -82,16 +82,16 @@ def job_progress(clips: DataFrame) -> DataFrame:
     )
 
 
-def new_clips(manifest: DataFrame, clips: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
+def new_clips(manifest: DataFrame, clips: DataFrame, order: Sequence[str]) -> DataFrame:
     """Manifest segments not yet in the job, with ordinals continuing after the existing clips.
 
-    ``manifest`` has job_id and segment_id; ``order`` is the manifest order and ``bucket`` grows with it.
+    ``manifest`` has job_id and segment_id; ``order`` is the manifest order. A job of any size is ranked in pieces.
     """
     fresh = manifest.join(clips.select("job_id", "segment_id"), ["job_id", "segment_id"], "left_anti")
     existing = clips.select("job_id", "segment_id").distinct().groupBy("job_id").agg(
         F.count(F.lit(1)).alias("_existing")
     )
-    placed = scale.dense_rank_in_order(fresh, ["job_id"], order, bucket, "_pos")
+    placed = scale.ranks_in_pieces(fresh, ["job_id"], order, "_pos")
     return (
         placed.join(existing, "job_id", "left")
         .withColumn("ordinal", F.coalesce("_existing", F.lit(0)) + F.col("_pos"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections.abc import Iterator
@@ -87,12 +88,60 @@ def _suffixed(base: Column, k: Column, ext: str) -> Column:
     return F.concat(F.substring(base, F.lit(1), room), suffix, F.lit(f".{ext}"))
 
 
+class Taken:
+    """Names in use, as intervals of numbers per name without its number: a million repeats are one interval."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.numbers: dict[str, tuple[list[int], list[int]]] = {}  # per root: first and last numbers, 0 for none
+
+    def take(self, base: str) -> str:
+        """The name itself, or with the smallest number from 2 on that is free."""
+        root, number = self._split(base)
+        if self._free_from(root, number) == number:
+            self._add(root, number)
+            return base
+        k = 2
+        while True:
+            root = base[: self.room - len(str(k)) - 1]
+            free = self._free_from(root, k)
+            if len(str(free)) == len(str(k)):
+                self._add(root, free)
+                return f"{root}_{free}"
+            k = 10 ** len(str(k))  # a longer number leaves less of the name
+
+    @staticmethod
+    def _split(base: str) -> tuple[str, int]:
+        found = re.fullmatch(r"(.*)_([1-9][0-9]*)", base, re.DOTALL)
+        return (found[1], int(found[2])) if found else (base, 0)
+
+    def _free_from(self, root: str, k: int) -> int:
+        first, last = self.numbers.get(root, ((), ()))
+        i = bisect.bisect_right(first, k) - 1
+        return last[i] + 1 if i >= 0 and last[i] >= k else k
+
+    def _add(self, root: str, k: int) -> None:
+        first, last = self.numbers.setdefault(root, ([], []))
+        i = bisect.bisect_right(first, k)
+        before, after = i > 0 and last[i - 1] == k - 1, i < len(first) and first[i] == k + 1
+        if before and after:
+            last[i - 1] = last[i]
+            del first[i], last[i]
+        elif before:
+            last[i - 1] = k
+        elif after:
+            first[i] = k
+        else:
+            first.insert(i, k)
+            last.insert(i, k)
+
+
 def assign_filenames(clips: DataFrame, ext: str, bucket: int = 4096) -> DataFrame:
     """Unique names per job in ordinal order: repeats of a name get _2, _3 and so on.
 
     ``clips`` has job_id, clip_id, ordinal and first_name. Repeats are numbered per (job, name) in
     ordinal buckets. Only where a numbered name meets another name are the clips that share its stem
-    renamed one after the other.
+    renamed one after the other, with the numbers taken held as intervals.
     """
     base = F.substring("first_name", F.lit(1), F.length("first_name") - (len(ext) + 1))
     ranked = scale.dense_rank_in_order(
@@ -121,17 +170,9 @@ def assign_filenames(clips: DataFrame, ext: str, bucket: int = 4096) -> DataFram
     def rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for b in batches for r in b.itertuples(index=False))
         for _, group in itertools.groupby(rows, key=lambda r: (r.job_id, r.stem)):
-            used, following, out = set(), {}, []
+            taken, out = Taken(MAX_LENGTH - len(ext) - 1), []
             for r in group:
-                name, k = r.first_name, following.get(r.base, 2)
-                while name in used:
-                    suffix = f"_{k}"
-                    name = f"{r.base[: MAX_LENGTH - len(ext) - 1 - len(suffix)]}{suffix}.{ext}"
-                    k += 1
-                # Smaller numbers stay taken, so the next repeat starts where this one ended.
-                following[r.base] = k
-                used.add(name)
-                out.append((r.job_id, r.clip_id, r.ordinal, name))
+                out.append((r.job_id, r.clip_id, r.ordinal, f"{taken.take(r.base)}.{ext}"))
                 if len(out) >= 8192:
                     yield pd.DataFrame(out, columns=["job_id", "clip_id", "ordinal", "filename"])
                     out = []

@@ -301,8 +301,7 @@ def stale_steps(spark, sf):
 def new_clips(spark, sf):
     rows = C.build_manifest_rows(B.videos(spark, sf), B.segments(spark, sf)).withColumn("job_id", F.col("project_id"))
     existing = rows.where("motion_code < 4").select("job_id", "segment_id")
-    day = F.unix_seconds(F.date_trunc("day", "created_at").cast("timestamp"))
-    fresh = K.new_clips(rows, existing, ["created_at", "video_id", "start_sec", "segment_id"], day)
+    fresh = K.new_clips(rows, existing, ["created_at", "video_id", "start_sec", "segment_id"])
     return fresh.select("job_id", "segment_id", "ordinal")
 
 
@@ -323,8 +322,7 @@ def missing_hashes(spark, sf):
 
 
 def next_video(spark, sf):
-    month = F.unix_seconds(F.date_trunc("month", "created_at").cast("timestamp"))
-    return C.next_video(B.videos(spark, sf), month)
+    return C.next_video(B.videos(spark, sf))
 
 
 def review_queue(spark, sf):

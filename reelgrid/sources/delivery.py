@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,10 @@ from ..functions.text import slugify
 from ..operators import platforms as P
 from ..operators import scale
 from ..operators.clips import job_progress, step_hash
+from ..operators.naming import assign_filenames
+from ..session import written_once
 from . import units
-from .tables import replace_partitions
+from .ordered_files import write_ordered_files
 
 #: Segments per manifest page; a very long video continues on further pages.
 MANIFEST_PAGE = 1000
@@ -111,18 +114,27 @@ def platform_csv_lines(rows: DataFrame, platform: str, ctx: P.DeliveryContext) -
     return heads.unionByName(rows.select("job_id", F.col("ordinal").cast("bigint").alias("ordinal"), line(cells)))
 
 
-def write_platform_csv(rows: DataFrame, platform: str, ctx: P.DeliveryContext, path: str, export_date: date) -> None:
-    """RFC 4180 CSV of a platform per job, in clip order, below the platform's file name.
+def write_platform_csv(
+    rows: DataFrame, platform: str, ctx: P.DeliveryContext, path: str, export_date: date, emptied: Iterable[str] = ()
+) -> None:
+    """RFC 4180 CSV of a platform per job, in clip order: one file ``<job>/<platform's file name>``.
 
-    ``rows``: job_id, ordinal, row. Part files are numbered in order and only the first has the header, so
-    their concatenation is the file. Other jobs and other file names stay as they are.
+    ``rows``: job_id, ordinal, row. Other jobs and other file names stay as they are; a job of ``emptied`` without
+    rows loses its file. All files are put in place together once they are complete.
     """
-    lines = platform_csv_lines(rows, platform, ctx).withColumn(
-        "file_name", platform_file_name(platform, ctx.settings, export_date)
-    )
-    order = ["job_id", "file_name", "ordinal"]
-    laid = lines.repartitionByRange(*order).sortWithinPartitions(*order).drop("ordinal")
-    replace_partitions(laid, ["job_id", "file_name"]).text(path)
+    name = platform_file_name(platform, ctx.settings, export_date)
+    lines = platform_csv_lines(rows, platform, ctx).withColumn("file", F.concat_ws("/", _folder(F.col("job_id")), name))
+    write_ordered_files(lines, path, ["ordinal"], _files_of(rows.sparkSession, emptied, name))
+
+
+def _folder(job: Column) -> Column:
+    """A job's folder; characters that mean something in a path are encoded."""
+    return F.replace(F.url_encode(job.cast("string")), F.lit("+"), F.lit("%20"))
+
+
+def _files_of(spark: SparkSession, jobs: Iterable[str], name: Column) -> list[str]:
+    rows = spark.createDataFrame([(j,) for j in jobs], "job_id string")
+    return [r.file for r in rows.select(F.concat_ws("/", _folder(F.col("job_id")), name).alias("file")).collect()]
 
 
 def delivery_metadata(results: DataFrame) -> DataFrame:
@@ -155,6 +167,8 @@ def read_delivery_metadata(spark: SparkSession, path: str) -> DataFrame:
     return units.read(spark, path, "documents", "job_id string, value string")
 
 
+REPORT = "report.md"
+_REPORT_FACTS = ("place_confidence", "editorial_reason", "city", "country", "editorial_suggested")
 LEVEL_NAMES = {"ok": "OK", "warning": "Warning", "error": "Error"}
 
 
@@ -264,11 +278,10 @@ def report_lines(jobs: DataFrame, results: DataFrame, ctx: P.DeliveryContext) ->
     return out
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """Replace the reports of the jobs in ``lines``; other jobs stay."""
-    order = ["job_id", "section", "ord", "sub"]
-    laid = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    replace_partitions(laid.select("job_id", F.col("line").alias("value")), ["job_id"]).text(path)
+def write_report(lines: DataFrame, path: str, emptied: Iterable[str] = ()) -> None:
+    """One file ``<job>/report.md`` per job of ``lines``; other jobs stay, those of ``emptied`` without lines lose theirs."""
+    named = lines.withColumn("file", F.concat(_folder(F.col("job_id")), F.lit(f"/{REPORT}"))).withColumnRenamed("line", "value")
+    write_ordered_files(named, path, ["section", "ord", "sub"], _files_of(lines.sparkSession, emptied, F.lit(REPORT)))
 
 
 def delivery_hash(clips: DataFrame, ctx: P.DeliveryContext, inputs: list[str]) -> DataFrame:
@@ -298,13 +311,21 @@ def delivery_hash(clips: DataFrame, ctx: P.DeliveryContext, inputs: list[str]) -
     return per_job.select("job_id", step_hash(F.lit("archive.v2"), *sums, F.col("_n"), *fixed).alias("delivery_hash"))
 
 
-def build_delivery(clips: DataFrame, jobs: DataFrame, ctx: P.DeliveryContext) -> dict[str, DataFrame]:
-    """Plan the deliveries of all jobs.
+def build_delivery(clips: DataFrame, jobs: DataFrame, ctx: P.DeliveryContext, ext: str = "mov") -> dict[str, DataFrame]:
+    """Build the deliveries of all jobs: the gate, names, rows, documents and every line of every file.
 
     A job is built when every clip that is not excluded is done and its hash, which covers the project name if
-    ``jobs`` has it, differs from ``jobs.archive_hash``. Returns the jobs with their outcome, and for the jobs to build the clips
-    with their platform results and the metadata documents.
+    ``jobs`` has it, differs from ``jobs.archive_hash``. Clips with a ``first_name`` get their names by it, unique per
+    job in clip order. Returns ``jobs`` with their outcome and, for those to build, ``results`` (clips with platform
+    results), ``metadata`` (documents) and ``lines`` (``job_id``, ``file``, ``section``, ``ord``, ``sub``, ``value``) of
+    the enabled platforms' CSV files and, if ``jobs`` has what a report says (project_name, folder, built_at, excluded),
+    of the report. ``write_delivery`` stores them.
     """
+    if "first_name" in clips.columns:
+        todo = clips.where(~F.col("excluded"))
+        names = assign_filenames(todo.select("job_id", "clip_id", "ordinal", "first_name"), ext)
+        named = names.select("job_id", "clip_id", F.col("filename").alias("_filename"))
+        clips = clips.drop("filename").join(named, ["job_id", "clip_id"], "left").withColumnRenamed("_filename", "filename")
     gate = job_progress(clips).select("job_id", "can_build")
     done = clips.where(~F.col("excluded") & (F.col("status") == "done"))
     view = P.csv_clip_view(done)
@@ -325,5 +346,34 @@ def build_delivery(clips: DataFrame, jobs: DataFrame, ctx: P.DeliveryContext) ->
     )
     wanted = plan.where("outcome = 'built'").select("job_id")
     todo = view.join(wanted, "job_id", "left_semi")
-    results = P.platform_results(todo, ctx)
-    return {"jobs": plan, "results": results, "metadata": delivery_metadata(results)}
+    results = written_once(P.platform_results(todo, ctx))
+    return {
+        "jobs": plan, "results": results, "metadata": delivery_metadata(results),
+        "lines": _delivery_lines(plan.where("outcome = 'built'"), results, ctx),
+    }
+
+
+def _delivery_lines(jobs: DataFrame, results: DataFrame, ctx: P.DeliveryContext) -> DataFrame:
+    """Lines of all files of the jobs: one CSV per enabled platform, and the report."""
+    out = None
+    for platform in (p for p in P.REGISTRY if p in ctx.settings.enabled_platforms):
+        rows = results.select("job_id", "ordinal", F.inline("results")).where(F.col("platform") == platform)
+        part = platform_csv_lines(rows, platform, ctx).select(
+            "job_id", platform_file_name(platform, ctx.settings, ctx.export_date).alias("file"), F.lit(0).alias("section"),
+            F.col("ordinal").alias("ord"), F.lit(0).alias("sub"), "value",
+        )
+        out = part if out is None else out.unionByName(part)
+    if {"project_name", "folder", "built_at", "excluded"} <= set(jobs.columns):
+        facts = {c: F.lit(None).cast("string") for c in _REPORT_FACTS if c not in results.columns}
+        report = report_lines(jobs, results.withColumns(facts), ctx)
+        report = report.select("job_id", F.lit(REPORT).alias("file"), "section", "ord", "sub", F.col("line").alias("value"))
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+def write_delivery(delivery: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """Store a built delivery: files ``<job>/<name>`` all at once, then the documents; bytes of every file."""
+    lines = delivery["lines"].withColumn("file", F.concat_ws("/", _folder(F.col("job_id")), "file"))
+    sizes = write_ordered_files(lines, f"{path.rstrip('/')}/files", ["section", "ord", "sub"])
+    write_delivery_metadata(delivery["metadata"], f"{path.rstrip('/')}/documents")
+    return sizes

@@ -3,32 +3,79 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written_once
+
 # Fixed value: bytes hashed from each end of a file.
 CHUNK = 8 * 1024 * 1024
 READ_BLOCK = 4 * 1024 * 1024
 
 
 def read_file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), bytes and file_key of every file below ``root``; contents are not read.
+    """path (relative), bytes and file_key of every file below ``root``, empty ones too; contents are not read.
 
-    Spark's file source leaves out empty files, which add no bytes.
+    Workers list the directories, level by level; the driver sees none of them. ``file_key`` is device and inode of a
+    local file, so a file with two names is one, and the path elsewhere. Links to directories are not followed.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    )
-    base = root.rstrip("/").split("://")[-1].split(":", 1)[-1].strip("/")
-    at = F.instr("path", F.lit(f"/{base}/")) + F.lit(len(base) + 2)
-    return files.select(
-        F.substring("path", at, F.length("path")).alias("path"), F.col("length").alias("bytes"), F.col("path").alias("file_key")
-    )
+    frontier = spark.createDataFrame([("",)], "path string")
+    found = None
+    while frontier is not None:
+        cores = spark.sparkContext.defaultParallelism
+        listed = written_once(frontier.repartition(cores, "path").mapInArrow(lambda b: _listed(b, root), _LISTED))
+        files = listed.where("NOT directory").select("path", "bytes", "file_key")
+        found = files if found is None else found.unionByName(files)
+        below = listed.where("directory").select("path")
+        frontier = None if below.isEmpty() else below
+    return found
+
+
+_LISTED = "path string, directory boolean, bytes bigint, file_key string"
+
+
+def _listed(batches, root: str) -> Iterator[pa.RecordBatch]:
+    """Entries of each directory (paths relative to the root)."""
+    system, base = located(root.rstrip("/"))
+    for batch in batches:
+        rows = []
+        for directory in batch.column(0).to_pylist():
+            inside = f"{directory}/" if directory else ""
+            if isinstance(system, fs.LocalFileSystem):
+                with os.scandir(f"{base}/{directory}") as entries:
+                    for e in entries:
+                        is_dir = e.is_dir(follow_symlinks=False)
+                        if is_dir or e.is_file():
+                            stat = e.stat()
+                            rows.append((inside + e.name, is_dir, stat.st_size, f"{stat.st_dev}:{stat.st_ino}"))
+            else:
+                for info in system.get_file_info(fs.FileSelector(f"{base}/{directory}".rstrip("/"))):
+                    rows.append((inside + info.base_name, info.type == fs.FileType.Directory, info.size or 0, info.path))
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["path", "directory", "bytes", "file_key"]
+        )
+
+
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and plain place of a path as Spark names it."""
+    uri = re.sub("^s3[an]:", "s3:", path)
+    uri = re.sub("^file:/+", "/", uri)
+    if uri.startswith("/"):
+        return fs.LocalFileSystem(), uri
+    # Listed names are plain, not encoded: only the part before the key is parsed as a URI.
+    scheme, rest = uri.split("://", 1)
+    bucket, _, name = rest.partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{bucket}")
+    return system, f"{base.rstrip('/')}/{name}"
 
 
 def fingerprint(content: Column) -> Column:
@@ -58,15 +105,8 @@ def fingerprint_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _opened(path: str):
     """Input stream of a path as Spark lists it."""
-    uri = re.sub("^s3[an]:", "s3:", path)
-    uri = re.sub("^file:/+", "/", uri)
-    if uri.startswith("/"):
-        return fs.LocalFileSystem().open_input_stream(uri)
-    # Listed names are plain, not encoded: only the part before the key is parsed as a URI.
-    scheme, rest = uri.split("://", 1)
-    bucket, _, name = rest.partition("/")
-    system, base = fs.FileSystem.from_uri(f"{scheme}://{bucket}")
-    return system.open_input_stream(f"{base.rstrip('/')}/{name}")
+    system, place = located(path)
+    return system.open_input_stream(place)
 
 
 def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

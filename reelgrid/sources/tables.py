@@ -73,11 +73,6 @@ def _below(catalog: dict[str, DataFrame], project_ids: DataFrame) -> dict[str, D
     }
 
 
-def replace_partitions(df: DataFrame, keys: list[str]):
-    """Writer that replaces the partitions with rows in ``df`` and leaves all others as they are."""
-    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
-
-
 def read_frame_features(spark: SparkSession, path: str) -> DataFrame:
     """One row per frame pair from per-video documents (<video id>/features.json).
 

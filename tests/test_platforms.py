@@ -1,4 +1,3 @@
-import glob
 import json
 import os
 from datetime import date
@@ -96,8 +95,10 @@ def test_written_csv_matches_byte_for_byte(spark, results, tmp_path):
             SD.write_platform_csv(rows.withColumn("job_id", F.lit(job)), platform, CTX, str(tmp_path / platform), CTX.export_date)
         name = "adobe_stock_jane_doe_2024_08_02.csv" if platform == "adobe" else f"{platform}.csv"
         for job in ("j", "other"):
-            parts = sorted(glob.glob(f"{tmp_path}/{platform}/job_id={job}/file_name={name}/*.txt"))
-            assert "".join(open(p, encoding="utf-8").read() for p in parts) == expected
+            assert (tmp_path / platform / job / name).read_bytes().decode() == expected
+        SD.write_platform_csv(rows.limit(0), platform, CTX, str(tmp_path / platform), CTX.export_date, emptied=["other"])
+        assert [p.name for p in (tmp_path / platform / "other").iterdir() if not p.name.startswith(".")] == []
+        assert (tmp_path / platform / "j" / name).exists()
 
 
 def test_other_rows_and_issues(results):
@@ -119,7 +120,7 @@ def test_report_and_documents(spark, results, tmp_path):
     jobs = spark.createDataFrame([("j", "North coast", "export_north", "2024-08-02T10:30:00.000Z", 1)], "job_id string, project_name string, folder string, built_at string, excluded int")
     rows = results.withColumns({"place_confidence": F.lit("low"), "editorial_reason": F.lit(None).cast("string")})
     SD.write_report(SD.report_lines(jobs, rows, CTX).coalesce(1), str(tmp_path / "report"))
-    text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{tmp_path}/report/job_id=j/*.txt")))
+    text = (tmp_path / "report" / "j" / "report.md").read_text(encoding="utf-8")
     assert text.startswith("# Export report: North coast\n\n- Folder: `export_north`\n")
     assert "- Clips: 4 (excluded by the user: 1)\n" in text
     assert "| Adobe Stock | 2 | 1 | 1 | no (checked 2026-10-07) |" in text
@@ -149,6 +150,34 @@ def test_delivery_is_reused_until_something_changes(spark):
     assert SD.build_delivery(waiting, known, CTX)["jobs"].first().outcome == "blocked"
 
 
+def test_delivery_as_one_product(spark, tmp_path):
+    """Gate, names, four files, report and documents of one build, stored together."""
+    clips = spark.createDataFrame([PLAIN, NEWS, BIG, TRICKY], SCHEMA).withColumns(
+        {"status": F.lit("done"), "excluded": F.lit(False), "progress": F.lit(0.0), "first_name": F.lit("coast_001.mov")}
+    )
+    jobs = spark.createDataFrame(
+        [("j", None, "North coast", "export_north", "2024-08-02T10:30:00.000Z", 0)],
+        "job_id string, archive_hash string, project_name string, folder string, built_at string, excluded int",
+    )
+    delivery = SD.build_delivery(clips, jobs, CTX)
+    order = [r.filename for r in delivery["results"].orderBy("ordinal").select("filename").collect()]
+    assert order == ["coast_001.mov", "coast_001_2.mov", "coast_001_3.mov", "coast_001_4.mov"]
+    sizes = SD.write_delivery(delivery, str(tmp_path / "out"))
+    names = {"adobe_stock_jane_doe_2024_08_02.csv", "shutterstock.csv", "pond5.csv", "envato.csv", "report.md"}
+    assert {n.split("/")[1] for n in sizes} == names and all(n.startswith("j/") for n in sizes)
+    for platform in ("adobe", "shutterstock", "pond5", "envato"):
+        name = next(n for n in names if n.startswith(platform))
+        text = (tmp_path / "out" / "files" / "j" / name).read_text(encoding="utf-8")
+        assert len(text) <= sizes[f"j/{name}"] and [text.index(n) for n in order] == sorted(text.index(n) for n in order)
+    report = (tmp_path / "out" / "files" / "j" / "report.md").read_text(encoding="utf-8")
+    assert report.startswith("# Export report: North coast") and "### coast_001_3.mov" in report
+    documents = [json.loads(r.value) for r in SD.read_delivery_metadata(spark, str(tmp_path / "out" / "documents")).collect()]
+    assert sorted(d["filename"] for d in documents) == order
+    done = delivery["jobs"].first()
+    again = SD.build_delivery(clips, jobs.withColumn("archive_hash", F.lit(done.delivery_hash)), CTX)
+    assert done.outcome == "built" and again["jobs"].first().outcome == "reused" and again["lines"].count() == 0
+
+
 def test_rules_fail_by_name(tmp_path):
     for name, doc in DEFAULTS.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(doc))

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import json
+import os
 import struct
 
 import pytest
@@ -99,9 +100,9 @@ def test_second_writes_keep_other_units(spark, tmp_path):
     for job, values in (("j1", "ab"), ("j2", "c"), ("j1", "xyz")):
         SD.write_delivery_metadata(documents(job, *values), str(tmp_path / "documents"))
         SD.write_report(lines(job, *values), str(tmp_path / "report"))
-    for stored in (SD.read_delivery_metadata(spark, str(tmp_path / "documents")), spark.read.text(str(tmp_path / "report"))):
-        found = stored.select("job_id", "value").collect()
-        assert {tuple(r) for r in found} == {("j1", "x"), ("j1", "y"), ("j1", "z"), ("j2", "c")}
+    found = SD.read_delivery_metadata(spark, str(tmp_path / "documents")).collect()
+    assert {tuple(r) for r in found} == {("j1", "x"), ("j1", "y"), ("j1", "z"), ("j2", "c")}
+    assert [(tmp_path / "report" / j / "report.md").read_text() for j in ("j1", "j2")] == ["x\ny\nz\n", "c\n"]
     video = lambda project, n: spark.createDataFrame([(f"v{k}", project) for k in range(n)], "id string, project_id string")
     for project, n in (("p1", 3), ("p2", 2), ("p1", 1)):
         ST.write_catalog({"videos": video(project, n)}, str(tmp_path / "catalog"))
@@ -142,7 +143,16 @@ def test_inventory_keeps_names(spark, tmp_path):
     for name, size in names.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x" * size)
-    assert {r.path: r.bytes for r in SF.read_file_inventory(spark, str(tmp_path)).collect()} == names
+    (tmp_path / "sp ace" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "sp ace" / "deep" / "er" / "empty").touch()
+    os.link(tmp_path / "a+b.mp4", tmp_path / "sp ace" / "second name.mp4")
+    listed = {r.path: r for r in SF.read_file_inventory(spark, str(tmp_path)).collect()}
+    more = {"sp ace/deep/er/empty": 0, "sp ace/second name.mp4": 3}
+    assert {p: r.bytes for p, r in listed.items()} == names | more
+    assert listed["a+b.mp4"].file_key == listed["sp ace/second name.mp4"].file_key
+    assert len({r.file_key for r in listed.values()}) == 4
+    assert SF.read_file_inventory(spark, str(tmp_path / "sp ace" / "deep")).first().path == "er/empty"
+    os.remove(tmp_path / "sp ace" / "second name.mp4")
     assert {r.size_bytes for r in SF.fingerprint_files(spark, str(tmp_path)).collect()} == {3, 4, 5}
 
 
