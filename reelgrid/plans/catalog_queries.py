@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import motion as M
 from ..operators import catalog as C
 from ..operators import clips as K
@@ -11,6 +12,8 @@ from ..operators import intervals as I
 from ..operators import motion as OM
 from ..operators import segments as OS
 from ..operators import storage as S
+from ..session import shared_path
+from ..sources import tables as ST
 from . import bindings as B
 from .bindings import duck, duck_six, six
 from .motion_queries import _SMOOTHED
@@ -366,6 +369,34 @@ def cascade_delete(spark, sf):
     )
 
 
+def _as_stored(df, name):
+    """A derived table with the stored columns and types."""
+    fields = df.sparkSession.createDataFrame([], schemas.CATALOG[name]).schema
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def stored_catalog(spark, sf):
+    """The catalog stored, confirmed projects deleted from the store, and what is left read back."""
+    videos = B.videos(spark, sf).withColumn("duplicate_of_id", F.when(F.col("id") % 7 == 0, F.col("id") - 1))
+    tables = {"projects": B.projects(spark, sf), "videos": videos, "segments": B.segments(spark, sf)}
+    path = shared_path(spark, "catalog")
+    ST.write_catalog({n: _as_stored(df, n) for n, df in tables.items()}, path)
+    confirmed = tables["projects"].where("status = 'confirmed'").select(F.col("id").cast("string").alias("project_id"))
+    ST.delete_projects(spark, path, confirmed)
+    left = ST.read_catalog(spark, path, ["projects", "videos", "segments"])
+    kind = lambda name, text, link: left[name].select(F.lit(text).alias("kind"), "id", link.cast("bigint").alias("link"))
+    return (
+        kind("videos", "video", F.col("duplicate_of_id"))
+        .unionByName(kind("projects", "project", F.lit(None)))
+        .unionByName(kind("segments", "segment", F.lit(None)))
+    )
+
+
+def largest_projects(spark, sf):
+    """The ten projects that take the most room."""
+    return S.largest_projects(S.storage_usage(_files(spark, sf))).select("project_id", "total_bytes").limit(10)
+
+
 def project_transitions(spark, sf):
     projects = B.projects(spark, sf)
     summary = C.project_summary(projects, B.videos(spark, sf), B.segments(spark, sf), _issues(spark, sf))
@@ -394,7 +425,7 @@ QUERIES = {
         earlier_duplicate, duplicate_ref, storage_usage, cleanup_plan, freed_files, file_owners, distinct_files,
         job_progress, work_list, clip_labels, state_transitions, stale_steps, new_clips, videos_of_export,
         missing_hashes, next_video, review_queue, selection_totals, processing_total, reanalysis_counts,
-        upsert_latest, cascade_delete, project_transitions, listing_order,
+        upsert_latest, cascade_delete, stored_catalog, largest_projects, project_transitions, listing_order,
     )
 }
 
@@ -626,6 +657,9 @@ kept AS (SELECT id, CASE WHEN id % 7 = 0 THEN id - 1 END AS link FROM videos WHE
 SELECT 'video' AS kind, CAST(id AS VARCHAR) AS id, CASE WHEN link NOT IN (SELECT id FROM gv) THEN link END AS link FROM kept
 UNION ALL SELECT 'project', CAST(id AS VARCHAR), NULL FROM projects WHERE status <> 'confirmed'
 UNION ALL SELECT 'segment', id, NULL FROM segments WHERE video_id NOT IN (SELECT id FROM gv)""",
+    "largest_projects": f"""WITH {duck("file_inventory")}
+SELECT project_id, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM file_inventory WHERE project_id IS NOT NULL
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
     "project_transitions": f"""WITH {_SUMMARY},
 a AS (SELECT *, CASE project_id % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reopen' ELSE 'edit' END AS action FROM summary),
 e AS (SELECT *, CASE WHEN action = 'confirm' AND status = 'confirmed' THEN 'The project is confirmed and read-only'
@@ -637,3 +671,4 @@ SELECT project_id, action, CASE WHEN error IS NULL AND action = 'confirm' THEN '
     "listing_order": f"""WITH {duck("projects")}
 SELECT id, row_number() OVER (ORDER BY created_on DESC, id) - 1 AS position FROM projects""",
 }
+ORACLES["stored_catalog"] = ORACLES["cascade_delete"]

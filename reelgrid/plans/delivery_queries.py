@@ -12,11 +12,12 @@ from ..sources import delivery as SD
 from ..sources import files as SF
 from ..sources import media as SM
 from ..sources import tables as ST
-from ..session import written_once
+from ..session import shared_path, written_once
 from ..streaming import events as SE
 from . import bindings as B
 from . import motion_queries as MQ
 from .bindings import SETTINGS, duck, duck_six, six
+from .text_queries import _ALL_ROWS as ALL_ROWS
 from .text_queries import CONTEXT, RULES
 
 
@@ -213,6 +214,29 @@ def build_delivery(spark, sf):
     return again.select("job_id", "outcome")
 
 
+def delivery_files(spark, sf):
+    """Every CSV file of the built jobs, read back from its place: job, platform and the row as written."""
+    clips = B.delivery_clips(spark, sf).withColumns(
+        {"status": F.lit("done"), "excluded": F.lit(False), "progress": F.lit(0.0), "ordinal": F.col("clip_id").cast("int")}
+    )
+    jobs = _jobs(spark, sf).select("job_id", F.lit(None).cast("string").alias("archive_hash"))
+    path = shared_path(spark, "delivery")
+    SD.write_delivery(SD.build_delivery(clips, jobs, CONTEXT), CONTEXT, path)
+    out = None
+    for platform in P.REGISTRY:
+        name = "adobe_stock_jane_doe_2024_08_02.csv" if platform == "adobe" else f"{platform}.csv"
+        names = [f"c{k}" for k in range(len(CONTEXT.rules[platform]["header"]))]
+        rows = spark.read.csv(
+            f"{path}/files/*/{name}", ", ".join(f"{n} string" for n in names), header=True, escape='"', enforceSchema=True
+        )
+        rows = rows.select(
+            F.element_at(F.split(F.input_file_name(), "/"), -2).alias("job_id"), F.lit(platform).alias("platform"),
+            F.concat_ws("|", *(F.coalesce(n, F.lit("")) for n in names)).alias("row"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _event_documents(spark, sf):
     """Change events as JSON; every eighth is malformed or unknown."""
     e = B.change_events(spark, sf)
@@ -312,7 +336,7 @@ QUERIES = {
     for f in (
         stored_features, metric_pages, fingerprints, probe_facts, telemetry_packets, place_responses,
         landmark_responses, settings_documents, settings_violations, manifest_documents, prompts, report_lines,
-        delivery_documents, build_delivery, parsed_events, latest_state, event_rate, event_rate_sliding,
+        delivery_documents, build_delivery, delivery_files, parsed_events, latest_state, event_rate, event_rate_sliding,
         event_sessions, live_job_progress, feed_state, live_jobs,
     )
 }
@@ -388,6 +412,8 @@ SELECT clip_id, 'Clip context:' || chr(10) || concat_ws(chr(10),
   || chr(10) || 'Write the metadata for this clip.' AS user_text FROM p""",
     "delivery_documents": f"""WITH {duck("delivery")} SELECT clip_id, filename, editorial, CAST(len(keywords) AS INT) AS keywords, CAST(4 AS INT) AS platforms FROM delivery""",
     "build_delivery": """SELECT DISTINCT source AS job_id, CASE WHEN source = 'src3' AND (SELECT count(*) FROM documents WHERE source = 'src3' AND doc_id % 2 = 1) > 0 THEN 'blocked' WHEN length(source) = 4 THEN 'reused' ELSE 'built' END AS outcome FROM documents""",
+    "delivery_files": f"WITH {ALL_ROWS} "
+    + " UNION ALL ".join(f"SELECT job_id, '{p}' AS platform, row FROM {t}" for p, t in (("adobe", "adobe"), ("shutterstock", "shutter"), ("pond5", "pond"), ("envato", "env"))),
     "parsed_events": f"""WITH {_EVENTS}
 SELECT event_id, kind AS type, CASE WHEN kind <> 'rejected' THEN CAST(entity_id AS VARCHAR) END AS entity_id, CASE WHEN kind <> 'rejected' THEN status END AS status,
   CASE WHEN kind <> 'rejected' THEN {duck_six("p")} END AS progress FROM ev""",

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import motion as OM
 from ..operators import segments as OS
+from ..session import shared_path
+from ..streaming import events as SE
 from ..functions import motion as M
 from ..operators.flow import exposure_stats, flow_stats
 from . import bindings as B
@@ -77,6 +79,26 @@ def video_segments(spark, sf):
     return _show(OS.segment_video_features(B.frame_features(spark, sf), SETTINGS, layout))
 
 
+def analysed_stream(spark, sf):
+    """The same segments by the stream: samples arrive as files, videos are analysed per micro-batch and stored."""
+    path = shared_path(spark, "arrivals")
+    names = [f.name for f in B.frame_features(spark, sf).schema if f.name not in ("event_id", "k")]
+    arrived = B.frame_features(spark, sf).select(*names)
+    arrived.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(arrived.schema).parquet(f"{path}/in")
+    query = SE.incremental_analysis(
+        stream, lambda df: OS.segment_video_features(df, SETTINGS), f"{path}/out", f"{path}/checkpoint"
+    )
+    query.trigger(availableNow=True).start().awaitTermination()
+    return _show(SE.analysed_segments(spark, f"{path}/out"))
+
+
+def motion_names(spark, sf):
+    """Samples per class, with the names of the class in every vocabulary."""
+    labels = B.frame_features(spark, sf).select(M.classify_motion(SETTINGS.strictness).alias("motion"))
+    return M.motion_dim(spark).join(labels.groupBy("motion").agg(F.count(F.lit(1)).alias("samples")), "motion")
+
+
 def merged_runs(spark, sf):
     signals, _ = _signals(spark, sf)
     return OS.merge_runs(OM.motion_runs(signals), 6).select("video_id", "run_start", "run_end", "label")
@@ -109,6 +131,8 @@ QUERIES = {
     "speed_jumps": speed_jumps,
     "motion_runs_trimmed": motion_runs_trimmed,
     "merged_runs": merged_runs,
+    "analysed_stream": analysed_stream,
+    "motion_names": motion_names,
     "video_segments": video_segments,
     "motion_series": motion_series,
     "flow_stats": flow_summary,
@@ -321,6 +345,11 @@ SELECT video_id, {duck_six("seg_start")} AS start_sec, {duck_six("seg_end")} AS
     CASE WHEN sharp < 6e-1 THEN 'Softer than usual (possible blur)' END,
     CASE WHEN light < 7e-1 THEN CASE WHEN worst > 6e-2 THEN 'Overexposure at ' || worst_mark ELSE 'Imperfect exposure' END END],
     lambda r: r IS NOT NULL), '; ') AS reasons FROM mmss""",
+    "motion_names": f"""WITH {_CLASSIFIED},
+names AS (SELECT * FROM (VALUES {", ".join(str((k, m, M.MOTION_LABELS[m], M.REASON_PHRASES[m], M.PROMPT_PHRASES[m], M.MOTION_SLUGS[m], M.MOVEMENT_TERMS.get(m, ""))) for k, m in enumerate(M.MOTION_TYPES))})
+  v(ord, motion, label, reason, prompt, slug, movement))
+SELECT motion, ord, label, reason, prompt, slug, nullif(movement, '') AS movement, count(*) AS samples
+FROM names JOIN c ON raw_label = motion GROUP BY ALL""",
     "motion_series": f"""WITH {_SMOOTHED}
 SELECT video_id, i, floor((t + 1e-1) * 1000 + 5e-1) / 1000 AS t,
   floor(least(1e0, greatest(0e0, speed / 1e-1)) * 1000 + 5e-1) / 1000 AS speed,
@@ -331,3 +360,4 @@ l AS (SELECT pair_id, CAST(floor(least(255e0, abs(u) * 1500)) AS INT) AS luma FR
 SELECT pair_id, {duck_six("avg(luma)")} AS brightness,
   {duck_six("count(*) FILTER (WHERE luma >= 250) / count(*)")} AS overexposed FROM l GROUP BY 1""",
 }
+ORACLES["analysed_stream"] = ORACLES["video_segments"]

@@ -312,14 +312,12 @@ def delivery_hash(clips: DataFrame, ctx: P.DeliveryContext, inputs: list[str]) -
 
 
 def build_delivery(clips: DataFrame, jobs: DataFrame, ctx: P.DeliveryContext, ext: str = "mov") -> dict[str, DataFrame]:
-    """Build the deliveries of all jobs: the gate, names, rows, documents and every line of every file.
+    """Build the deliveries of all jobs: the gate, names, rows and documents.
 
     A job is built when every clip that is not excluded is done and its hash, which covers the project name if
     ``jobs`` has it, differs from ``jobs.archive_hash``. Clips with a ``first_name`` get their names by it, unique per
     job in clip order. Returns ``jobs`` with their outcome and, for those to build, ``results`` (clips with platform
-    results), ``metadata`` (documents) and ``lines`` (``job_id``, ``file``, ``section``, ``ord``, ``sub``, ``value``) of
-    the enabled platforms' CSV files and, if ``jobs`` has what a report says (project_name, folder, built_at, excluded),
-    of the report. ``write_delivery`` stores them.
+    results) and ``metadata`` (documents); ``delivery_lines`` has the lines of all files, ``write_delivery`` stores them.
     """
     if "first_name" in clips.columns:
         todo = clips.where(~F.col("excluded"))
@@ -346,16 +344,17 @@ def build_delivery(clips: DataFrame, jobs: DataFrame, ctx: P.DeliveryContext, ex
     )
     wanted = plan.where("outcome = 'built'").select("job_id")
     todo = view.join(wanted, "job_id", "left_semi")
-    results = written_once(P.platform_results(todo, ctx))
-    return {
-        "jobs": plan, "results": results, "metadata": delivery_metadata(results),
-        "lines": _delivery_lines(plan.where("outcome = 'built'"), results, ctx),
-    }
+    results = P.platform_results(todo, ctx)
+    return {"jobs": plan, "results": results, "metadata": delivery_metadata(results)}
+
 
+def delivery_lines(delivery: dict[str, DataFrame], ctx: P.DeliveryContext) -> DataFrame:
+    """Lines of all files of a delivery: ``job_id``, ``file``, ``section``, ``ord``, ``sub``, ``value``.
 
-def _delivery_lines(jobs: DataFrame, results: DataFrame, ctx: P.DeliveryContext) -> DataFrame:
-    """Lines of all files of the jobs: one CSV per enabled platform, and the report."""
-    out = None
+    One CSV per enabled platform and, if the jobs have what a report says (project_name, folder, built_at, excluded),
+    the report. The results are read once per file, so pass a delivery whose results are a written table.
+    """
+    jobs, results, out = delivery["jobs"].where("outcome = 'built'"), delivery["results"], None
     for platform in (p for p in P.REGISTRY if p in ctx.settings.enabled_platforms):
         rows = results.select("job_id", "ordinal", F.inline("results")).where(F.col("platform") == platform)
         part = platform_csv_lines(rows, platform, ctx).select(
@@ -371,9 +370,11 @@ def _delivery_lines(jobs: DataFrame, results: DataFrame, ctx: P.DeliveryContext)
     return out
 
 
-def write_delivery(delivery: dict[str, DataFrame], path: str) -> dict[str, int]:
+def write_delivery(delivery: dict[str, DataFrame], ctx: P.DeliveryContext, path: str) -> dict[str, int]:
     """Store a built delivery: files ``<job>/<name>`` all at once, then the documents; bytes of every file."""
-    lines = delivery["lines"].withColumn("file", F.concat_ws("/", _folder(F.col("job_id")), "file"))
+    results = written_once(delivery["results"])
+    lines = delivery_lines(delivery | {"results": results}, ctx)
+    lines = lines.withColumn("file", F.concat_ws("/", _folder(F.col("job_id")), "file"))
     sizes = write_ordered_files(lines, f"{path.rstrip('/')}/files", ["section", "ord", "sub"])
-    write_delivery_metadata(delivery["metadata"], f"{path.rstrip('/')}/documents")
+    write_delivery_metadata(delivery_metadata(results), f"{path.rstrip('/')}/documents")
     return sizes

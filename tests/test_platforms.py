@@ -162,7 +162,7 @@ def test_delivery_as_one_product(spark, tmp_path):
     delivery = SD.build_delivery(clips, jobs, CTX)
     order = [r.filename for r in delivery["results"].orderBy("ordinal").select("filename").collect()]
     assert order == ["coast_001.mov", "coast_001_2.mov", "coast_001_3.mov", "coast_001_4.mov"]
-    sizes = SD.write_delivery(delivery, str(tmp_path / "out"))
+    sizes = SD.write_delivery(delivery, CTX, str(tmp_path / "out"))
     names = {"adobe_stock_jane_doe_2024_08_02.csv", "shutterstock.csv", "pond5.csv", "envato.csv", "report.md"}
     assert {n.split("/")[1] for n in sizes} == names and all(n.startswith("j/") for n in sizes)
     for platform in ("adobe", "shutterstock", "pond5", "envato"):
@@ -175,7 +175,7 @@ def test_delivery_as_one_product(spark, tmp_path):
     assert sorted(d["filename"] for d in documents) == order
     done = delivery["jobs"].first()
     again = SD.build_delivery(clips, jobs.withColumn("archive_hash", F.lit(done.delivery_hash)), CTX)
-    assert done.outcome == "built" and again["jobs"].first().outcome == "reused" and again["lines"].count() == 0
+    assert done.outcome == "built" and again["jobs"].first().outcome == "reused" and again["results"].count() == 0
 
 
 def test_rules_fail_by_name(tmp_path):
