@@ -28,9 +28,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8), the one with the smallest id."""
-    gone = near_duplicates.near_duplicates(docs, "doc_id", "text").where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies (five-word shingles, 0.8), the one with the smallest id.
+
+    Ids may repeat or be null (null comes last): rows are told apart by a hash of id and text, and rows that share
+    both are one document. Texts without words are no copies of each other.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = near_duplicates.near_duplicates(rows, "_row", "text").where("n_shingles > 0")
+    found = written_once(found.groupBy("_row", "component_id").agg(F.count("*").alias("copies")))
+    ids = rows.select("_row", "doc_id").distinct()
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    keepers = found.join(ids, "_row").groupBy("component_id").agg(F.min_by("_row", first).alias("_row"))
+    gone = found.select("_row").join(keepers, "_row", "left_anti")
+    again = found.where("copies > 1").select("_row")
+    left = rows.join(gone, "_row", "left_anti")
+    once = left.join(again, "_row", "left_anti")
+    return once.unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"])).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

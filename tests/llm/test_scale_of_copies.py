@@ -83,3 +83,35 @@ def test_repeated_pieces_are_dealt_out(spark, monkeypatch, ranked):
     for places in used.values():
         places.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and places[0][0] == 0
+
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, more string"
+
+
+def odd_documents(spark):
+    """Null and repeated ids, null and empty texts, copies, and a further column."""
+    words = [f"word{i}" for i in range(80)]
+    text, other = " ".join(words), " ".join(reversed(words))
+    near = " ".join([*words[:40], "changed", *words[41:]])
+    rows = [(1, text), (1, text), (1, other), (2, text), (None, text), (None, near), (3, None), (3, None), (4, ""), (5, text + "\n" + text[:60])]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], DOCUMENTS), text, other
+
+
+def test_stages_take_odd_documents(spark):
+    import corpus_pipeline
+
+    docs, text, other = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        for case in (docs, docs.limit(0)):
+            out = stage(spark, case, SF)
+            if name == "best_fit_packing":
+                assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+                assert out.count() >= (case.count() and 7)
+            else:
+                assert out.columns == docs.columns
+                assert out.count() <= case.count()
+    near = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()
+    # one row of the group of copies, whatever its ids; the clean row that shares id 1 stays, as do texts without words
+    assert sorted((r.text or "").count("word") for r in near if r.text not in (None, "", other)) == [80]
+    assert [r.doc_id for r in near if r.text == other] == [1]
+    assert sorted(str(r.doc_id) for r in near if not r.text) == ["3", "3", "4"]
