@@ -23,74 +23,73 @@ SCHEMA = (
     "editorial boolean, editorial_suggested boolean, city string, region string, country string, duration_sec double, "
     "shot_type string, movement array<string>, capture_date string, drone_model string, output_size_bytes bigint"
 )
-PLAIN = (
-    "j", 1, 0, "lighthouse_cape_pull_back_20250902_001.mov", "Pull Back From a White Lighthouse on a Basalt Cape, Iceland",
-    "Camera leaves the lighthouse and shows black cliffs, surf and gannets in evening light.",
-    ["lighthouse", "basalt cliffs", "iceland", "surf", "gannets", "evening light", "coast"], 2,
-    ["Nature", "Buildings/Landmarks"], "Nature", True, None, False, "Vík", "South Iceland", "Iceland", 18.0,
-    "real_time", ["Aerial", "Drone", "Pull Back"], "2025-09-02", "Mavic 3", 310_000_000,
-)
-TRICKY = (
-    "j", 2, 1, "market_hall_gyor_pan_left_20250411_002.mov", 'Market Hall "Nagy Piac" at Noon – Győr & Környéke',
-    "Stalls, trams & the hall's façade; 20% rain, light wind (north).",
-    ["market hall", "győr", "stalls, fruit", "façade", "tram & bus", '"piac"', "рынок", "noon", ".tmp", "1912"],
-    5, ["Buildings/Landmarks"], "City", True, False, False, "Győr", "Győr-Moson-Sopron", "Hungary", 21.0, "real_time",
-    ["Aerial", "Drone", "Tracking Left"], "2025-04-11", "Mini 3", 140_000_000,
-)
-BIG = (
-    "j", 3, 2, "salt_flat_unknown_forward_003.mov",
-    "Fast Low Flight Across an Endless Cracked Salt Flat Toward Distant Purple Mountains During a Sandstorm",
-    "A fast low flight over cracked white salt toward purple mountains; the storm front grows from the left while the "
-    "shadow of the aircraft runs over dry channels, tyre tracks and a single abandoned rusty trailer.",
-    [f"word {k}" for k in range(1, 58)], 11, ["Nature", "Transportation"], "Nature", False, False, False, None, None, None, 66.5,
-    "real_time", ["Aerial", "Drone"], None, None, 5 * 1024**3,
-)
-NEWS = (
-    "j", 4, 3, "town_hall_ghent_tilt_up_20250705_004.mov", "Tilt Up Along the Gothic Facade of Ghent's Town Hall, Belgium",
-    "The camera rises along the mayor's balcony during the summer festival.",
-    ["ghent", "town hall", "gothic", "mayor's balcony", "festival", "belgium"], 15, ["Buildings/Landmarks"],
-    "Buildings", True, True, True, "Ghent", "East Flanders", "Belgium", 32.0, "slow_motion",
-    ["Aerial", "Drone", "Tilt Up"], "2025-07-05", "Mavic 3", 505_000_000,
-)
-
-WORDS = [f"word {k}" for k in range(1, 51)]
+FIELDS = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+WORDS = ["harbour", "boats", "masts", "quay", "dawn", "calm", "gulls", "rope"]
+LIMITS = {p: DEFAULTS[p]["limits"] for p in P.REGISTRY}
+
+
+def clip(n, **changes):
+    """A clip that keeps every rule, but for what is changed."""
+    base = {
+        "job_id": "j", "clip_id": n, "ordinal": n, "filename": f"take_{n}.mov", "title": "Quiet harbour at dawn",
+        "description": "Boats at rest.", "keywords": WORDS, "adobe_category": 1, "shutterstock_categories": ["Nature"],
+        "envato_category": "Nature", "recognizable_buildings": False, "editorial": False, "editorial_suggested": False,
+        "city": "Bergen", "region": "Vestland", "country": "Norway", "duration_sec": 12.0, "shot_type": "real_time",
+        "movement": ["Aerial", "Drone"], "capture_date": "2024-03-09", "drone_model": "Air 3", "output_size_bytes": 10**8,
+    }
+    assert set(changes) <= set(base)
+    return tuple((base | changes)[f] for f in FIELDS)
+
+
+# One clip per rule: (what it shows, changes, platform, expected messages there).
+STEPS = " ".join(["step"] * 480)  # 2,399 characters, cut after whole words
+whole = lambda limit: " ".join(["step"] * ((limit + 1) // 5))
+RULE_CLIPS = {
+    "long title": {"title": STEPS},
+    "many keywords": {"keywords": [f"kw{k}" for k in range(LIMITS["adobe"]["keywordsMax"] + 4)]},
+    "few keywords": {"keywords": ["sea", "sky"]},
+    "too long": {"duration_sec": LIMITS["adobe"]["maxDurationSec"] + 1.5},
+    "too short": {"duration_sec": 1.0},
+    "too heavy": {"output_size_bytes": LIMITS["pond5"]["maxFileSizeBytes"] + 1},
+    "category": {"adobe_category": 77, "shutterstock_categories": ["Moonlight"], "envato_category": "Moonlight"},
+    "no date": {"capture_date": None},
+    "quotes": {"title": 'Sign "Open", then closed', "keywords": ['"open" sign', *WORDS]},
+    "accents": {"title": "Žižkov čeká", "keywords": ["žižkov", *WORDS]},
+    "editorial": {"editorial": True},
+    "slow": {"shot_type": "slow_motion"},
+}
+CLIPS = [clip(n, **changes) for n, changes in enumerate(RULE_CLIPS.values())]
+NUMBER = {name: n for n, name in enumerate(RULE_CLIPS)}
+KEEPS, NOTES = clip(50), clip(51, title="Ferry, seen from above", description='A "ferry" turns.', editorial=True)
 GOLDEN = {
-    "adobe": f'''Filename,Title,Keywords,Category,Releases
-lighthouse_cape_pull_back_20250902_001.mov,"Pull Back From a White Lighthouse on a Basalt Cape, Iceland","lighthouse, basalt cliffs, iceland, surf, gannets, evening light, coast",2,
-market_hall_gyor_pan_left_20250411_002.mov,"Market Hall ""Nagy Piac"" at Noon – Győr & Környéke","market hall, győr, stalls fruit, façade, tram & bus, piac, рынок, noon, .tmp, 1912",5,
-salt_flat_unknown_forward_003.mov,Fast Low Flight Across an Endless Cracked Salt Flat Toward Distant,"{", ".join(WORDS)}",11,
-town_hall_ghent_tilt_up_20250705_004.mov,"Tilt Up Along the Gothic Facade of Ghent's Town Hall, Belgium","ghent, town hall, gothic, mayor's balcony, festival, belgium",15,
-''',
-    "shutterstock": f'''Filename,Description,Keywords,Categories,Editorial
-lighthouse_cape_pull_back_20250902_001.mov,"Pull Back From a White Lighthouse on a Basalt Cape, Iceland. Camera leaves the lighthouse and shows black cliffs, surf and gannets in evening light.","lighthouse,basalt cliffs,iceland,surf,gannets,evening light,coast","Nature,Buildings/Landmarks",No
-market_hall_gyor_pan_left_20250411_002.mov,"Market Hall ""Nagy Piac"" at Noon – Győr & Környéke. Stalls, trams & the hall's façade; 20% rain, light wind (north).","market hall,győr,stalls fruit,façade,tram & bus,piac,рынок,noon,.tmp,1912",Buildings/Landmarks,No
-salt_flat_unknown_forward_003.mov,Fast Low Flight Across an Endless Cracked Salt Flat Toward Distant Purple Mountains During a Sandstorm,"{",".join(WORDS)}","Nature,Transportation",No
-town_hall_ghent_tilt_up_20250705_004.mov,"Tilt Up Along the Gothic Facade of Ghent's Town Hall, Belgium. The camera rises along the mayor's balcony during the summer festival.","ghent,town hall,gothic,mayor's balcony,festival,belgium",Buildings/Landmarks,Yes
-''',
-    "pond5": f'''originalfilename,title,description,keywords,city,region,country,specifysource,containsaudio,release,copyright,price,pricelarge,editorial,datecreated
-lighthouse_cape_pull_back_20250902_001.mov,"Pull Back From a White Lighthouse on a Basalt Cape, Iceland","Camera leaves the lighthouse and shows black cliffs, surf and gannets in evening light.","lighthouse,basalt cliffs,iceland,surf,gannets,evening light,coast",Vik,South Iceland,Iceland,Mavic 3,no,,Jane Doe 2024,79,149,no,09/02/2025
-market_hall_gyor_pan_left_20250411_002.mov,Market Hall Nagy Piac at Noon - Gyor and Kornyeke,"Stalls, trams and the halls facade; 20 percent rain, light wind north.","market hall,gyor,stalls fruit,facade,tram and bus,piac,rynok,noon,.tmp,1912",Gyor,Gyor-Moson-Sopron,Hungary,Mini 3,no,,Jane Doe 2024,79,149,no,04/11/2025
-salt_flat_unknown_forward_003.mov,Fast Low Flight Across an Endless Cracked Salt Flat Toward Distant Purple,"A fast low flight over cracked white salt toward purple mountains; the storm front grows from the left while the shadow of the aircraft runs over dry channels, tyre tracks and a single abandoned rusty trailer.","{",".join(WORDS)}",,,,,no,,Jane Doe 2024,79,149,no,08/02/2024
-town_hall_ghent_tilt_up_20250705_004.mov,"Ghent, Belgium 2025/07/05: Tilt Up Along the Gothic Facade of Ghents Town Hall","Ghent, Belgium 2025/07/05: The camera rises along the mayors balcony during the summer festival.","ghent,town hall,gothic,mayors balcony,festival,belgium",Ghent,East Flanders,Belgium,Mavic 3,no,,Jane Doe 2024,79,149,yes,07/05/2025
-''',
-    "envato": f'''Filename*,Title*,Description*,Keywords*,Category,Price: Single Use License ($USD)*,Price: Multi-use License ($USD)*,Recognisable people?,Recognisable buildings?,Is Motion Graphics?,AudioJungle Track (IDs),Color,Pace,Movement,Composition,Setting,No. of People,Gender,Age,Ethnicity,Alpha Channel,Looped,Source Audio
-lighthouse_cape_pull_back_20250902_001.mov,"Pull Back From a White Lighthouse on a Basalt Cape, Iceland","Camera leaves the lighthouse and shows black cliffs, surf and gannets in evening light.","lighthouse,basalt cliffs,iceland,surf,gannets,evening light,coast",Nature,$19,$39.50,No,Yes,,,Full Color,Real Time,"Aerial,Drone",Wide Shot,Outdoors,,,,,,,
-market_hall_gyor_pan_left_20250411_002.mov,"Market Hall ""Nagy Piac"" at Noon – Győr & Környéke","Stalls, trams & the hall's façade; 20% rain, light wind (north).","market hall,gyor,stalls fruit,facade,tram bus,piac,rynok,noon,tmp",City,$19,$39.50,No,Yes,,,Full Color,Real Time,"Aerial,Drone,Tracking Left",Wide Shot,Outdoors,,,,,,,
-salt_flat_unknown_forward_003.mov,Fast Low Flight Across an Endless Cracked Salt Flat Toward Distant Purple Mountains During a,"A fast low flight over cracked white salt toward purple mountains; the storm front grows from the left while the shadow of the aircraft runs over dry channels, tyre tracks and a single abandoned rusty trailer.","{",".join(WORDS)}",Nature,$19,$39.50,No,No,,,Full Color,Real Time,"Aerial,Drone",Wide Shot,Outdoors,,,,,,,
-town_hall_ghent_tilt_up_20250705_004.mov,"Tilt Up Along the Gothic Facade of Ghent's Town Hall, Belgium",The camera rises along the mayor's balcony during the summer festival.,"ghent,town hall,gothic,mayor s balcony,festival,belgium",Buildings,$19,$39.50,No,Yes,,,Full Color,Slow Motion,"Aerial,Drone,Tilt Up",Wide Shot,Outdoors,,,,,,,
-''',
+    "adobe": """Filename,Title,Keywords,Category,Releases
+take_50.mov,Quiet harbour at dawn,"harbour, boats, masts, quay, dawn, calm, gulls, rope",1,
+take_51.mov,"Ferry, seen from above","harbour, boats, masts, quay, dawn, calm, gulls, rope",1,
+""",
+    "shutterstock": """Filename,Description,Keywords,Categories,Editorial
+take_50.mov,Quiet harbour at dawn. Boats at rest.,"harbour,boats,masts,quay,dawn,calm,gulls,rope",Nature,No
+take_51.mov,"Ferry, seen from above. A ""ferry"" turns.","harbour,boats,masts,quay,dawn,calm,gulls,rope",Nature,Yes
+""",
+    "pond5": """originalfilename,title,description,keywords,city,region,country,specifysource,containsaudio,release,copyright,price,pricelarge,editorial,datecreated
+take_50.mov,Quiet harbour at dawn,Boats at rest.,"harbour,boats,masts,quay,dawn,calm,gulls,rope",Bergen,Vestland,Norway,Air 3,no,,Jane Doe 2024,79,149,no,03/09/2024
+take_51.mov,"Bergen, Norway 2024/03/09: Ferry, seen from above","Bergen, Norway 2024/03/09: A ferry turns.","harbour,boats,masts,quay,dawn,calm,gulls,rope",Bergen,Vestland,Norway,Air 3,no,,Jane Doe 2024,79,149,yes,03/09/2024
+""",
+    "envato": """Filename*,Title*,Description*,Keywords*,Category,Price: Single Use License ($USD)*,Price: Multi-use License ($USD)*,Recognisable people?,Recognisable buildings?,Is Motion Graphics?,AudioJungle Track (IDs),Color,Pace,Movement,Composition,Setting,No. of People,Gender,Age,Ethnicity,Alpha Channel,Looped,Source Audio
+take_50.mov,Quiet harbour at dawn,Boats at rest.,"harbour,boats,masts,quay,dawn,calm,gulls,rope",Nature,$19,$39.50,No,No,,,Full Color,Real Time,"Aerial,Drone",Wide Shot,Outdoors,,,,,,,
+take_51.mov,"Ferry, seen from above","A ""ferry"" turns.","harbour,boats,masts,quay,dawn,calm,gulls,rope",Nature,$19,$39.50,No,No,,,Full Color,Real Time,"Aerial,Drone",Wide Shot,Outdoors,,,,,,,
+""",
 }
 
 
 @pytest.fixture(scope="module")
 def results(spark):
-    clips = spark.createDataFrame([NEWS, PLAIN, BIG, TRICKY], SCHEMA)
+    clips = spark.createDataFrame([NOTES, *CLIPS, KEEPS], SCHEMA)
     return P.platform_results(P.csv_clip_view(clips), CTX).cache()
 
 
 def test_written_csv_matches_byte_for_byte(spark, results, tmp_path):
     for platform, expected in GOLDEN.items():
-        rows = results.select("job_id", "ordinal", F.inline("results")).where(F.col("platform") == platform)
+        rows = results.where("clip_id >= 50").select("job_id", "ordinal", F.inline("results")).where(F.col("platform") == platform)
         for job in ("j", "other", "j"):  # a second job, then the first one again
             SD.write_platform_csv(rows.withColumn("job_id", F.lit(job)), platform, CTX, str(tmp_path / platform), CTX.export_date)
         name = "adobe_stock_jane_doe_2024_08_02.csv" if platform == "adobe" else f"{platform}.csv"
@@ -101,38 +100,53 @@ def test_written_csv_matches_byte_for_byte(spark, results, tmp_path):
         assert (tmp_path / platform / "j" / name).exists()
 
 
-def test_other_rows_and_issues(results):
+def test_every_rule_shows_in_its_clip(results):
     got = {(r.clip_id, r.platform): r for r in results.select("clip_id", F.inline("results")).collect()}
-    assert got[2, "shutterstock"].row[1] == (
-        'Market Hall "Nagy Piac" at Noon – Győr & Környéke. Stalls, trams & the hall\'s façade; 20% rain, light wind (north).'
-    )
-    assert got[2, "envato"].row[3] == "market hall,gyor,stalls fruit,facade,tram bus,piac,rynok,noon,tmp"
-    assert got[4, "envato"].row[5:9] == ["$19", "$39.50", "No", "Yes"] and got[4, "envato"].row[12] == "Slow Motion"
-    assert got[1, "adobe"].level == "ok" and got[4, "adobe"].level == "warning"
-    assert got[3, "adobe"].messages == [
-        "Clip is 66.5 s, the maximum is 60 s", "File is 5.00 GB, the limit is 3.90 GB", "Title shortened from 102 to 70 characters",
-        "57 keywords, only the first 50 are used",
-    ]
-    assert got[3, "pond5"].level == "warning" and got[3, "pond5"].messages[-1].startswith("Capture date unknown")
+    at = lambda name, platform: got[NUMBER[name], platform]
+    said = lambda name, platform: " / ".join(at(name, platform).messages)
+    assert all(got[50, p].level == "ok" and got[50, p].messages == [] for p in P.REGISTRY)
+    for platform, field, limit in (("adobe", 1, "titleMax"), ("shutterstock", 1, "descriptionMax"), ("pond5", 1, "titleMax"), ("envato", 1, "titleMax")):
+        most = LIMITS[platform][limit]
+        assert at("long title", platform).row[field] == whole(most) and at("long title", platform).level == "warning"
+        assert f"to {most} characters" in said("long title", platform)
+    for platform, separator in (("adobe", ", "), ("shutterstock", ","), ("pond5", ","), ("envato", ",")):
+        kept = at("many keywords", platform).row[3 if platform in ("pond5", "envato") else 2].split(separator)
+        assert kept == [f"kw{k}" for k in range(LIMITS[platform]["keywordsMax"])]
+    assert "54 keywords" in said("many keywords", "adobe") and {at("few keywords", p).level for p in ("adobe", "shutterstock")} == {"error"}
+    assert "61.5 s" in said("too long", "adobe") and got[NUMBER["too long"], "pond5"].level == "ok"
+    assert {p for p in P.REGISTRY if "1.0 s" in said("too short", p)} == set(P.REGISTRY)
+    assert {p for p in P.REGISTRY if "GB, the limit is" in said("too heavy", p)} == set(P.REGISTRY)
+    assert [at("category", p).level for p in P.REGISTRY] == ["error", "error", "ok", "error"]
+    assert said("no date", "pond5").startswith("Capture date unknown") and at("no date", "pond5").row[-1] == "08/02/2024"
+    assert at("quotes", "pond5").row[1] == "Sign Open, then closed" and at("quotes", "adobe").row[1] == RULE_CLIPS["quotes"]["title"]
+    assert at("quotes", "adobe").row[2].split(", ")[0] == "open sign"
+    assert at("accents", "envato").row[3].split(",")[0] == "zizkov" and at("accents", "pond5").row[1] == "Zizkov ceka"
+    assert at("accents", "shutterstock").row[2].split(",")[0] == "žižkov"
+    assert at("editorial", "pond5").row[1].startswith("Bergen, Norway 2024/03/09: ") and at("editorial", "pond5").row[13] == "yes"
+    assert at("slow", "envato").row[12] == "Slow Motion"
 
 
 def test_report_and_documents(spark, results, tmp_path):
-    jobs = spark.createDataFrame([("j", "North coast", "export_north", "2024-08-02T10:30:00.000Z", 1)], "job_id string, project_name string, folder string, built_at string, excluded int")
+    jobs = spark.createDataFrame([("j", "Fjords", "export_fjords", "2024-08-02T10:30:00.000Z", 1)], "job_id string, project_name string, folder string, built_at string, excluded int")
     rows = results.withColumns({"place_confidence": F.lit("low"), "editorial_reason": F.lit(None).cast("string")})
     SD.write_report(SD.report_lines(jobs, rows, CTX).coalesce(1), str(tmp_path / "report"))
     text = (tmp_path / "report" / "j" / "report.md").read_text(encoding="utf-8")
-    assert text.startswith("# Export report: North coast\n\n- Folder: `export_north`\n")
-    assert "- Clips: 4 (excluded by the user: 1)\n" in text
-    assert "| Adobe Stock | 2 | 1 | 1 | no (checked 2026-10-07) |" in text
-    order = [text.index(f"### {n}") for n in (TRICKY[3], BIG[3], NEWS[3]) if f"### {n}" in text]
-    assert order == sorted(order) and "- **Pond5** (Warning): Capture date unknown" in text
-    assert f"- {NEWS[3]}: editorial. set by the user" in text and text.endswith("\n")
-    doc = json.loads(SD.delivery_metadata(results).where("clip_id = 3").first().value)
-    assert doc["filename"] == BIG[3] and len(doc["validations"]) == 4 and len(doc["final"]["keywords"]) == 57
+    assert text.startswith("# Export report: Fjords\n\n- Folder: `export_fjords`\n")
+    assert f"- Clips: {len(CLIPS) + 2} (excluded by the user: 1)\n" in text
+    levels = [r.level for r in results.select(F.inline("results")).where("platform = 'adobe'").collect()]
+    counts = " | ".join(str(levels.count(x)) for x in ("ok", "warning", "error"))
+    assert f"| Adobe Stock | {counts} | no (checked {DEFAULTS['adobe']['lastVerified']}) |" in text
+    troubled = [n for n in range(len(CLIPS)) if f"### take_{n}.mov\n" in text]
+    order = [text.index(f"### take_{n}.mov\n") for n in troubled]
+    assert len(troubled) >= 7 and order == sorted(order) and "- **Pond5** (Warning): Capture date unknown" in text
+    assert f"- take_{NUMBER['editorial']}.mov: editorial. set by the user" in text and text.endswith("\n")
+    doc = json.loads(SD.delivery_metadata(results).where(f"clip_id = {NUMBER['many keywords']}").first().value)
+    assert doc["filename"] == f"take_{NUMBER['many keywords']}.mov" and len(doc["validations"]) == 4
+    assert len(doc["final"]["keywords"]) == LIMITS["adobe"]["keywordsMax"] + 4
 
 
 def test_delivery_is_reused_until_something_changes(spark):
-    clips = spark.createDataFrame([PLAIN, NEWS], SCHEMA).withColumns(
+    clips = spark.createDataFrame([KEEPS, NOTES], SCHEMA).withColumns(
         {"status": F.lit("done"), "excluded": F.lit(False), "progress": F.lit(0.0)}
     )
     jobs = spark.createDataFrame([("j", None)], "job_id string, archive_hash string")
@@ -152,11 +166,11 @@ def test_delivery_is_reused_until_something_changes(spark):
 
 def test_delivery_as_one_product(spark, tmp_path):
     """Gate, names, four files, report and documents of one build, stored together."""
-    clips = spark.createDataFrame([PLAIN, NEWS, BIG, TRICKY], SCHEMA).withColumns(
+    clips = spark.createDataFrame(CLIPS[:4], SCHEMA).withColumns(
         {"status": F.lit("done"), "excluded": F.lit(False), "progress": F.lit(0.0), "first_name": F.lit("coast_001.mov")}
     )
     jobs = spark.createDataFrame(
-        [("j", None, "North coast", "export_north", "2024-08-02T10:30:00.000Z", 0)],
+        [("j", None, "Fjords", "export_fjords", "2024-08-02T10:30:00.000Z", 0)],
         "job_id string, archive_hash string, project_name string, folder string, built_at string, excluded int",
     )
     delivery = SD.build_delivery(clips, jobs, CTX)
@@ -170,7 +184,7 @@ def test_delivery_as_one_product(spark, tmp_path):
         text = (tmp_path / "out" / "files" / "j" / name).read_text(encoding="utf-8")
         assert len(text) <= sizes[f"j/{name}"] and [text.index(n) for n in order] == sorted(text.index(n) for n in order)
     report = (tmp_path / "out" / "files" / "j" / "report.md").read_text(encoding="utf-8")
-    assert report.startswith("# Export report: North coast") and "### coast_001_3.mov" in report
+    assert report.startswith("# Export report: Fjords") and "### coast_001_3.mov" in report
     documents = [json.loads(r.value) for r in SD.read_delivery_metadata(spark, str(tmp_path / "out" / "documents")).collect()]
     assert sorted(d["filename"] for d in documents) == order
     done = delivery["jobs"].first()

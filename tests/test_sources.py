@@ -64,6 +64,22 @@ def test_telemetry_packets(spark):
     assert [r.t for r in OG.sample_track(points).collect()] == [0.0, 0.7]
 
 
+def test_damaged_packets_end_early():
+    import time
+
+    good = _message(1.0, 2.0, 3_000)
+    assert SM._decoded(good) == ("dvtm_Mini4_Pro.proto", 1.0, 2.0, 3000.0)
+    assert SM._decoded(good + b"\xff" * 200_000)[1:] == (1.0, 2.0, 3000.0)
+    started = time.perf_counter()
+    assert SM._decoded(b"\x80" * 2_000_000) == (None,) * 4
+    assert time.perf_counter() - started < 0.5  # no number is longer than ten bytes
+    assert SM._decoded(good[: len(good) // 2])[0] == "dvtm_Mini4_Pro.proto"
+    assert SM._decoded(None) == (None,) * 4 == SM._decoded(b"")
+    # the first message on a path may lack the rest of it
+    empty = b"\x1a\x02\x1a\x00"
+    assert SM._decoded(empty + good) == SM._decoded(good)
+
+
 def test_feature_documents_round_trip(spark, tmp_path):
     sample = {f: 0.123456789 for f in schemas.FRAME_FIELDS}
     for video, doc in {
