@@ -288,6 +288,31 @@ def resolve_location(clips: DataFrame, searches: DataFrame) -> DataFrame:
     ).drop("_query", "_found")
 
 
+def geo_context(
+    clips: DataFrame, searches: DataFrame, cache: DataFrame, pois: DataFrame, radius_m: float = 2000.0, limit: int = 12
+) -> DataFrame:
+    """Geographic context (``geo``) of every clip: position by priority, place of its grid cell, ranked landmarks.
+
+    ``clips``: clip_id and what ``resolve_location`` reads. ``cache``: key, city, region, country, country_code,
+    display_name, local_name. ``pois``: landmarks in priority order (source_rank, id and the landmark fields). A clip
+    without a position has no place and no landmarks; without landmarks near by the list is empty.
+    """
+    located = resolve_location(clips, searches)
+    placed = geo_lookup(located, cache)
+    spots = located.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("clip_id", "lat", "lon", "heading")
+    near = poi_within_radius(spots, with_name_keys(pois), radius_m)
+    ranked = rank_pois(merge_poi_entities(near, ["source_rank", "id"]), limit)
+    landmarks = ranked.groupBy("clip_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", F.struct(*_POI_FIELDS).alias("poi")))).alias("_ranked")
+    )
+    candidates = F.transform(F.coalesce("_ranked", F.array().cast(landmarks.schema["_ranked"].dataType)), lambda r: r["poi"])
+    geo = F.struct(
+        "source", "lat", "lon", "altitude_m", "city", "region", "country", "country_code", "display_name", "local_name",
+        "manual_text", F.col("heading").alias("camera_heading_deg"), candidates.alias("poi_candidates"),
+    )
+    return placed.join(landmarks, "clip_id", "left").select("clip_id", geo.alias("geo"))
+
+
 def timezone_lookup(points: DataFrame, tz_grid: DataFrame, cell_deg: float = 1.0) -> DataFrame:
     """Time zone by grid cell from a supplied dimension (lat_cell, lon_cell, tz); null when unknown."""
     cells = {

@@ -141,3 +141,33 @@ def test_nearest_point_over_gaps(spark):
     for cid, v, a, b, _ in clips[:-2]:
         assert (got[cid].start_point.t, got[cid].mid_point.t, got[cid].end_point.t) == (nearest(a), nearest((a + b) / 2), nearest(b))
     assert got["none"].mid_point.lat == 1.0 and got["none"].start_point is None and got["empty"].mid_point is None
+
+
+def test_geo_context_composes_position_place_and_landmarks(spark):
+    point = "struct<t:double,lat:double,lon:double,altitude_m:double>"
+    here = (0.0, 59.9, 30.3, 120.0)
+    rows = [
+        ("gps", None, here, (0.0, 59.89, 30.3, 1.0), (9.0, 59.91, 30.3, 1.0), "forward"),
+        ("typed", "40.0, -3.7", here, None, None, "pan_left"),
+        ("named", "  Kizhi  POGOST ", here, None, None, "pan_left"),
+        ("lost", "nowhere", here, None, None, "pan_left"),
+        ("none", None, None, None, None, "pan_left"),
+    ]
+    clips = spark.createDataFrame(rows, f"clip_id string, manual_location string, mid_point {point}, start_point {point}, end_point {point}, motion_type string")
+    searches = spark.createDataFrame([("kizhi pogost", 62.07, 35.22)], "query string, lat double, lon double")
+    key = lambda lat, lon: spark.range(1).select(G.grid_key(F.lit(lat), F.lit(lon))["key"]).first()[0]
+    place = "key string, city string, region string, country string, country_code string, display_name string, local_name string"
+    cache = spark.createDataFrame([(key(59.9, 30.3), "Town", "R", "Land", "LA", "Town, Land", "Stadt")], place)
+    marks = [(k, f"Mark {k:02d}", f"Mark {k:02d}", "castle", 59.9 + k * 5e-4, 30.3, None) for k in range(15)]
+    marks += [(20, "Mark 03", "Third", "castle", 59.9, 30.3001, "Q3"), (21, "Far", None, "castle", 10.0, 10.0, None)]
+    pois = OG.union_pois([spark.createDataFrame(marks, "id int, name string, name_en string, type string, lat double, lon double, wikidata_id string")])
+    found = {r.clip_id: r.geo for r in OG.geo_context(clips, searches, cache, pois).collect()}
+    gps = found["gps"]
+    assert (gps.source, gps.lat, gps.city, gps.country_code, gps.altitude_m) == ("embedded", 59.9, "Town", "LA", 120.0)
+    assert gps.camera_heading_deg is not None and len(gps.poi_candidates) == 12
+    third = next(p for p in gps.poi_candidates if p.name == "Mark 03")
+    assert (third.name_en, third.wikidata_id) == ("Third", "Q3") and third.distance_m < 20
+    assert {k: (g.source, g.lat, g.city, g.poi_candidates) for k, g in found.items() if k != "gps"} == {
+        "typed": ("manual", 40.0, None, []), "named": ("manual", 62.07, None, []),
+        "lost": ("manual", None, None, []), "none": ("none", None, None, []),
+    }
