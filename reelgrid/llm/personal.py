@@ -27,29 +27,44 @@ _DIGIT = re.compile(r"[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-# Letters that look like Latin ones, invisible characters, spelled digits.
+# Letters that look like Latin ones, invisible characters, digits and marks spelled in the languages of
+# the texts.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "Α": "A", "Β": "B", "Ε": "E", "Ο": "O", "Ρ": "P", "Τ": "T",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-SPELLED = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+SPELLED = {
+    "en": ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"],
+    "fr": ["zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"],
+    "de": ["null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun"],
+    "es": ["cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"],
+}
+PLUS = ["plus", "más", "mas"]
+#: Words for @ and for the full stop of a domain, which belong together.
+AT_DOT = [("at", "dot"), ("arobase", "point"), ("arroba", "punto"), ("at", "punkt"), ("ät", "punkt")]
 
 _WIDE = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}  # full-width forms
 _CHARS = LOOKALIKES | _WIDE | dict.fromkeys(INVISIBLE, "")
 _ODD = re.compile("[" + "".join(map(re.escape, _CHARS)) + "]")
-_NUMBER = "|".join(SPELLED)
+_DIGIT_OF = {word: str(k) for words in SPELLED.values() for k, word in enumerate(words)}
+_NUMBER = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _DIGITS_IN_WORDS = re.compile(
-    rf"(?:\b(plus)[ ,.-]+)?\b(?:{_NUMBER})(?:[ ,.-]+(?:{_NUMBER})\b){{6,}}", re.IGNORECASE
+    rf"(?:\b({'|'.join(PLUS)})[ ,.-]+)?\b(?:{_NUMBER})(?:[ ,.-]+(?:{_NUMBER})\b){{6,}}", re.IGNORECASE
 )
-_ONE_NUMBER = re.compile(rf"{_NUMBER}", re.IGNORECASE)
-_BRACKETED = re.compile(r" ?[\[({<] ?(at|@|dot|\.) ?[\])}>] ?", re.IGNORECASE)
+_ONE_NUMBER = re.compile(rf"\b(?:{_NUMBER})\b", re.IGNORECASE)
+_ATS, _DOTS = ("|".join(dict.fromkeys(words)) for words in zip(*AT_DOT, strict=True))
+_BRACKETED = re.compile(rf" ?[\[({{<] ?(?:({_ATS}|@)|{_DOTS}|\.) ?[\])}}>] ?", re.IGNORECASE)
 _BARE = re.compile(
-    r"(?<=[A-Za-z0-9_%+-])( at )(?:[A-Za-z0-9-]+)(?: dot [A-Za-z0-9-]+)+\b|(?<=[A-Za-z0-9_%+-])@(?:[A-Za-z0-9-]+)(?: dot [A-Za-z0-9-]+)+\b",
+    "|".join(
+        rf"(?<=[A-Za-z0-9_%+-]){at}[A-Za-z0-9-]+(?: {dot} [A-Za-z0-9-]+)+\b"
+        for at, dot in [*((f" {a} ", d) for a, d in AT_DOT), ("@", f"(?:{_DOTS})")]
+    ),
     re.IGNORECASE,
 )
-_DOT = re.compile(r" dot | at ", re.IGNORECASE)
+_DOT = re.compile(rf" (?:({_ATS})|{_DOTS}) ", re.IGNORECASE)
+_CLOSED = re.compile(rf"(?:{_ATS}|{_DOTS}|[@.]) ?[\])}}>]", re.IGNORECASE)
 
 
 def find_personal_data(texts: DataFrame, key: str = "clip_id", text: str = "description") -> DataFrame:
@@ -187,15 +202,15 @@ def inner_spans(inner: _Undone, edits: list[tuple[int, int, str]]) -> list[tuple
 def _word_edits(text: str) -> list[tuple[int, int, str]]:
     edits: list[tuple[int, int, str]] = []
     low = text.lower()
-    if any(f"{w}{c}" in low for w in ("at", "dot", "@", ".", "at ", "dot ") for c in ")]}>"):
-        edits += [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(text)]
-    if " dot " in low:
+    if any(c in low for c in ")]}>") and _CLOSED.search(text):
+        edits += [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
+    if any(f" {d} " in low for _, d in AT_DOT):
         for m in _BARE.finditer(text):
             for d in _DOT.finditer(text, *m.span()):
-                edits.append((d.start(), d.end(), "@" if "at" in d[0].lower() else "."))
-    if sum(low.count(w) for w in SPELLED) >= 7:
+                edits.append((d.start(), d.end(), "@" if d[1] else "."))
+    if sum(low.count(w) for w in _DIGIT_OF) >= 7:
         for m in _DIGITS_IN_WORDS.finditer(text):
-            number = "".join(str(SPELLED.index(d.lower())) for d in _ONE_NUMBER.findall(m[0]))
+            number = "".join(_DIGIT_OF[d.lower()] for d in _ONE_NUMBER.findall(m[0][m.end(1) - m.start() if m[1] else 0 :]))
             # Nobody spells out so many digits but to hide a phone number.
             edits.append((*m.span(), ("+" if m[1] or 10 <= len(number) <= 15 else "") + number))
     out: list[tuple[int, int, str]] = []

@@ -20,15 +20,17 @@ def digest(spans: list[Span], kinds: list[str]) -> str:
 
 
 def free(spans: list[Span], taken: list[Span]) -> list[Span]:
-    """Spans that lie within no taken span of their kind and touch no earlier one of the list."""
+    """Spans that lie within no taken span of their kind and overlap no earlier one of their kind in the list."""
     ends: dict[str, list[tuple[int, int]]] = {}  # per kind: starts, and the furthest end so far
     for kind, start, end in sorted(taken, key=lambda x: x[1]):
         known = ends.setdefault(kind, [])
         known.append((start, max(end, known[-1][1] if known else 0)))
     out: list[Span] = []
+    last: dict[str, int] = {}  # per kind: end of its last span
     for span in sorted(spans, key=lambda x: (x[1], -x[2])):
         known = ends.get(span[0], [])
         at = bisect.bisect_right(known, (span[1], math.inf)) - 1
-        if not (at >= 0 and known[at][1] >= span[2]) and not (out and span[1] < out[-1][2]):
+        if not (at >= 0 and known[at][1] >= span[2]) and span[1] >= last.get(span[0], 0):
             out.append(span)
+            last[span[0]] = span[2]
     return out

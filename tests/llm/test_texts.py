@@ -92,6 +92,15 @@ def test_plain_personal_data_equals_brute_force(spark):
         ("mail ja​ne@example.com", "email", "ja​ne@example.com"),
         ("four one one one one one one one one one one one one one one one", "card",
          "four one one one one one one one one one one one one one one one"),
+        ("écrire à jean arobase exemple point fr merci", "email", "jean arobase exemple point fr"),
+        ("hans (ät) beispiel [punkt] de", "email", "hans (ät) beispiel [punkt] de"),
+        ("post an hans at beispiel punkt de senden", "email", "hans at beispiel punkt de"),
+        ("ana arroba ejemplo punto es", "email", "ana arroba ejemplo punto es"),
+        ("jean@exemple point fr", "email", "jean@exemple point fr"),
+        ("appelez zéro six un deux trois quatre cinq six sept huit vite", "phone", "zéro six un deux trois quatre cinq six sept huit"),
+        ("Tel null eins sieben fünf neun acht vier drei zwei eins an", "phone", "null eins sieben fünf neun acht vier drei zwei eins"),
+        ("llame más tres cuatro seis uno dos tres cuatro cinco seis siete hoy", "phone",
+         "más tres cuatro seis uno dos tres cuatro cinco seis siete"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, source):
@@ -101,7 +110,8 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert (kind, start, start + len(source)) in disguised + plain
 
 
-@pytest.mark.parametrize("text", ["meet at noon", "a dot b", "one two three", "we arrived at the end (at last)", "Москва"])
+@pytest.mark.parametrize("text", ["meet at noon", "a dot b", "one two three", "we arrived at the end (at last)", "Москва",
+     "we arrive at this point in the text", "il arrive à ce point un deux trois", "en este punto hay uno o dos", "at this point (point)"])
 def test_plain_prose_has_no_disguises(text):
     assert personal._spans(text) == ([], [])
 
@@ -110,6 +120,7 @@ def test_free_spans():
     taken = [("b", 5, 8), ("a", 20, 30)]
     spans = [("b", 0, 5), ("b", 5, 7), ("b", 6, 9), ("b", 8, 12), ("b", 21, 22)]
     assert free(spans, taken) == [("b", 0, 5), ("b", 6, 9), ("b", 21, 22)]
+    assert free([("a", 0, 9), ("b", 3, 5), ("a", 8, 12), ("b", 5, 6)], []) == [("a", 0, 9), ("b", 3, 5), ("b", 5, 6)]
 
 
 SECRETS = [
