@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -12,6 +11,9 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow.fs as fs
 
+#: Files that a worker keeps mapped, about half of what Linux allows a process by default.
+MAPPED = 1 << 15
+
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     parsed = urlparse(folder)
@@ -21,18 +23,26 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def put(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array under a name of its own and move it in place, so that repeated tasks do no harm."""
+    """Write an array under a name of its own and move it in place, so that repeated tasks do no harm.
+
+    A store that refuses to move onto an existing name has the array of an earlier attempt, which is the same.
+    """
     system, path = _place(folder)
     system.create_dir(path, recursive=True)
     own = f"{path}/{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as out:
         out.write(np.ascontiguousarray(array).tobytes())
-    system.move(own, f"{path}/{name}")
+    try:
+        system.move(own, f"{path}/{name}")
+    except OSError:
+        if system.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+            raise
+        system.delete_file(own)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=MAPPED)
 def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    """The array of a file, memory-mapped; from a remote store by way of a copy that ends with the worker."""
+    """The array of a file, memory-mapped; from a remote store by way of a copy that ends with its mapping."""
     system, path = _place(folder)
     full = f"{path}/{name}"
     size = system.get_file_info(full).size
@@ -41,7 +51,9 @@ def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
     if not isinstance(system, fs.LocalFileSystem):
         handle, copy = tempfile.mkstemp(prefix="reelgrid-")
         os.close(handle)
-        atexit.register(os.unlink, copy)
-        fs.copy_files(full, copy, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-        full = copy
+        try:
+            fs.copy_files(full, copy, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
+            return np.memmap(copy, dtype, "r")
+        finally:
+            os.unlink(copy)  # the mapping keeps the bytes until it goes
     return np.memmap(full, dtype, "r")
